@@ -15,6 +15,7 @@ def local_session(cpus: int | str = 8, shuffle_partitions: int | None = None) ->
         SparkSession.builder.master(f"local[{cpus}]")
         .appName("callwarden")
         .config("spark.ui.enabled", "false")
+        .config("spark.ui.showConsoleProgress", "false")
         .config("spark.driver.memory", os.environ.get("BENCH_DRIVER_MEMORY", "12g"))
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.shuffle.partitions", str(parts))
