@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from callwarden import vocab
@@ -16,13 +16,13 @@ def wall(alpha: Column) -> Column:
 
 
 def score_steps(df: DataFrame, *by: str) -> DataFrame:
-    """Per group and distinct confidence: calls, violations, misses at that confidence.
+    """Per group and confidence: calls, violations, misses at that confidence.
 
-    A miss is an automatic COMPLIANT on a true violation. Working on distinct confidences
-    keeps every later step as small as the number of different scores.
+    A miss is an automatic COMPLIANT on a true violation. Confidences are kept to four
+    decimals, as they are reported, so a group has at most 10,001 steps however large it is.
     """
     bad = F.col("true_violation") != "COMPLIANT"
-    return df.groupBy(*by, "confidence").agg(
+    return df.groupBy(*by, F.round("confidence", 4).alias("lam")).agg(
         F.count("*").alias("n"),
         F.count_if(bad).alias("n_bad"),
         F.count_if(bad & (F.col("violation") == "COMPLIANT")).alias("n_miss"),
@@ -30,41 +30,24 @@ def score_steps(df: DataFrame, *by: str) -> DataFrame:
 
 
 def cumulative(steps: DataFrame, *by: str) -> DataFrame:
-    """Running totals over thresholds, by self-comparison of the distinct scores.
-
-    ``at_least`` columns count calls that would be automatic at threshold ``confidence``.
-    """
-    pack = F.struct("confidence", "n", "n_bad", "n_miss")
-    grouped = steps.groupBy(*by).agg(
-        F.array_sort(F.collect_list(pack)).alias("steps"),
-        F.sum("n").alias("n_all"),
-        F.sum("n_bad").alias("n_bad_all"),
-    )
-    sums = F.transform(
-        "steps",
-        lambda s: F.struct(
-            s["confidence"].alias("lam"),
-            F.aggregate(
-                F.filter("steps", lambda o: o["confidence"] >= s["confidence"]),
-                F.lit(0).cast("bigint"),
-                lambda a, o: a + o["n"],
-            ).alias("n_auto"),
-            F.aggregate(
-                F.filter("steps", lambda o: o["confidence"] >= s["confidence"]),
-                F.lit(0).cast("bigint"),
-                lambda a, o: a + o["n_miss"],
-            ).alias("n_miss"),
-        ),
+    """Automatic calls and misses at each threshold: running sums over the bounded steps."""
+    upward = Window.partitionBy(*by).orderBy(F.desc("lam")).rowsBetween(Window.unboundedPreceding, 0)
+    whole = Window.partitionBy(*by)
+    return steps.select(
+        *by,
+        "lam",
+        F.sum("n").over(upward).alias("n_auto"),
+        F.sum("n_miss").over(upward).alias("n_miss"),
+        F.sum("n").over(whole).alias("n_all"),
+        F.sum("n_bad").over(whole).alias("n_bad_all"),
     )
-    return grouped.select(*by, "n_all", "n_bad_all", F.inline(sums))
 
 
 def crc_lambda(df: DataFrame, *by: str, alpha: float = vocab.ALPHA_TARGET, bound: float = 1.0) -> DataFrame:
     """Smallest threshold whose conformal bound on the miss rate stays within ``alpha``.
 
     The bound is n/(n+1) * risk + B/(n+1) over true violations; NULL when even the highest
-    observed confidence is too risky. Scores are rounded rule confidences, so the distinct
-    values per group are few.
+    observed confidence is too risky.
     """
     table = cumulative(score_steps(df, *by), *by)
     n = F.col("n_bad_all")
