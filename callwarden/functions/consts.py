@@ -2,12 +2,33 @@
 
 from __future__ import annotations
 
+import functools
 import json
 
+from pyspark import SparkContext
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+def per_session(build):
+    """Reuse the columns a builder returns within one Spark context.
+
+    Long decision chains cost thousands of gateway calls to put together; the expressions
+    themselves are unresolved and can serve any number of plans.
+    """
+    made: dict = {}
+
+    @functools.wraps(build)
+    def reuse(*args):
+        context = SparkContext._active_spark_context
+        kept = made.get(args)
+        if kept is None or kept[0] is not context:
+            made[args] = kept = (context, build(*args))
+        return kept[1]
+
+    return reuse
+
+
 def const(value, ddl: str) -> Column:
     """Nested Python value as a constant column of type ``ddl``."""
     return F.from_json(F.lit(json.dumps(value, ensure_ascii=False)), ddl)

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from callwarden import vocab
 from callwarden.functions.calls import BLANK
-from callwarden.functions.consts import strings
+from callwarden.functions.consts import per_session, strings
 
 VARIANT_DDL = ", ".join(f"{k} variant" for k in vocab.SIGNAL_KEYS)
 
@@ -20,47 +20,43 @@ def _trimmed(c: Column) -> Column:
     return F.btrim(c, F.lit(BLANK))
 
 
-def parse_signals(df: DataFrame, body: str = "body") -> DataFrame:
-    """Add ``object_keys``, ``raw`` (struct of variants), ``salvaged``, ``present``, ``parsed_ok``.
-
-    A JSON object prefix is enough. Bodies that are no object are searched key by key.
-    """
-    df = df.withColumn("object_keys", F.json_object_keys(body))
+@per_session
+def _parse_columns(body: str) -> tuple[Column, Column, Column, Column]:
+    """(variants, salvaged text, present keys, parsed) of a body, given ``object_keys``."""
     is_object = F.col("object_keys").isNotNull()
     pick = [
         F.when(
             ~is_object & F.col(body).rlike(rf'(?U)"{k}"\s*:'),
             F.btrim(
                 _trimmed(
-                    F.regexp_extract(
-                        body, rf'(?U)"{k}"\s*:\s*(\[[^\]]*\]|"?[^,}}]*"?)', 1
-                    )
+                    F.regexp_extract(body, rf'(?U)"{k}"\s*:\s*(\[[^\]]*\]|"?[^,}}]*"?)', 1)
                 ),
                 F.lit('"'),
             ),
         )
         for k in vocab.SIGNAL_KEYS
     ]
-    df = df.withColumns(
-        {
-            "raw": F.from_json(body, VARIANT_DDL, {"allowSingleQuotes": "false"}),
-            "salvaged": F.when(
-                ~is_object,
-                F.map_filter(
-                    F.map_from_arrays(strings(vocab.SIGNAL_KEYS), F.array(*pick)),
-                    lambda _, v: v.isNotNull(),
-                ),
-            ),
-        }
-    )
     known = strings(vocab.SIGNAL_KEYS)
-    df = df.withColumn(
-        "present",
-        F.when(is_object, F.array_intersect(known, F.col("object_keys"))).otherwise(
-            F.coalesce(F.map_keys("salvaged"), F.array().cast("array<string>"))
-        ),
+    raw = F.from_json(body, VARIANT_DDL, {"allowSingleQuotes": "false"})
+    salvaged = F.when(
+        ~is_object,
+        F.map_filter(F.map_from_arrays(known, F.array(*pick)), lambda _, v: v.isNotNull()),
     )
-    return df.withColumn("parsed_ok", is_object | (F.size("present") > 0))
+    present = F.when(is_object, F.array_intersect(known, F.col("object_keys"))).otherwise(
+        F.coalesce(F.map_keys("salvaged"), F.array().cast("array<string>"))
+    )
+    return raw, salvaged, present, is_object | (F.size("present") > 0)
+
+
+def parse_signals(df: DataFrame, body: str = "body") -> DataFrame:
+    """Add ``object_keys``, ``raw`` (struct of variants), ``salvaged``, ``present``, ``parsed_ok``.
+
+    A JSON object prefix is enough. Bodies that are no object are searched key by key.
+    """
+    raw, salvaged, present, parsed = _parse_columns(body)
+    df = df.withColumn("object_keys", F.json_object_keys(body))
+    df = df.withColumns({"raw": raw, "salvaged": salvaged})
+    return df.withColumn("present", present).withColumn("parsed_ok", parsed)
 
 
 def _typed(key: str) -> tuple[Column, Column, Column]:
@@ -103,8 +99,8 @@ def _normal(key: str) -> tuple[Column, Column]:
     return F.when(is_text | number, text), is_text | number
 
 
-def normalize_signals(df: DataFrame) -> DataFrame:
-    """Add ``sig`` (struct of typed signals) and ``malformed`` (keys in contract order)."""
+@per_session
+def _normal_columns() -> tuple[Column, Column]:
     values, bad = [], []
     for key in vocab.SIGNAL_KEYS:
         value, fits = _normal(key)
@@ -113,7 +109,13 @@ def normalize_signals(df: DataFrame) -> DataFrame:
             value = value.cast("bigint")
         values.append(F.when(present, value).alias(key))
         bad.append(F.when(present & ~F.coalesce(fits, F.lit(False)), F.lit(key)))
-    return df.withColumns({"sig": F.struct(*values), "malformed": F.array_compact(F.array(*bad))})
+    return F.struct(*values), F.array_compact(F.array(*bad))
+
+
+def normalize_signals(df: DataFrame) -> DataFrame:
+    """Add ``sig`` (struct of typed signals) and ``malformed`` (keys in contract order)."""
+    sig, malformed = _normal_columns()
+    return df.withColumns({"sig": sig, "malformed": malformed})
 
 
 def payload_keys() -> Column:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from callwarden.functions.consts import per_session
 from callwarden.operators.staging import seal
 
 # --- fixed values: one catalogue token per platform and type ---------------------
@@ -34,16 +35,12 @@ def pick(items: str, i: int) -> Column:
     return F.split_part(F.lit(items), F.lit("|"), (F.lit(1) + h(i) % n).cast("int"))
 
 
-def hook_calls(events: DataFrame) -> DataFrame:
-    """One call per event: id, pos, text and the truth columns (data_type, violation inputs)."""
-    df = events.withColumn("k", F.regexp_extract("props", "[0-9]+", 0).cast("bigint"))
-    df = df.withColumns(
-        {"platform_true": pick("android|ios|miniprogram|harmony", 0), "true_dt": pick(TYPES, 1)}
-    )
+@per_session
+def _call_columns() -> tuple:
+    """(platform, true type, token, text) of the call made from one event."""
     token = F.when(F.lit(False), F.lit(""))
     for platform, items in TOKENS.items():
         token = token.when(F.col("platform_true") == platform, pick(items, 1))
-    df = df.withColumn("token", token)
     dotted = F.translate("token", " ", ".")
     mode = h(2) % 10
     frame = (
@@ -112,6 +109,15 @@ def hook_calls(events: DataFrame) -> DataFrame:
         F.concat_ws(", ", *fields),
         F.lit("}"),
     )
+    return pick("android|ios|miniprogram|harmony", 0), pick(TYPES, 1), token, text
+
+
+def hook_calls(events: DataFrame) -> DataFrame:
+    """One call per event: id, pos, text and the truth columns (data_type, violation inputs)."""
+    platform, true_dt, token, text = _call_columns()
+    df = events.withColumn("k", F.regexp_extract("props", "[0-9]+", 0).cast("bigint"))
+    df = df.withColumns({"platform_true": platform, "true_dt": true_dt})
+    df = df.withColumn("token", token)
     df = df.select(
         F.col("event_id").alias("id"),
         "ts",

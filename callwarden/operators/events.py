@@ -250,27 +250,20 @@ def insights(events: DataFrame) -> DataFrame:
         F.count_if(F.col("ev") == "error").alias("errors"),
         high.alias("high"),
     )
-    none = F.lit(None).cast("string")
+    tip = lambda name, n, on: F.struct(
+        F.lit(name).alias("tip"), n.cast("bigint").alias("n"), on.alias("on")
+    )
     tips = facts.select(
         F.inline(
             F.array(
-                F.struct(
-                    F.lit("unknown_apis").alias("tip"),
-                    F.col("unknown").alias("n"),
-                    none.alias("detail"),
-                    (F.col("unknown") > 0).alias("on"),
-                ),
-                F.struct(
-                    F.lit("confident_but_reviewed"), F.lit(0).cast("bigint"), none,
-                    F.coalesce(F.col("high") > 0.5, F.lit(False)),
-                ),
-                F.struct(
-                    F.lit("no_auto_compliant"), F.col("samples"), none,
-                    (F.col("passed") == 0) & (F.col("samples") > 0),
-                ),
-                F.struct(F.lit("errors"), F.col("errors"), none, F.col("errors") > 0),
+                tip("unknown_apis", F.col("unknown"), F.col("unknown") > 0),
+                tip("confident_but_reviewed", F.lit(0), F.coalesce(F.col("high") > 0.5, F.lit(False))),
+                tip("no_auto_compliant", F.col("samples"), (F.col("passed") == 0) & (F.col("samples") > 0)),
+                tip("errors", F.col("errors"), F.col("errors") > 0),
             )
         )
+    ).withColumn("detail", F.lit(None).cast("string"))
+    tips = tips.select("tip", "n", "detail", "on"
     ).filter("on").drop("on")
     first = review_reasons(samples, 1).select(
         F.lit("top_review_reason").alias("tip"), "n", F.col("reason").alias("detail")

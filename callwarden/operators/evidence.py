@@ -14,6 +14,7 @@ from pyspark.sql import types as T
 
 from callwarden.functions import patterns as P
 from callwarden.functions import shapes
+from callwarden.functions.consts import per_session
 from callwarden.operators import codecs
 
 TEXTS = T.ArrayType(T.StringType())
@@ -98,11 +99,14 @@ def _pairs_and_triples(n: Column, pair, triple) -> Column:
     return F.filter(F.concat(two, three), lambda name: name.isNotNull())
 
 
-def split_shape(fragments: Column, digits: Column) -> Column:
+@per_session
+def split_shape(fragments: str, digits: str) -> Column:
     """First shape that appears when two or three values are put together, in any order."""
 
+    fragments, digits = F.col(fragments), F.col(digits)
+
     def joined(parts):
-        readings = F.transform(F.get(digits, parts[0]), lambda a: a)
+        readings = F.get(digits, parts[0])
         for p in parts[1:]:
             step = readings
             readings = F.flatten(
@@ -120,6 +124,7 @@ def split_shape(fragments: Column, digits: Column) -> Column:
     return F.get(found, F.lit(0))
 
 
+@per_session
 def value_shapes() -> Column:
     """Sorted shapes found on values, decoded values, joined values, or the text."""
     encoded = lambda products: shapes.first_of(
@@ -139,6 +144,7 @@ def value_shapes() -> Column:
     )
 
 
+@per_session
 def collapsed_text_shape() -> Column:
     """Shape of the text once separators between digits are gone."""
     return shapes.first_of(
@@ -188,6 +194,7 @@ def _is_number_shape(digits: Column) -> Column:
     return shapes.joined_digit_shape(digits).isNotNull()
 
 
+@per_session
 def structural_suspicion() -> Column:
     """First structural reason to distrust an empty declaration, NULL when there is none."""
     index = F.sequence(F.lit(0), F.size("pool") - 1)
@@ -257,7 +264,7 @@ def with_evidence(df: DataFrame, body: str = "body", needed: Column | None = Non
     df = df.withColumns(
         {
             "split_name": F.when(
-                F.size("fragments") >= 2, split_shape(F.col("fragments"), F.col("fragment_digits"))
+                F.size("fragments") >= 2, split_shape("fragments", "fragment_digits")
             ),
             "shard_readings": F.filter(
                 F.array_distinct(F.concat(F.flatten("pool_readings"), F.flatten("shards"))),

@@ -9,7 +9,7 @@ from callwarden import vocab
 from callwarden.config import AuditConfig
 from callwarden.functions import calls
 from callwarden.functions import patterns as P
-from callwarden.functions.consts import any_of, strings
+from callwarden.functions.consts import any_of, per_session, strings
 
 SCOPE_DECLARATION = r'(?iU)"consent_scope"\s*:\s*\[[^\]]*\]'
 
@@ -86,20 +86,24 @@ def audit_sample(fingerprint: Column, key: str, rate: float) -> Column:
     return draw < rate
 
 
+@per_session
+def _flag_columns() -> dict[str, Column]:
+    untyped = F.col("data_type").isNull()
+    return {
+        "obfuscated": F.when(untyped, is_obfuscated(F.col("stack"))),
+        "hinted": F.when(untyped, sensitive_hint(F.col("stack"), F.col("body"))),
+        "scope": F.when(untyped, scope_contract(F.col("text"))),
+        "fingerprint": calls.declaration_fingerprint(F.col("text"), F.col("body")),
+    }
+
+
 def gate_flags(df: DataFrame, cfg: AuditConfig) -> DataFrame:
     """Add the row-local flags of calls without a data type.
 
     Needs ``text``, ``stack``, ``body``, ``data_type``, ``tier``, ``present``, ``raw``.
     """
     untyped = F.col("data_type").isNull()
-    df = df.withColumns(
-        {
-            "obfuscated": F.when(untyped, is_obfuscated(F.col("stack"))),
-            "hinted": F.when(untyped, sensitive_hint(F.col("stack"), F.col("body"))),
-            "scope": F.when(untyped, scope_contract(F.col("text"))),
-            "fingerprint": calls.declaration_fingerprint(F.col("text"), F.col("body")),
-        }
-    )
+    df = df.withColumns(_flag_columns())
     early = (
         F.when(
             F.col("tier").isin("class_ambiguous", "method_ambiguous"),
@@ -129,6 +133,7 @@ def gate_flags(df: DataFrame, cfg: AuditConfig) -> DataFrame:
     return df.withColumn("sampled", F.lit(False))
 
 
+@per_session
 def none_gate_reason(cfg: AuditConfig) -> Column:
     """First reason that stops a call without a data type; NULL lets it pass as NONE."""
     telling = (

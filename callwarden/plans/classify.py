@@ -12,23 +12,30 @@ from pyspark.sql import functions as F
 from callwarden import vocab
 from callwarden.config import AuditConfig
 from callwarden.functions import calls, policy, signals
+from callwarden.functions.consts import per_session
 from callwarden.operators import evidence, gates, identify, revocation
 from callwarden.operators.staging import seal
 
 TIERS = ["full", "none_verified", "class", "method", "payload", "consent", *vocab.INDIRECT_TIERS]
 
 
+@per_session
+def _segment_columns() -> tuple[Column, Column]:
+    return calls.platform_effective(F.col("text")), calls.segments(F.col("text"))
+
+
 def with_segments(df: DataFrame) -> DataFrame:
     """Add ``platform``, ``stack`` and ``body``."""
-    df = df.withColumns(
-        {
-            "platform": calls.platform_effective(F.col("text")),
-            "_seg": calls.segments(F.col("text")),
-        }
-    )
+    platform, cut = _segment_columns()
+    df = df.withColumns({"platform": platform, "_seg": cut})
     return df.withColumns({"stack": F.col("_seg.stack"), "body": F.col("_seg.body")}).drop("_seg")
 
 
+@per_session
+def _policy_verdict() -> Column:
+    return policy.decide_ex(F.col("data_type"), F.col("malformed"))
+
+
 def with_lambda(tier: Column, cfg: AuditConfig) -> Column:
     """Threshold in force for the tier of each call."""
     value = F.when(F.lit(False), F.lit(0.0))
@@ -100,7 +107,7 @@ def row_verdicts(df: DataFrame, cfg: AuditConfig) -> DataFrame:
         df = df.withColumn("guard_type", F.lit(None).cast("string"))
     df = gates.gate_flags(df, cfg)
     df = evidence.with_evidence(df, needed=F.col("at_empty_gate"))
-    df = df.withColumn("verdict", policy.decide_ex(F.col("data_type"), F.col("malformed")))
+    df = df.withColumn("verdict", _policy_verdict())
     df = _typed_outcome(df, cfg)
     df = df.withColumns(
         {
