@@ -7,6 +7,8 @@ itself a reason for review - so nothing grows beyond the row and no exchange is
 
 from __future__ import annotations
 
+import functools
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -105,15 +107,12 @@ def split_shape(fragments: str, digits: str) -> Column:
 
     fragments, digits = F.col(fragments), F.col(digits)
 
+    def extend(readings, part):
+        step = lambda a: F.transform(F.get(digits, part), lambda b: F.concat(a, b))
+        return F.flatten(F.transform(readings, step))
+
     def joined(parts):
-        readings = F.get(digits, parts[0])
-        for p in parts[1:]:
-            step = readings
-            readings = F.flatten(
-                F.transform(
-                    step, lambda a, p=p: F.transform(F.get(digits, p), lambda b: F.concat(a, b))
-                )
-            )
+        readings = functools.reduce(extend, parts[1:], F.get(digits, parts[0]))
         text = F.concat(*[F.get(fragments, p) for p in parts])
         raw = F.when(F.length(text) <= 128, shapes.embedded_shape(text))
         return F.concat(F.transform(readings, shapes.joined_digit_shape), F.array(raw))

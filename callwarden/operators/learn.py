@@ -286,7 +286,7 @@ def tfidf_baseline(df: DataFrame, label: str = "combo", text: str = "text") -> P
         IDF(inputCol="t_tf", outputCol="t_vec"),
         OneVsRest(
             classifier=LinearSVC(maxIter=10), featuresCol="t_vec", labelCol="t_label",
-            predictionCol="t_pred", rawPredictionCol="t_raw",
+            predictionCol="t_pred",
         ),
     ]
     return Pipeline(stages=stages).fit(df)
@@ -298,19 +298,14 @@ def char_grams(text: Column, low: int = 2, high: int = 4) -> Column:
         F.filter(F.split(F.lower(text), r"(?U)\s+"), lambda w: w != ""),
         lambda w: F.concat(F.lit(" "), w, F.lit(" ")),
     )
-    runs = [
-        F.flatten(
-            F.transform(
-                words,
-                lambda w, n=n: F.transform(
-                    F.sequence(F.lit(1), F.greatest(F.length(w) - (n - 1), F.lit(1))),
-                    lambda i, n=n: F.substring(w, i, F.lit(n)),
-                ),
-            )
+    def runs(n: int) -> Column:
+        last = lambda w: F.greatest(F.length(w) - (n - 1), F.lit(1))
+        cut = lambda w: F.transform(
+            F.sequence(F.lit(1), last(w)), lambda i: F.substring(w, i, F.lit(n))
         )
-        for n in range(low, high + 1)
-    ]
-    return F.concat(*runs)
+        return F.flatten(F.transform(words, cut))
+
+    return F.concat(*[runs(n) for n in range(low, high + 1)])
 
 
 def combined_suggestion(df: DataFrame, types: PipelineModel, violations: PipelineModel) -> DataFrame:

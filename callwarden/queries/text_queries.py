@@ -127,10 +127,13 @@ _scan = {
 }
 
 
-def pii_scan_conversations(spark, sf):
-    """Every hit in conversations with its surroundings."""
-    df = table(spark, sf, "conversations").select("conv_id", "turn", "text")
-    return scan.pii_scan(df).select("conv_id", "turn", "rule", "hit", "snippet")
+def pii_scan_snippets(spark, sf):
+    """Every hit in documents and conversations with its surroundings."""
+    talk = table(spark, sf, "conversations").select(
+        (F.col("conv_id") * 1000 + F.col("turn")).alias("k"), F.lit("talk").alias("src"), "text"
+    )
+    docs = table(spark, sf, "documents").select(F.col("doc_id").alias("k"), F.lit("doc"), "text")
+    return scan.pii_scan(spread(talk.union(docs))).select("k", "src", "rule", "hit", "snippet")
 
 
 def value_shapes_documents(spark, sf):
@@ -147,7 +150,7 @@ def value_shapes_documents(spark, sf):
 def _embedded_sql(c: str) -> str:
     edge = lambda p: f"regexp_matches({c}, {D.text('(^|[^0-9])' + p + '([^0-9]|$)')})"
     w = "[\\pL\\pN_"
-    mail = w + ".+\\-\"]@(?:" + w + "-]+\\." + w + ".-]{2}|" + w + ".-]{512})"
+    mail = w + ".+\\-\"]@" + w + "-]+\\." + w + ".-]{2}"
     dec = "-?[0-9]{1,3}\\.[0-9]{2,}\\s*(?:°\\s*)?[NSEWnsew]?"
     one = "(^|[^0-9.])-?[0-9]{1,3}(?:\\.[0-9]+)?\\s*°\\s*([^0-9.]|$)"
     return f"""CASE WHEN {edge(P.MOBILE.replace(chr(92) + 'd', '[0-9]'))} THEN 'mobile'
@@ -255,7 +258,7 @@ def document_evidence(spark, sf):
 def fold_text(spark, sf):
     """Character folding over documents: what each step leaves."""
     noisy = F.concat(F.col("text"), F.lit("\u200bа٣③"), F.col("lang"))
-    df = _documents(spark, sf).select("doc_id", noisy.alias("t"))
+    df = _documents(spark, sf).select("doc_id", "lang", noisy.alias("t"))
     return df.select(
         "doc_id",
         F.length(X.strip_zero_width(F.col("t"))).alias("n_bare"),
@@ -277,15 +280,16 @@ def token_decoding(spark, sf):
     df = calls(spark, sf)
     token = F.translate("token", " ", ".")
     kind = F.col("id") % 8
+    b64 = lambda c: F.regexp_replace(F.base64(c.cast("binary")), r"\s", "")
     spelled = (
-        F.when(kind == 0, F.concat(F.lit("b64:"), F.base64(token.cast("binary"))))
+        F.when(kind == 0, F.concat(F.lit("b64:"), b64(token)))
         .when(kind == 1, F.concat(F.lit("0x"), F.hex(token.cast("binary"))))
         .when(kind == 2, F.replace(token, F.lit("."), F.lit("%2E")))
         .when(kind == 3, F.replace(token, F.lit("."), F.lit("&#46;")))
         .when(kind == 4, F.replace(token, F.lit("."), F.lit("\\u002e")))
         .when(kind == 5, F.concat(F.lit('"'), F.replace(token, F.lit("."), F.lit('" + "')), F.lit('"')))
         .when(kind == 6, "GrAnTeD")
-        .otherwise(F.concat(F.lit("b64:"), F.base64(F.base64(token.cast("binary")).cast("binary"))))
+        .otherwise(F.concat(F.lit("b64:"), b64(b64(token))))
     )
     df = restore.decode_tokens(seal(df.select("id", token.alias("plain"), spelled.alias("token")), "token", "plain"))
     return df.select("id", "decoded", F.array_join("applied", ",").alias("applied"))
@@ -347,7 +351,7 @@ QUERIES = {
     "scrub_log_text": (scrub_log_text, None),
     "scrub_call_params": (scrub_call_params, SCRUB_CALL_PARAMS),
     "pii_scan_documents": (pii_scan_documents, None),
-    "pii_scan_conversations": (pii_scan_conversations, None),
+    "pii_scan_snippets": (pii_scan_snippets, None),
     "value_shapes_documents": (value_shapes_documents, VALUE_SHAPES_DOCUMENTS),
     "disguised_numbers": (disguised_numbers, DISGUISED_NUMBERS),
     "split_numbers": (split_numbers, SPLIT_NUMBERS),
