@@ -59,19 +59,19 @@ def parse_signals(df: DataFrame, body: str = "body") -> DataFrame:
     return df.withColumn("present", present).withColumn("parsed_ok", parsed)
 
 
-def _typed(key: str) -> tuple[Column, Column, Column]:
-    """(is present, type name, text) of one signal."""
+def _typed(key: str) -> Column:
+    """Struct (kind, text): type name and text of one signal, found once per row."""
     is_object = F.col("object_keys").isNotNull()
     value = F.col(f"raw.{key}")
-    present = F.array_contains("present", F.lit(key))
     kind = F.when(is_object, F.coalesce(F.schema_of_variant(value), F.lit("VOID"))).otherwise("STRING")
     text = F.when(is_object, value.cast("string")).otherwise(F.element_at("salvaged", F.lit(key)))
-    return present, kind, text
+    present = F.array_contains("present", F.lit(key))
+    return F.when(present, F.struct(kind.alias("kind"), text.alias("text"))).alias(key)
 
 
 def _normal(key: str) -> tuple[Column, Column]:
     """(typed value or NULL, text is of an accepted type) of one signal."""
-    _, kind, text = _typed(key)
+    kind, text = F.col(f"_typed.{key}.kind"), F.col(f"_typed.{key}.text")
     is_text = kind == "STRING"
     number = kind.isin("BIGINT", "DOUBLE", "FLOAT") | kind.startswith("DECIMAL")
     if key in vocab.BOOL_SIGNALS:
@@ -100,7 +100,8 @@ def _normal(key: str) -> tuple[Column, Column]:
 
 
 @per_session
-def _normal_columns() -> tuple[Column, Column]:
+def _normal_columns() -> tuple[Column, Column, Column]:
+    """(typed texts, normalised struct, malformed keys)."""
     values, bad = [], []
     for key in vocab.SIGNAL_KEYS:
         value, fits = _normal(key)
@@ -109,13 +110,15 @@ def _normal_columns() -> tuple[Column, Column]:
             value = value.cast("bigint")
         values.append(F.when(present, value).alias(key))
         bad.append(F.when(present & ~F.coalesce(fits, F.lit(False)), F.lit(key)))
-    return F.struct(*values), F.array_compact(F.array(*bad))
+    typed = F.struct(*[_typed(key) for key in vocab.SIGNAL_KEYS])
+    return typed, F.struct(*values), F.array_compact(F.array(*bad))
 
 
 def normalize_signals(df: DataFrame) -> DataFrame:
     """Add ``sig`` (struct of typed signals) and ``malformed`` (keys in contract order)."""
-    sig, malformed = _normal_columns()
-    return df.withColumns({"sig": sig, "malformed": malformed})
+    typed, sig, malformed = _normal_columns()
+    df = df.withColumn("_typed", typed)
+    return df.withColumns({"sig": sig, "malformed": malformed}).drop("_typed")
 
 
 def payload_keys() -> Column:

@@ -8,6 +8,7 @@ itself a reason for review - so nothing grows beyond the row and no exchange is
 from __future__ import annotations
 
 import functools
+import json
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -18,6 +19,7 @@ from callwarden.functions import patterns as P
 from callwarden.functions import shapes
 from callwarden.functions.consts import per_session
 from callwarden.operators import codecs
+from callwarden.session import ship_package
 
 TEXTS = T.ArrayType(T.StringType())
 TEXT_LISTS = T.ArrayType(TEXTS)
@@ -45,18 +47,17 @@ FACTS = (
 )
 
 
-@F.pandas_udf(FACTS)
-def body_readings(body: pd.Series) -> pd.DataFrame:
-    """Readings of each body; all NULL where the body is NULL."""
-    rows = []
-    for text in body:
-        facts = {}
-        if text is not None:
-            facts = codecs.body_facts(text)
-            facts |= codecs.value_readings(text, facts["leaves"])
-            facts |= codecs.pool_readings(facts["leaves"], facts["names"])
-        rows.append([facts.get(name) for name in FACTS.names])
-    return pd.DataFrame(rows, columns=FACTS.names, dtype=object)
+@F.pandas_udf(T.StringType())
+def body_readings(body: pd.Series) -> pd.Series:
+    """Readings of each body as one JSON document; NULL bodies cost nothing on either side."""
+
+    def read(text):
+        facts = codecs.body_facts(text)
+        facts |= codecs.value_readings(text, facts["leaves"])
+        facts |= codecs.pool_readings(facts["leaves"], facts["names"])
+        return json.dumps(facts)
+
+    return pd.Series([None if text is None else read(text) for text in body], dtype=object)
 
 
 @F.pandas_udf(JSON_FACTS)
@@ -66,6 +67,12 @@ def json_facts(body: pd.Series) -> pd.DataFrame:
     return pd.DataFrame(rows, columns=["leaves", "names", "depth"])
 
 
+def flatten_body(df: DataFrame, body: str = "body") -> DataFrame:
+    """Add ``leaves`` (scalars to depth 6), ``names`` (keys) and ``depth`` of a JSON body."""
+    ship_package(df.sparkSession)
+    return df.withColumn("_f", json_facts(body)).select(*df.columns, "_f.*")
+
+
 def _pairs_and_triples(n: Column, pair, triple) -> Column:
     """Flat array of ``pair(i, j)`` then ``triple(i, j, k)`` arrays over distinct indexes."""
     none = F.array().cast("array<string>")
@@ -257,9 +264,11 @@ def structural_suspicion() -> Column:
 
 def with_evidence(df: DataFrame, body: str = "body", needed: Column | None = None) -> DataFrame:
     """Add ``value_shapes`` (array, NULL where not ``needed``) and ``suspicion``."""
+    ship_package(df.sparkSession)
     source = F.col(body) if needed is None else F.when(needed, F.col(body))
     keep = df.columns
-    df = df.withColumn("_r", body_readings(source)).select(*keep, "_r.*")
+    df = df.withColumn("_json", body_readings(source))
+    df = df.withColumn("_r", F.from_json("_json", FACTS)).select(*keep, "_r.*")
     df = df.withColumns(
         {
             "split_name": F.when(

@@ -165,13 +165,13 @@ def flatten_json(spark, sf):
             F.lit(', "t'), F.col("id").cast("string"), F.lit('", null, true], "consent_scope": ["X"]}'),
         ),
     )
-    df = df.withColumn("j", evidence.json_facts("body"))
+    df = evidence.flatten_body(df)
     return df.select(
         "id",
-        F.size("j.leaves").alias("n_leaves"),
-        F.size("j.names").alias("n_names"),
-        F.array_join(F.array_sort("j.leaves"), "|").alias("leaves"),
-        F.col("j.depth").alias("depth"),
+        F.size("leaves").alias("n_leaves"),
+        F.size("names").alias("n_names"),
+        F.array_join(F.array_sort("leaves"), "|").alias("leaves"),
+        "depth",
     )
 
 

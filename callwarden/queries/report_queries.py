@@ -582,7 +582,7 @@ def catalog_pages(spark, sf):
     )
     doubt = _observed(spark, sf).filter("rank % 10 = 3").select("token")
     out = catalog.with_sources(catalog.api_catalog(spark), sources, doubt)
-    return out.select("platform", "data_type", "token", "cloud", "uncertain", F.size("urls").alias("n_urls"))
+    return out.select("platform", "data_type", "token", "cloud", "uncertain", F.when(F.col("urls").isNull(), 0).otherwise(F.size("urls")).alias("n_urls"))
 
 
 CATALOG_PAGES = OBSERVED + f""",
@@ -590,7 +590,7 @@ src AS (SELECT ({D.texts(vocab.PLATFORMS)})[1 + page_id % 4] AS platform, ({D.te
   count(DISTINCT url) AS n_urls FROM pages GROUP BY 1, 2),
 c AS (SELECT * FROM (VALUES {D.rows(vocab.catalog_rows())}) t(platform, data_type, token))
 SELECT c.platform, c.data_type, c.token, c.token IN {D.members(vocab.CLOUD_TOKENS)} AS cloud,
-  lower(c.token) IN (SELECT lower(token) FROM obs WHERE rank % 10 = 3) AS uncertain, coalesce(n_urls, -1) AS n_urls
+  lower(c.token) IN (SELECT lower(token) FROM obs WHERE rank % 10 = 3) AS uncertain, coalesce(n_urls, 0) AS n_urls
 FROM c LEFT JOIN src USING (platform, data_type)"""
 
 

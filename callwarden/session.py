@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import shutil
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -27,6 +28,21 @@ def local_session(cpus: int | str = 8, shuffle_partitions: int | None = None) ->
     return spark
 
 
+_shipped: list = []
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Give executors this package once per context, for the few Arrow stages."""
+    context = spark.sparkContext
+    if any(known is context for known in _shipped):
+        return
+    home = os.path.dirname(os.path.abspath(__file__))
+    target = os.path.join(tempfile.mkdtemp(prefix="callwarden-"), "callwarden")
+    archive = shutil.make_archive(target, "zip", os.path.dirname(home), os.path.basename(home))
+    context.addPyFile(archive)
+    _shipped.append(context)
+
+
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
     """Use the cluster's checkpoint folder; fall back to a scratch folder only where none is set."""
     if spark.sparkContext.getCheckpointDir():
