@@ -12,17 +12,21 @@ from callwarden.plans.classify import classify_calls, with_segments
 
 
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
-    """One input table; small single files are spread over the cores by splitting the read."""
+    """One input table."""
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """Spread rows for compute-bound work when the input has fewer splits than cores."""
-    return df.repartition(df.sparkSession.sparkContext.defaultParallelism)
+    """Rows over all cores for compute-bound work.
+
+    Only an input with fewer splits than cores is exchanged; a large one stays as it is.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
 
 
 def calls(spark: SparkSession, sf: str) -> DataFrame:
-    return derived.hook_calls(table(spark, sf, "events"))
+    return derived.hook_calls(spread(table(spark, sf, "events")))
 
 
 def segmented(spark: SparkSession, sf: str) -> DataFrame:
