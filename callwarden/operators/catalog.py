@@ -102,7 +102,7 @@ def catalog_stats(catalog: DataFrame) -> DataFrame:
 
 
 def merge_catalog(
-    base: DataFrame, candidates: DataFrame, uncertain: DataFrame | None = None, max_rounds: int = 50
+    base: DataFrame, candidates: DataFrame, uncertain: DataFrame | None = None
 ) -> DataFrame:
     """Base plus accepted candidates with ``status`` base, added, excluded, existing or rejected.
 
@@ -133,11 +133,8 @@ def merge_catalog(
     pending = cand.filter("status = 'pending'").select("platform", "low", "data_type", "rank", "token")
     settled = base.select("platform", low.alias("low"), "data_type")
     decided = None
-    for _ in range(max_rounds):
-        if pending.isEmpty():
-            break
-        now = _one_round(settled, pending)
-        now = cut_lineage(now)
+    while not pending.isEmpty():
+        now = cut_lineage(_one_round(settled, pending))
         done = now.filter("verdict is not null")
         decided = done if decided is None else decided.unionByName(done)
         settled = settled.unionByName(
