@@ -336,12 +336,13 @@ _parts = "regexp_extract_all({}, '[A-Z]?[a-z]+|[A-Z]+|[0-9]+')"
 
 
 def xor_tokens(spark, sf):
-    """Single-byte keys found for the API names under a key."""
+    """Phrases with the API names under a single-byte key, and the plausible text chosen."""
     df = calls(spark, sf).select("token").distinct()
-    codes = F.transform(F.split("token", ""), lambda c: F.char(F.ascii(c).bitwiseXOR(F.lit(0x80 | 0x15))))
-    hidden = df.select("token", F.array_join(codes, "").alias("hidden"))
+    phrase = F.concat(F.lit("a b c at the big old "), F.col("token"))
+    codes = F.transform(F.split(phrase, ""), lambda c: F.char(F.ascii(c).bitwiseXOR(F.lit(0x75))))
+    hidden = df.select("token", phrase.alias("phrase"), F.array_join(codes, "").alias("hidden"))
     out = restore.xor_key_search(hidden, "hidden")
-    return out.select("token", F.col("xor_plain").isNotNull().alias("found"))
+    return out.select("token", "xor_plain", F.col("xor_plain").isNotNull().alias("found"))
 
 
 QUERIES = {

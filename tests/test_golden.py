@@ -1,6 +1,7 @@
 """Golden rows and brute-force checks that DuckDB cannot express."""
 
 import random
+import re
 
 from pyspark.sql import functions as F
 
@@ -8,7 +9,7 @@ from callwarden import vocab
 from callwarden.config import AuditConfig
 from callwarden.functions import patterns as P
 from callwarden.functions import text as X
-from callwarden.operators import catalog, metrics
+from callwarden.operators import catalog, metrics, restore
 from callwarden.plans.classify import classify_calls
 from callwarden.plans.funnel import run_funnel
 
@@ -142,3 +143,26 @@ def test_merge_equals_one_by_one_admission(spark):
     assert {k: v for k, v in got.items() if v != "existing"} == {
         k: v for k, v in want.items() if v != "existing"
     }
+
+
+def best_key(hidden):
+    """Every key in turn; the first with the most word pieces wins."""
+    best, score = None, 0
+    for key in range(1, 256):
+        plain = bytes(b ^ key for b in hidden.encode("latin-1")).decode("utf-8", "ignore")
+        shown = sum(c.isprintable() or c in "\r\n\t" for c in plain) / max(len(plain), 1)
+        if len(plain) < 8 or shown < 0.9 or not re.search("[A-Za-z]", plain):
+            continue
+        pieces = len(re.findall("[A-Za-z]{3,}", plain))
+        if pieces > score:
+            best, score = plain, pieces
+    return best if score >= 3 else None
+
+
+def test_key_search_equals_trying_every_key(spark):
+    phrases = ["send the device now to them", "a b c at the big old token", "xy"]
+    hidden = ["".join(chr(ord(c) ^ 0x75) for c in p) for p in phrases]
+    df = spark.createDataFrame([(h,) for h in hidden], "token string")
+    got = {r.token: r.xor_plain for r in restore.xor_key_search(df).collect()}
+    assert got[hidden[2]] is None
+    assert all(got[h] == best_key(h) for h in hidden[:2])
