@@ -44,11 +44,15 @@ def ship_package(spark: SparkSession) -> None:
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Use the cluster's checkpoint folder; fall back to a scratch folder only where none is set."""
+    """Use the cluster's checkpoint folder; a scratch folder serves one-machine sessions only."""
     if spark.sparkContext.getCheckpointDir():
         return
     configured = spark.conf.get("spark.checkpoint.dir", None)
-    spark.sparkContext.setCheckpointDir(configured or tempfile.mkdtemp(prefix="spark-ckpt-"))
+    if not configured:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        configured = tempfile.mkdtemp(prefix="spark-ckpt-")
+    spark.sparkContext.setCheckpointDir(configured)
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
