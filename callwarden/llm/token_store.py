@@ -23,14 +23,16 @@ Defined cases: NULL text is empty; an empty text is stored as its end id alone.
 
 from __future__ import annotations
 
+import array
 import json
+import re
 import struct
+import unicodedata
 import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import regex
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -40,12 +42,40 @@ END_ID = 0
 SHARD_TOKENS = 1 << 18
 RANK_BITS = 512
 TOKENIZER = "byte_bpe_50k.json"
-#: Distinct pre-tokens a worker remembers before it starts anew.
-REMEMBERED = 200_000
-#: Fixed value: the pre-token pattern of byte-level BPE vocabularies.
-PRE_TOKEN = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
+#: Distinct pre-tokens a task remembers before it starts anew.
+REMEMBERED = 300_000
 #: Texts beyond these letters go to the library whole: Unicode tables may differ by version.
-BEYOND_LATIN = regex.compile("[^\x00-ɏ]")
+LATIN_END = 0x250
+
+
+def _latin(kind: str) -> str:
+    """Members of a Unicode category among the Latin letters' code points, for a character class."""
+    return re.escape("".join(chr(c) for c in range(LATIN_END) if unicodedata.category(chr(c)).startswith(kind)))
+
+
+_L, _N, _S = _latin("L"), _latin("N"), "\t\n\x0b\x0c\r \x85\xa0"
+#: The pre-tokens of byte-level vocabularies: contractions, letters, numbers, others, white space.
+PRE_TOKEN = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d| ?[{_L}]+| ?[{_N}]+| ?[^{_S}{_L}{_N}]+|[{_S}]+(?![^{_S}])|[{_S}]+")
+
+
+def _byte_letters() -> dict[int, str]:
+    """Printable stand-in of every byte: itself where it prints, else the next letter from U+0100."""
+    prints = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or b >= 174]
+    others = [b for b in range(256) if b not in prints]
+    return {b: chr(b) for b in prints} | {b: chr(256 + i) for i, b in enumerate(others)}
+
+
+class _Words(dict):
+    """Ids of pre-tokens; an unknown one is encoded when it is first asked for."""
+
+    def __init__(self, model):
+        super().__init__()
+        self.model, self.letters = model, _byte_letters()
+
+    def __missing__(self, word: str) -> bytes:
+        tokens = self.model.tokenize(word.encode().decode("latin1").translate(self.letters))
+        found = self[word] = array.array("I", [t.id for t in tokens]).tobytes()
+        return found
 
 
 class Encoder:
@@ -67,8 +97,9 @@ class Encoder:
             and not pre.get("add_prefix_space")
             and pre.get("use_regex", True)
             and not known.get("normalizer")
+            and known["model"]["type"] == "BPE"
         )
-        self.seen: dict[str, bytes] = {}
+        self.seen = _Words(self.tokenizer.model)
 
     def _library(self, texts: list[str]) -> list[bytes]:
         found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
@@ -79,12 +110,13 @@ class Encoder:
         if not self.by_word:
             return self._library(texts)
         if len(self.seen) > REMEMBERED:
-            self.seen = {}
-        whole = [i for i, t in enumerate(texts) if BEYOND_LATIN.search(t)]
-        words = [[] if BEYOND_LATIN.search(t) else PRE_TOKEN.findall(t) for t in texts]
-        fresh = list(set().union(*words) - self.seen.keys())
-        self.seen.update(zip(fresh, self._library(fresh), strict=True))
-        out = [b"".join(map(self.seen.__getitem__, w)) for w in words]
+            self.seen.clear()
+        out, whole = [], []
+        for i, text in enumerate(texts):
+            latin = text.isascii() or ord(max(text)) < LATIN_END
+            if not latin:
+                whole.append(i)
+            out.append(b"".join(map(self.seen.__getitem__, PRE_TOKEN.findall(text))) if latin else b"")
         for i, ids in zip(whole, self._library([texts[i] for i in whole]), strict=True):
             out[i] = ids
         return out
