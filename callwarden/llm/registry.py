@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ["line_dedup", "token_store", "quality_rules", "language_id", "line_crf", "shingle_join"]
+MODULES = ["line_dedup", "token_store", "quality_rules", "language_id", "line_crf", "shingle_join", "pii", "decontaminate"]
 
 
 def registered() -> dict[str, tuple]:
