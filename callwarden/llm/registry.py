@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ["line_dedup", "token_store", "quality_rules", "language_id", "line_crf", "shingle_join", "pii", "decontaminate"]
+MODULES = ["line_dedup", "sentencepiece_codec", "line_crf", "token_store", "shingle_join", "decontaminate", "pii", "language_id", "quality_rules"]
 
 
 def registered() -> dict[str, tuple]:
