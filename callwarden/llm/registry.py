@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ["line_dedup", "sentencepiece_codec", "line_crf", "token_store", "shingle_join", "decontaminate", "pii", "language_id", "quality_rules"]
+MODULES = ["line_dedup", "sentencepiece_codec", "chat_format", "line_crf", "token_store", "shingle_join", "decontaminate", "pii", "language_id", "quality_rules"]
 
 
 def registered() -> dict[str, tuple]:
