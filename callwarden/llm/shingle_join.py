@@ -23,7 +23,7 @@ components, its sets of different components are compared too. Pairs inside one
 component are never formed, so a group of n near copies costs about n comparisons. Every
 comparison intersects the shingles of the whole texts.
 
-Limits: keys shared by many sets that aren't similar (more than about 60 % common boilerplate)
+Limits: thresholds below 75 percent leave too few shingles to a cell and raise an error. Keys shared by many sets that aren't similar (more than about 60 % common boilerplate)
 cost a comparison for each such pair whose sizes fit; no pair is skipped.
 
 Defined cases: a text with fewer words than a shingle is one shingle, the whole sequence; NULL text
@@ -46,7 +46,8 @@ from callwarden.llm.components import components
 
 WORDS, PERCENT = 4, 85
 STAGE_WORDS, STAGE_PERCENT = 5, 80
-SPARE = 0.15
+#: Shares of cells beyond d + 1 to choose from: the first under which few sets have too many weak cells.
+SPARE = (0.15, 0.2, 0.3, 0.45)
 #: Rows of one key that a task holds back to count them; a key with more counts as this many.
 HELD_ROWS = 1 << 16
 #: Set hashes that a task remembers so as to sketch its own copies once.
@@ -92,8 +93,16 @@ def plan_of(group: int, percent: int) -> tuple[int, int, int]:
     small = low[group + 1] - 1
     large = min(low[group + 2] - 1, small * 100 // percent)
     d = (small + large) * (100 - percent) // (100 + percent)
-    m = d + 1 + (int(np.ceil(SPARE * (d + 1))) if d else 0)
-    return m, d, 2 if low[group] >= 3.5 * m else 1
+    if not d:
+        return 1, 0, 1
+    for share in SPARE:
+        spare = int(np.ceil(share * (d + 1)))
+        m = d + 1 + spare
+        each = low[group] / m  # shingles of a cell, at the least
+        weak = 2 if each >= 3.5 else 1
+        if m * np.exp(-each) * (1 + each * (weak - 1)) <= 0.9 * spare:
+            break
+    return m, d, weak
 
 
 def sketch(shingles: np.ndarray, percent: int) -> Iterator[tuple[int, np.ndarray]]:
