@@ -17,14 +17,19 @@ A document is the set of its distinct word shingles, as 64-bit hashes. Two sets
 * Only the ``d + 1`` rarest cells of a set need to be keys (the others are its most shared cells, such as
   those inside boilerplate); the order by frequency is the same for all sets, so nothing is lost.
 
-Exact copies are merged first, by the hash of the whole set. Then the sets of a key are compared with the
-key's smallest set and linked sets become components. Where a key still holds several
-components, its sets of different components are compared too. Pairs inside one
-component are never formed, so a group of n near copies costs about n comparisons. Every
-comparison intersects the shingles of the whole texts.
-
-Limits: thresholds below 75 percent leave too few shingles to a cell and raise an error. Keys shared by many sets that aren't similar (more than about 60 % common boilerplate)
-cost a comparison for each such pair whose sizes fit; no pair is skipped.
+Exact copies are merged first, by the hash of the whole set. Then each set of a key is compared with the
+key's centre, its smallest name, and linked sets become components, so a group of n near copies
+costs about n comparisons. Where a key still holds several components, pairs aren't tried one by
+one either. Let E(x) be the shingles in which x and the centre differ. If a isn't similar to the centre
+and E(a), E(b) have nothing in common, then ``|a ^ b| = |E(a)| + |E(b)|``, and with
+``|E(a)| > f (|a| + |centre|)`` and ``|b| <= |centre| + |E(b)|`` that is more than ``f (|a| + |b|)`` for
+f = (100 - percent) / (100 + percent): a and b aren't similar. So similar sets that the centre leaves
+apart share a difference from it. These differences are keys in turn, the rarest first: of a set
+that isn't linked to the centre its d + 1 rarest, as a and b have ``|E(a)| - d`` in common at least; of one
+that is, all but the ``|E(b)| (1 - f) / 2`` most frequent. Every comparison intersects the shingles
+of the whole texts, and no pair of one component is formed.
+
+Thresholds below 75 percent leave too few shingles to a cell and raise an error.
 
 Defined cases: a text with fewer words than a shingle is one shingle, the whole sequence; NULL text
 or no words make an empty set, linked with nothing. Rows with a NULL id are returned without a component.
@@ -222,56 +227,103 @@ def shared_keys(docs: DataFrame, words: int, percent: int) -> DataFrame:
     return ranked.where("rank <= most").select("key", "c")
 
 
+def _pairs_of_sets(batches: Iterator[pa.RecordBatch], words: int) -> Iterator[tuple[pa.RecordBatch, list[np.ndarray], list[np.ndarray]]]:
+    """Rows with the shingles of their two texts, a few at a time."""
+    for batch in batches:
+        for row in range(0, batch.num_rows, 64):
+            part = batch.slice(row, 64)
+            yield part, *(shingle_sets(*column_bytes(part.column(c)), words) for c in ("ta", "tb"))
+
+
 def _compare(words: int, percent: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kept: dict[int, np.ndarray] = {}
-        for batch in batches:
-            for row in range(0, batch.num_rows, 64):
-                part = batch.slice(row, 64)
-                a, b = part.column("a").to_pylist(), part.column("b").to_pylist()
-                left = shingle_sets(*column_bytes(part.column("ta")), words)
-                right = shingle_sets(*column_bytes(part.column("tb")), words)
-                del kept
-                kept = {}
-                common = np.array([len(np.intersect1d(x, y, assume_unique=True)) for x, y in zip(left, right, strict=True)], np.int64)
-                union = np.array([len(x) + len(y) for x, y in zip(left, right, strict=True)], np.int64) - common
-                linked = 100 * common >= percent * union
-                yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(linked)], names=["a", "b", "linked"])
+        for part, left, right in _pairs_of_sets(batches, words):
+            common = np.array([len(np.intersect1d(x, y, assume_unique=True)) for x, y in zip(left, right, strict=True)], np.int64)
+            union = np.array([len(x) + len(y) for x, y in zip(left, right, strict=True)], np.int64) - common
+            linked = pa.array(100 * common >= percent * union)
+            yield pa.RecordBatch.from_arrays([part.column("a"), part.column("b"), linked], names=["a", "b", "linked"])
 
     return run
 
 
-def compare(pairs: DataFrame, classes: DataFrame, docs: DataFrame, words: int, percent: int) -> DataFrame:
+def _differences(words: int, percent: int):
+    """For each pair (centre a, set b): b's differences as (key, apart, surplus) rows.
+
+    ``apart`` says that b isn't similar to a; ``surplus`` is the number of its most frequent
+    differences that need not be keys.
+    """
+    low, high = 100 - percent, 100 + percent
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part, left, right in _pairs_of_sets(batches, words):
+            rows: list[list[np.ndarray]] = [[], [], [], [], []]
+            for a, b, x, y in zip(part.column("a").to_pylist(), part.column("b").to_pylist(), left, right, strict=True):
+                gone, new = np.setdiff1d(x, y, assume_unique=True), np.setdiff1d(y, x, assume_unique=True)
+                count = len(gone) + len(new)
+                apart = count * high > low * (len(x) + len(y))
+                most = low * (len(y) + len(y) * 100 // percent) // high
+                surplus = max(count - (most + 1), 0) if apart else count * (high - low) // (2 * high)
+                keys = mix(np.concatenate([new, mix(gone)]) ^ mix(np.array([a]).view(np.uint64)))
+                for column, value in zip(rows, (np.full(count, a), np.full(count, b), keys.view(np.int64), np.full(count, apart), np.full(count, surplus)), strict=True):
+                    column.append(value)
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in rows], names=["a", "b", "key", "apart", "surplus"])
+
+    return run
+
+
+def with_texts(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+    both = pairs.join(texts.select(F.col("c").alias("a"), F.col("text").alias("ta")), "a")
+    return both.join(texts.select(F.col("c").alias("b"), F.col("text").alias("tb")), "b").select("a", "b", "ta", "tb")
+
+
+def compare(pairs: DataFrame, classes: DataFrame, texts: DataFrame, words: int, percent: int) -> DataFrame:
     """(a, b) of those pairs of sets that are similar, by the shingles of their whole texts."""
-    size = classes.select("c", "n_shingles", "doc_id", "version")
+    size = classes.select("c", "n_shingles")
     sized = pairs.join(size.select(F.col("c").alias("a"), F.col("n_shingles").alias("na")), "a")
     sized = sized.join(size.select(F.col("c").alias("b"), F.col("n_shingles").alias("nb")), "b")
-    fitting = stage(sized.where(f"100 * least(na, nb) >= {percent} * greatest(na, nb)").select("a", "b"), "shingle-pairs")
-    wanted = fitting.select(F.explode(F.array("a", "b")).alias("c")).distinct().join(size, "c")
-    texts = docs.select("doc_id", F.xxhash64(F.coalesce("text", F.lit(""))).alias("version"), "text")
-    texts = stage(texts.join(wanted.select("c", "doc_id", "version"), ["doc_id", "version"]).select("c", "text").dropDuplicates(["c"]), "shingle-texts")
-    both = fitting.join(texts.select(F.col("c").alias("a"), F.col("text").alias("ta")), "a")
-    both = both.join(texts.select(F.col("c").alias("b"), F.col("text").alias("tb")), "b")
-    found = map_arrow(both.select("a", "b", "ta", "tb"), _compare(words, percent), "a long, b long, linked boolean")
+    fitting = sized.where(f"100 * least(na, nb) >= {percent} * greatest(na, nb)").select("a", "b")
+    found = map_arrow(with_texts(fitting, texts), _compare(words, percent), "a long, b long, linked boolean")
     return found.where("linked").select("a", "b")
 
 
+def apart_pairs(open_keys: DataFrame, texts: DataFrame, words: int, percent: int) -> DataFrame:
+    """Pairs of sets of different components that may be similar though their centre leaves them apart.
+
+    ``open_keys`` has (a: centre, c: set, root: its component).
+    """
+    pairs = open_keys.where("a != c").select("a", F.col("c").alias("b")).distinct()
+    rows = map_arrow(with_texts(pairs, texts), _differences(words, percent), "a long, b long, key long, apart boolean, surplus long")
+    shared = rows.withColumn("freq", F.count("*").over(Window.partitionBy("key"))).where("freq > 1")
+    mine = Window.partitionBy("a", "b")
+    ranked = shared.select(
+        "b", "key", "apart", (F.count("*").over(mine) - F.col("surplus")).alias("most"),
+        F.row_number().over(mine.orderBy("freq", "key")).alias("rank"),
+    )
+    roots = open_keys.select(F.col("c").alias("b"), "root").distinct()
+    kept = stage(ranked.where("rank <= most").select("b", "key", "apart").join(roots, "b"), "shingle-differences")
+    left = kept.where("apart").select("key", F.col("b").alias("a"), F.col("root").alias("ra"))
+    right = kept.select("key", "b", F.col("root").alias("rb"), F.col("apart").alias("both"))
+    met = left.join(right, "key").where("ra != rb and (a < b or not both)")
+    return met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+
+
 def linked_sets(docs: DataFrame, classes: DataFrame, words: int, percent: int) -> DataFrame:
     """(node, root) of the sets that have links, but the roots."""
     keys = stage(shared_keys(docs, words, percent), "shingle-keys")
+    wanted = keys.select("c").distinct().join(classes, "c")
+    texts = docs.select("doc_id", F.xxhash64(F.coalesce("text", F.lit(""))).alias("version"), "text")
+    texts = stage(texts.join(wanted.select("c", "doc_id", "version"), ["doc_id", "version"]).select("c", "text").dropDuplicates(["c"]), "shingle-texts")
     centre = keys.groupBy("key").agg(F.min("c").alias("a"))
     first = keys.join(centre, "key").where("a != c").select("a", F.col("c").alias("b")).distinct()
-    links = stage(compare(first, classes, docs, words, percent), "shingle-links")
-    roots = components(links)
+    links = stage(compare(first, classes, texts, words, percent), "shingle-links")
+    roots = stage(components(links), "shingle-roots")
     placed = keys.join(roots.withColumnRenamed("node", "c"), "c", "left").select("key", "c", F.coalesce("root", "c").alias("root"))
-    mixed = placed.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low != high").select("key")
-    open_keys = stage(placed.join(mixed, "key"), "shingle-open")
-    left = open_keys.select("key", F.col("c").alias("a"), F.col("root").alias("ra"))
-    right = open_keys.select("key", F.col("c").alias("b"), F.col("root").alias("rb"))
-    rest = left.join(right, "key").where("ra < rb").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    rest = rest.join(first.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti")
-    more = compare(rest, classes, docs, words, percent)
-    return components(links.union(more))
+    mixed = placed.groupBy("key").agg(F.min("c").alias("a"), F.min("root").alias("low"), F.max("root").alias("high")).where("low != high")
+    open_keys = stage(placed.join(mixed.select("key", "a"), "key").select("a", "c", "root").distinct(), "shingle-open")
+    if open_keys.isEmpty():
+        return roots
+    more = stage(compare(apart_pairs(open_keys, texts, words, percent), classes, texts, words, percent), "shingle-more")
+    return roots if more.isEmpty() else components(links.union(more))
 
 
 def similar_documents(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:

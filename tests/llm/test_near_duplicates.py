@@ -76,6 +76,24 @@ def test_a_chain_of_near_copies_is_one_component(docs):
     assert got == brute(rows, 4, 85)
 
 
+def test_near_copies_about_the_threshold(docs):
+    """Many variants of one text, most of them a little too far apart, and some that share their changes."""
+    draw = random.Random(21)
+    base = [f"w{draw.randrange(900)}" for _ in range(150)]
+    rows = []
+    for number in range(90):
+        text = list(base)
+        for _ in range(draw.choice([1, 2, 3, 4])):
+            text[draw.randrange(len(text))] = draw.choice([f"n{number}", "a", "b"])
+        if number % 3 == 0:
+            text[40:44] = ["shared", "change", str(number % 2), "here"]
+            text[90:91] = ["another", "one"]
+        rows.append((number, " ".join(text)))
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in shingle_join.similar_documents(docs(rows)).collect()}
+    want = brute(rows, 4, 85)
+    assert got == want and len({c for _, c in want.values()}) > 3
+
+
 def test_odd_tables(spark, odd, empty):
     rows = shingle_join.similar_documents(odd).collect()
     assert len(rows) == len(ODD) and {r.component_id for r in rows if r.doc_id in (4, 5)} == {4}
