@@ -78,7 +78,7 @@ def declaration_fingerprint(text: Column, body: Column) -> Column:
     return F.concat(
         F.when(tag == "", F.lit("?")).otherwise(tag),
         F.when(empty, F.lit("|empty=1|")).otherwise(F.lit("|empty=0|")),
-        F.array_join(F.slice(keys, 1, 24), ","),
+        F.array_join(keys, ","),
     )
 
 

@@ -39,11 +39,6 @@ def strings(values) -> Column:
     return F.array(*[F.lit(v) for v in values])
 
 
-def any_of(words) -> str:
-    """Case-insensitive alternation of pattern pieces."""
-    return "(?i)(" + "|".join(words) + ")"
-
-
 def first_by_order(order, present: Column) -> Column:
     """First member of ``order`` that occurs in the array ``present``; NULL when none does."""
     return F.get(F.array_intersect(strings(order), present), F.lit(0))

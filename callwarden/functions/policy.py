@@ -33,7 +33,7 @@ def consent_valid(data_type: Column) -> Column:
 
 
 def purpose_allowed(data_type: Column, purpose: Column) -> Column:
-    allowed = const({t: p.split() for t, p in vocab.PURPOSES.items()}, "map<string,array<string>>")
+    allowed = const(vocab.PURPOSES, "map<string,array<string>>")
     return F.coalesce(
         F.array_contains(F.try_element_at(allowed, data_type), purpose), F.lit(False)
     )

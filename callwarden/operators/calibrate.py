@@ -15,14 +15,17 @@ def wall(alpha: Column) -> Column:
     return F.when(usable, F.ceil(inverse) - 1)
 
 
+#: Ranges that [0, 1] is cut into for the running sums; any number gives the same result.
+RANGES = 1024
+
+
 def score_steps(df: DataFrame, *by: str) -> DataFrame:
-    """Per group and confidence: calls, violations, misses at that confidence.
+    """Per group and exact confidence: calls, violations, misses at that confidence.
 
-    A miss is an automatic COMPLIANT on a true violation. Confidences are kept to four
-    decimals, as they are reported, so a group has at most 10,001 steps however large it is.
+    A miss is an automatic COMPLIANT on a true violation.
     """
     bad = F.col("true_violation") != "COMPLIANT"
-    return df.groupBy(*by, F.round("confidence", 4).alias("lam")).agg(
+    return df.groupBy(*by, F.col("confidence").alias("lam")).agg(
         F.count("*").alias("n"),
         F.count_if(bad).alias("n_bad"),
         F.count_if(bad & (F.col("violation") == "COMPLIANT")).alias("n_miss"),
@@ -30,16 +33,36 @@ def score_steps(df: DataFrame, *by: str) -> DataFrame:
 
 
 def cumulative(steps: DataFrame, *by: str) -> DataFrame:
-    """Automatic calls and misses at each threshold: running sums over the bounded steps."""
-    upward = Window.partitionBy(*by).orderBy(F.desc("lam")).rowsBetween(Window.unboundedPreceding, 0)
+    """Automatic calls and misses at each threshold.
+
+    Sums of ranges of confidence come first, at most ``RANGES`` + 1 rows a group; running sums
+    then stay within one range, however many confidences a group has.
+    """
+    steps = steps.withColumn("range", F.floor(F.col("lam") * RANGES))
+    ranges = steps.groupBy(*by, "range").agg(
+        F.sum("n").alias("r_n"), F.sum("n_miss").alias("r_miss"), F.sum("n_bad").alias("r_bad")
+    )
+    above = Window.partitionBy(*by).orderBy(F.desc("range")).rowsBetween(Window.unboundedPreceding, -1)
     whole = Window.partitionBy(*by)
-    return steps.select(
+    ranges = ranges.select(
+        *[F.col(c).alias(f"r_{c}") for c in by],
+        F.col("range").alias("r_range"),
+        F.coalesce(F.sum("r_n").over(above), F.lit(0)).alias("n_above"),
+        F.coalesce(F.sum("r_miss").over(above), F.lit(0)).alias("miss_above"),
+        F.sum("r_n").over(whole).alias("n_all"),
+        F.sum("r_bad").over(whole).alias("n_bad_all"),
+    )
+    same = F.col("range").eqNullSafe(F.col("r_range"))
+    for c in by:
+        same &= F.col(c).eqNullSafe(F.col(f"r_{c}"))
+    upward = Window.partitionBy(*by, "range").orderBy(F.desc("lam")).rowsBetween(Window.unboundedPreceding, 0)
+    return steps.join(ranges, same).select(
         *by,
         "lam",
-        F.sum("n").over(upward).alias("n_auto"),
-        F.sum("n_miss").over(upward).alias("n_miss"),
-        F.sum("n").over(whole).alias("n_all"),
-        F.sum("n_bad").over(whole).alias("n_bad_all"),
+        (F.sum("n").over(upward) + F.col("n_above")).alias("n_auto"),
+        (F.sum("n_miss").over(upward) + F.col("miss_above")).alias("n_miss"),
+        "n_all",
+        "n_bad_all",
     )
 
 

@@ -9,7 +9,7 @@ from callwarden import vocab
 from callwarden.config import AuditConfig
 from callwarden.functions import calls
 from callwarden.functions import patterns as P
-from callwarden.functions.consts import any_of, per_session, strings
+from callwarden.functions.consts import per_session, strings
 
 SCOPE_DECLARATION = r'(?iU)"consent_scope"\s*:\s*\[[^\]]*\]'
 
@@ -25,7 +25,7 @@ def sensitive_hint(stack: Column, body: Column) -> Column:
         F.regexp_extract_all(stack, F.lit("(?U)" + P.IDENTIFIER), F.lit(0)),
         lambda name: F.substring_index(name, ".", -2),
     )
-    words = any_of(vocab.SENSITIVE_WORDS)
+    words = "(?i)(" + vocab.SENSITIVE_PATTERN + ")"
     return F.array_join(tails, "\n").rlike(words) | body.rlike(words)
 
 

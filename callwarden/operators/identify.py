@@ -157,7 +157,7 @@ def resolver_type(rows) -> Column:
 
 def payload_evidence(df: DataFrame) -> DataFrame:
     """Add ``payload_types`` (types named by quoted keys) and ``payload_first`` (best key's type)."""
-    ranked = vocab.payload_ranked()
+    ranked = vocab.PAYLOAD_KEYS
     df = df.withColumn(
         "quoted_keys",
         F.array_distinct(

@@ -9,7 +9,7 @@ from pyspark.ml.classification import (
     OneVsRest,
     RandomForestClassifier,
 )
-from pyspark.ml.feature import IDF, CountVectorizer, HashingTF, StringIndexer, VectorAssembler
+from pyspark.ml.feature import IDF, HashingTF, StringIndexer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -19,17 +19,14 @@ from callwarden.functions import calls
 from callwarden.functions.consts import strings
 
 BUCKETS = 65_536
-MAX_CHARS = 600
 TOP_CATEGORIES = 200
 MISSING = "<MISSING>"
 
 
 # --- features ----------------------------------------------------------------------------
 def char_trigrams(text: Column) -> Column:
-    """Trigrams of ``^token$`` over the lower-cased start of a text."""
-    tokens = F.regexp_extract_all(
-        F.substring(F.lower(text), 1, MAX_CHARS), F.lit("[a-z0-9_$]+"), F.lit(0)
-    )
+    """Trigrams of ``^token$`` over a whole lower-cased text."""
+    tokens = F.regexp_extract_all(F.lower(text), F.lit("[a-z0-9_$]+"), F.lit(0))
     grams = F.transform(
         tokens,
         lambda t: F.transform(
@@ -235,44 +232,49 @@ def joint_confidence(d: Column, v: Column) -> Column:
     )
 
 
-def type_head(df: DataFrame, label: str = "data_type", vocabulary: int = 1 << 16) -> PipelineModel:
-    """Multinomial logistic regression on ``dtype_tokens``."""
+def type_head(df: DataFrame, label: str = "data_type", buckets: int = 1 << 12) -> PipelineModel:
+    """Multinomial logistic regression on ``dtype_tokens``, hashed to ``buckets`` features.
+
+    No feature is dropped by frequency and no dictionary of tokens reaches the driver.
+    """
     stages = [
         StringIndexer(inputCol=label, outputCol="d_label", handleInvalid="keep"),
-        CountVectorizer(inputCol="dtype_tokens", outputCol="d_vec", binary=True, vocabSize=vocabulary),
+        HashingTF(inputCol="dtype_tokens", outputCol="d_vec", binary=True, numFeatures=buckets),
         LogisticRegression(
             featuresCol="d_vec", labelCol="d_label", probabilityCol="d_prob",
-            rawPredictionCol="d_raw", predictionCol="d_pred", regParam=0.01, maxIter=30,
+            rawPredictionCol="d_raw", predictionCol="d_pred", regParam=0.01, maxIter=15,
         ),
     ]
     return Pipeline(stages=stages).fit(df)
 
 
-def encode_signals(df: DataFrame) -> DataFrame:
-    """Add one text column per scalar signal and the scope indicators, for the tree model."""
+def encode_signals(df: DataFrame, buckets: int = 64) -> DataFrame:
+    """Add one number per scalar signal and the scope indicators, for the tree model.
+
+    A signal's value is hashed to ``buckets``, so fields of free text need no dictionary and the
+    trees' bins don't depend on how many values a field has.
+    """
     fields = [k for k in vocab.SIGNAL_KEYS if k != "consent_scope"]
     scope = scope_vector()
     df = df.withColumn("scope_flags", scope)
-    cols = {f"s_{k}": signal_text(k) for k in fields}
+    cols = {f"s_{k}": F.pmod(F.xxhash64(signal_text(k)), F.lit(buckets)).cast("double") for k in fields}
     cols |= {f"c_{t}": F.get("scope_flags", F.lit(i)) for i, t in enumerate(vocab.PERSONAL_TYPES)}
     return df.withColumns(cols)
 
 
-def violation_head(df: DataFrame, label: str = "violation", trees: int = 30, depth: int = 12) -> PipelineModel:
+def violation_head(
+    df: DataFrame, label: str = "violation", trees: int = 30, depth: int = 12, buckets: int = 64
+) -> PipelineModel:
     """Trees over encoded signals; they express the policy's conjunctions."""
     fields = [f"s_{k}" for k in vocab.SIGNAL_KEYS if k != "consent_scope"]
     flags = [f"c_{t}" for t in vocab.PERSONAL_TYPES]
-    indexer = StringIndexer(
-        inputCols=fields, outputCols=[f + "_i" for f in fields], handleInvalid="keep"
-    )
     stages = [
         StringIndexer(inputCol=label, outputCol="v_label", handleInvalid="keep"),
-        indexer,
-        VectorAssembler(inputCols=[f + "_i" for f in fields] + flags, outputCol="v_vec"),
+        VectorAssembler(inputCols=fields + flags, outputCol="v_vec"),
         RandomForestClassifier(
             featuresCol="v_vec", labelCol="v_label", probabilityCol="v_prob",
             rawPredictionCol="v_raw", predictionCol="v_pred", numTrees=trees, maxDepth=depth,
-            maxBins=1024, seed=7,
+            maxBins=buckets, seed=7,
         ),
     ]
     return Pipeline(stages=stages).fit(df)

@@ -83,45 +83,73 @@ def pii_scan(df: DataFrame, column: str = "text", around: int = 12) -> DataFrame
     )
 
 
-def scrub_params(df: DataFrame, body: str = "body") -> DataFrame:
-    """Add ``scrubbed``: keys kept, values made safe; at most 60 keys.
+def safe_json(value, depth: int):
+    """JSON of a variant with every string made safe, item by item down to ``depth`` levels.
 
-    Values are typed by a variant map, so numbers, booleans and nulls stay as they are.
+    Numbers, booleans and nulls stay as they are; what lies deeper is redacted whole.
+    Keys of inner objects come in alphabetical order.
+    """
+    kind = F.schema_of_variant(value)
+    plain = value.cast("string")
+    safe = (
+        F.when(kind == "STRING", _as_json(X.scrub_value(plain)))
+        .when(kind == "VOID", "null")
+        .when(kind.isin("BOOLEAN", "BIGINT", "DOUBLE") | kind.startswith("DECIMAL"), plain)
+    )
+    if depth:
+        items = F.transform(value.cast("array<variant>"), lambda v: F.coalesce(safe_json(v, depth - 1), F.lit("null")))
+        pairs = F.transform(
+            F.map_entries(value.cast("map<string,variant>")),
+            lambda e: F.concat(_as_json(e["key"]), F.lit(": "), F.coalesce(safe_json(e["value"], depth - 1), F.lit("null"))),
+        )
+        safe = safe.when(kind.startswith("ARRAY"), F.concat(F.lit("["), F.array_join(items, ", "), F.lit("]")))
+        safe = safe.when(kind.startswith("OBJECT"), F.concat(F.lit("{"), F.array_join(pairs, ", "), F.lit("}")))
+    return safe.otherwise(_as_json(X.redacted(plain)))
+
+
+def _as_json(s):
+    return F.regexp_replace(F.to_json(F.struct(s.alias("v"))), r'(?s)^\{"v":(.*)\}$', "$1")
+
+
+def scrub_params(
+    df: DataFrame, body: str = "body", max_keys: int | None = None, cap: int | None = None, depth: int = 3
+) -> DataFrame:
+    """Add ``scrubbed``: keys kept, values made safe, lists and objects item by item.
+
+    Values under sensitive keys are redacted whole. ``max_keys`` keeps only the first keys and
+    ``cap`` cuts a body that isn't an object; by default nothing is cut.
     """
     parsed = F.from_json(
         F.col(body), "map<string,string>", {"allowSingleQuotes": "false"}
     )
     kinds = F.from_json(F.col(body), "map<string,variant>", {"allowSingleQuotes": "false"})
     df = df.withColumns({"_m": parsed, "_k": kinds})
-    quoted = lambda s: F.to_json(F.struct(s.alias("v")))
-    as_json = lambda s: F.regexp_replace(quoted(s), r'(?s)^\{"v":(.*)\}$', "$1")
 
     def entry(key, value):
         kind = F.schema_of_variant(value)
-        plain = value.cast("string")
-        masked = F.when(key.rlike(P.SENSITIVE_KEY), as_json(X.redacted(F.coalesce(plain, F.lit("None")))))
-        safe = (
-            F.when(kind == "STRING", as_json(X.scrub_value(plain)))
-            .when(kind == "VOID", "null")
-            .when(kind.isin("BOOLEAN", "BIGINT", "DOUBLE") | kind.startswith("DECIMAL"), plain)
-            .otherwise(as_json(X.redacted(plain)))
-        )
-        return F.concat(as_json(key), F.lit(": "), F.coalesce(masked, safe))
+        plain = F.when(kind == "BOOLEAN", F.initcap(value.cast("string"))).otherwise(value.cast("string"))
+        masked = F.when(key.rlike(P.SENSITIVE_KEY), _as_json(X.redacted(F.coalesce(plain, F.lit("None")))))
+        return F.concat(_as_json(key), F.lit(": "), F.coalesce(masked, safe_json(value, depth), F.lit("null")))
 
-    entries = F.transform(
-        F.slice(F.map_entries("_k"), 1, 60), lambda e: entry(e["key"], e["value"])
-    )
+    held = F.map_entries("_k")
+    held = held if max_keys is None else F.slice(held, 1, max_keys)
+    entries = F.transform(held, lambda e: entry(e["key"], e["value"]))
     whole = F.when(
-        F.col("_m").isNull(), X.scrub_str(F.col(body), 2000)
+        F.col("_m").isNull(), X.scrub_str(F.col(body), cap)
     ).otherwise(F.concat(F.lit("{"), F.array_join(entries, ", "), F.lit("}")))
     return df.withColumn("scrubbed", whole).drop("_m", "_k")
 
 
-def scrub_text(df: DataFrame, column: str = "text", level: str = "safe", cap: int = 2000) -> DataFrame:
-    """Add ``safe_text`` at one of the levels meta (nothing), safe, full (cut only)."""
+def scrub_text(df: DataFrame, column: str = "text", level: str = "safe", cap: int | None = None) -> DataFrame:
+    """Add ``safe_text`` at one of the levels meta (nothing), safe, full (as it is).
+
+    ``cap`` cuts the result to so many characters; by default nothing is cut.
+    """
     text = F.col(column)
     if level == "meta":
         return df.withColumn("safe_text", F.lit(None).cast("string"))
+    if level == "full" and cap is None:
+        return df.withColumn("safe_text", text)
     if level == "full":
         cut = F.when(F.length(text) > cap, F.concat(F.substring(text, 1, cap), F.lit("…<trunc>")))
         return df.withColumn("safe_text", F.coalesce(cut, text))
@@ -133,11 +161,11 @@ def scrub_text(df: DataFrame, column: str = "text", level: str = "safe", cap: in
             "_body": F.regexp_extract(text, PARAM_BLOCK, 1),
         }
     )
-    df = scrub_params(df, "_body")
+    df = scrub_params(df, "_body", cap=cap)
     body = F.when(F.col("_body") != "", F.col("scrubbed")).otherwise(X.scrub_str(F.col("_tail"), cap))
     joined = F.when(
         F.col("_tail").isNotNull(), F.concat(F.col("_head"), F.lit("\nparams: "), body)
     ).otherwise(X.scrub_str(F.col("_head"), cap))
-    return df.withColumn("safe_text", F.substring(joined, 1, cap)).drop(
+    return df.withColumn("safe_text", joined if cap is None else F.substring(joined, 1, cap)).drop(
         "_head", "_tail", "_body", "scrubbed"
     )

@@ -201,7 +201,7 @@ def _hmac(message: str) -> str:
 
 DECLARATION_SHAPES = D.with_(*D.CALL_CTES) + f""",
 fp AS (SELECT platform || '|empty=' || CASE WHEN contains(body, '"consent_scope": []') THEN '1' ELSE '0' END
-   || '|' || array_to_string(list_sort(json_keys(body))[1:24], ',') AS fingerprint FROM seg),
+   || '|' || array_to_string(list_sort(json_keys(body)), ',') AS fingerprint FROM seg),
 g AS (SELECT fingerprint, count(*) AS n FROM fp GROUP BY 1)
 SELECT fingerprint, n, CAST('0x' || substr({_hmac('fingerprint')}, 1, 8) AS BIGINT) / 4294967296.0 < 0.25 AS sampled FROM g"""
 
@@ -470,7 +470,7 @@ def contradiction_revocation(spark, sf):
 
 CONTRADICTION_REVOCATION = D.with_(*D.VERDICT_CTES) + """,
 r AS (SELECT id, ts, platform || '|empty=' || CASE WHEN contains(body, '"consent_scope": []') THEN '1' ELSE '0' END
-   || '|' || array_to_string(list_sort(json_keys(body))[1:24], ',') AS fingerprint,
+   || '|' || array_to_string(list_sort(json_keys(body)), ',') AS fingerprint,
    coalesce(review_reason LIKE 'empty_scope_structure%', false) AS gate, clash FROM verdicts),
 d AS (SELECT *, clash OR (gate AND id % 11 = 0) AS detected FROM r),
 w AS (SELECT *, coalesce(sum(detected::INT) OVER (PARTITION BY fingerprint ORDER BY ts, id
@@ -489,7 +489,7 @@ def audited_classify(spark, sf):
 
 AUDITED_CLASSIFY = D.with_(*D.VERDICT_CTES) + """,
 r AS (SELECT *, platform || '|empty=' || CASE WHEN contains(body, '"consent_scope": []') THEN '1' ELSE '0' END
-   || '|' || array_to_string(list_sort(json_keys(body))[1:24], ',') AS fingerprint FROM verdicts),
+   || '|' || array_to_string(list_sort(json_keys(body)), ',') AS fingerprint FROM verdicts),
 w AS (SELECT *, coalesce(sum(clash::INT) OVER (PARTITION BY fingerprint ORDER BY ts, id
    ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) > 0 AS seen FROM r)
 SELECT CASE WHEN seen AND review_reason LIKE 'empty_scope_structure%' THEN 'scope_declaration_revoked'

@@ -26,7 +26,7 @@ def trigram_counts(spark, sf):
     return learn.gram_counts(df, "lang", hashed=False)
 
 
-_tokens = "regexp_extract_all(substr(lower({t}), 1, 600), '[a-z0-9_$]+')"
+_tokens = "regexp_extract_all(lower({t}), '[a-z0-9_$]+')"
 GRAMS = f"""
 WITH k AS (SELECT lang, unnest({_tokens.format(t='text')}) AS tok FROM documents),
 g AS (SELECT lang, unnest(list_transform(range(1, length(tok) + 1), lambda i: substr('^' || tok || '$', i, 3))) AS gram FROM k),
@@ -71,11 +71,20 @@ a AS (SELECT id, label, score, row_number() OVER (PARTITION BY id ORDER BY score
 SELECT id, label, round(score, 3) AS score FROM a WHERE rn = 1"""
 
 
+#: Share of the labelled calls that models learn from; they are measured on all others.
+TRAINED = 0.5
+
+
+def _trained(key: str = "id", share: float = TRAINED):
+    """Whether a row is one to learn from, by a hash of its key."""
+    return F.pmod(F.xxhash64(key), F.lit(1000)) < int(1000 * share)
+
+
 def bayes_guard(spark, sf):
-    """Hashed type guard trained on one half of the calls, measured on all."""
+    """Hashed type guard trained on a share of the calls, measured on the rest."""
     df = calls(spark, sf).select("id", "text", "true_dt")
-    weights, classes = learn.nb_train(df.filter("id % 2 = 0"), "true_dt")
-    scored = learn.nb_guard(df, weights, classes)
+    weights, classes = learn.nb_train(df.filter(_trained()), "true_dt")
+    scored = learn.nb_guard(df.filter(~_trained()), weights, classes)
     return metrics.guard_accuracy(
         scored.withColumn("pred", F.coalesce("guard_type", F.lit("NONE"))), "true_dt", "pred"
     )
@@ -96,13 +105,14 @@ def _labelled_features(spark, sf):
 
 
 def model_suggestions(spark, sf):
-    """Both heads trained on half of the calls; agreement of their pair with the truth.
+    """Both heads trained on a share of the calls; agreement of their pair with the truth on the rest.
 
     Training reads the features many times, so they are written once first.
     """
     df = cut_lineage(_labelled_features(spark, sf))
-    train = df.filter("id % 2 = 0")
-    out = learn.combined_suggestion(df, learn.type_head(train), learn.violation_head(train, trees=10, depth=10))
+    train = df.filter(_trained())
+    types, violations = learn.type_head(train), learn.violation_head(train, trees=5, depth=8)
+    out = learn.combined_suggestion(df.filter(~_trained()), types, violations)
     truth = C.build_combo(F.col("data_type"), F.col("violation"))
     return out.agg(
         F.count("*").alias("n"),
@@ -116,8 +126,8 @@ def linear_baseline(spark, sf):
     """TF-IDF of character n-grams under linear machines, by language of documents."""
     df = table(spark, sf, "documents").select("doc_id", "lang", learn.char_grams(F.col("text")).alias("char_grams"))
     df = cut_lineage(spread(df))
-    model = learn.tfidf_baseline(df.filter("doc_id % 4 = 0"), "lang")
-    out = model.transform(df).select("lang", "t_label", "t_pred", learn.softmax(vector_to_array("rawPrediction")).alias("p"))
+    model = learn.tfidf_baseline(df.filter(_trained("doc_id", 0.25)), "lang")
+    out = model.transform(df.filter(~_trained("doc_id", 0.25))).select("lang", "t_label", "t_pred", learn.softmax(vector_to_array("rawPrediction")).alias("p"))
     return out.groupBy("lang").agg(
         F.count("*").alias("n"),
         F.avg((F.col("t_label") == F.col("t_pred")).cast("double")).alias("accuracy"),

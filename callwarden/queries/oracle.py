@@ -100,7 +100,7 @@ class_tok AS (SELECT DISTINCT platform, data_type, lower(cls) AS token FROM cat_
   WHERE length(cls)>=5 AND lower(cls) NOT IN {members(vocab.GENERIC_CLASSES)}),
 method_tok AS (SELECT DISTINCT platform, data_type, lower(mth) AS token FROM cat_parts
   WHERE length(mth)>=8 AND (length(mth)>=10 OR length(regexp_replace(mth,'[^A-Z]','','g'))>=2)),
-payload_tok AS (SELECT * FROM (VALUES {rows([(i, k, t) for i, (k, t) in enumerate(vocab.payload_ranked())])}) t(rank, key, data_type)),
+payload_tok AS (SELECT * FROM (VALUES {rows([(i, k, t) for i, (k, t) in enumerate(vocab.PAYLOAD_KEYS)])}) t(rank, key, data_type)),
 risk AS (SELECT * FROM (VALUES {rows(list(enumerate(vocab.RISK_ORDER)))}) t(risk, data_type))"""
 
 HITS = f"""
@@ -155,7 +155,7 @@ def signals(source: str) -> str:
 
 
 _allowed = " OR ".join(
-    f"({{t}} = {text(t)} AND purpose IN {members(p.split())})" for t, p in vocab.PURPOSES.items()
+    f"({{t}} = {text(t)} AND purpose IN {members(p)})" for t, p in vocab.PURPOSES.items()
 )
 
 
@@ -173,7 +173,7 @@ def policy(t: str) -> str:
     ELSE 'COMPLIANT' END"""
 
 
-HINT = "(?i)(" + "|".join(vocab.SENSITIVE_WORDS) + ")"
+HINT = "(?i)(" + vocab.SENSITIVE_PATTERN + ")"
 _missing = "((cs IS NULL)::INT + (crypto IS NULL)::INT + (mask IS NULL)::INT)"
 VERDICTS = f"""
 pol AS (SELECT *, {policy("dt")} AS v, CASE {_missing} WHEN 0 THEN 0.99 WHEN 1 THEN 0.8 ELSE 0.55 END AS conf0,

@@ -98,7 +98,8 @@ def scrub_call_params(spark, sf):
     df = calls(spark, sf)
     body = F.concat(
         F.lit('{"phone": "13800138000", "state": "granted", "n": 5, "ok": true, "none": null, "note": "'),
-        F.col("token"), F.lit('", "long": "'), F.sha1("text"), F.lit('"}'),
+        F.col("token"), F.lit('", "long": "'), F.sha1("text"), F.lit('", "consent_scope": ["PHONE", "'), F.sha1("text"),
+        F.lit('", 7, null], "inner": {"mode": "a.b", "deep": {"list": [true, "'), "token", F.lit('"]}}}'),
     )
     df = seal(df.select("id", F.concat(F.lit("[platform=ios]\nstack: a.B.c\nparams: "), body).alias("text")), "text")
     return scan.scrub_text(df).select("id", "safe_text")
@@ -110,7 +111,10 @@ SELECT id, '[platform=ios]' || chr(10) || 'stack: a.B.c' || chr(10) || 'params:
   || '>", "state": "granted", "n": 5, "ok": true, "none": null, "note": "' ||
   CASE WHEN length(token) <= 24 AND regexp_matches(token, '^[A-Za-z0-9_.]*$') THEN token
        ELSE '<redacted:len=' || length(token) || ':sha1=' || {_sha('token')} || '>' END
-  || '", "long": "<redacted:len=40:sha1=' || {_sha('sha1(text)')} || '>"}}' AS safe_text FROM calls"""
+  || '", "long": "<redacted:len=40:sha1=' || {_sha('sha1(text)')} || '>", "consent_scope": ["PHONE", "<redacted:len=40:sha1=' || {_sha('sha1(text)')}
+  || '>", 7, null], "inner": {{"deep": {{"list": [true, "' ||
+  CASE WHEN length(token) <= 24 AND regexp_matches(token, '^[A-Za-z0-9_.]*$') THEN token
+       ELSE '<redacted:len=' || length(token) || ':sha1=' || {_sha('token')} || '>' END || '"]}}, "mode": "a.b"}}}}' AS safe_text FROM calls"""
 
 
 def pii_scan_documents(spark, sf):
