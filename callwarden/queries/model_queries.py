@@ -91,17 +91,19 @@ def bayes_guard(spark, sf):
 
 
 def _labelled_features(spark, sf):
-    df = signals.parse_signals(segmented(spark, sf))
-    df = signals.normalize_signals(df)
+    """Inputs of both heads; parsed signals are sealed, as every feature refers to them."""
+    df = signals.normalize_signals(signals.parse_signals(segmented(spark, sf)))
+    df = seal(df.select("id", "text", "stack", "body", "true_dt", "raw", "present", "sig", "malformed"), "raw", "present", "sig", "malformed")
     df = df.withColumns(
         {
             "violation": policy.decide_ex(F.col("true_dt"), F.col("malformed"))["violation"],
             "dtype_tokens": learn.dtype_features(F.col("text"), F.col("stack"), F.col("body")),
         }
-    ).filter("violation is not null")
+    )
+    df = seal(df, "violation", "dtype_tokens").filter("violation is not null")
     df = learn.encode_signals(df)
     keep = ["id", "true_dt", "violation", "dtype_tokens", *[c for c in df.columns if c[:2] in ("s_", "c_")]]
-    return seal(df.select(*keep), "violation").withColumnRenamed("true_dt", "data_type")
+    return df.select(*keep).withColumnRenamed("true_dt", "data_type")
 
 
 def model_suggestions(spark, sf):
