@@ -37,11 +37,11 @@ from callwarden.llm.common import U64, blocks, documents, map_arrow, mix
 MODEL = "piece_bpe_32k.model"
 BLANK = 0x2581
 #: Text of a block; the larger, the more chunks of it are alike.
-TEXT_BYTES = 4 << 20
+TEXT_BYTES = 6 << 20
 #: Slots of the table of tried pairs; a later pair of the same slot takes its place.
 PAIR_SLOTS = 1 << 21
 #: Distinct chunks that a worker remembers before it starts anew.
-KNOWN_CHUNKS = 300_000
+KNOWN_CHUNKS = 500_000
 #: Cells (chunks x positions) of the lattices advanced at once.
 CELLS = 1 << 20
 UNIGRAM, BPE = 1, 2
@@ -157,7 +157,7 @@ class Codec:
         self.unknown = int(unknown[0]) if len(unknown) else 0
         self.bytes = {int(model.pieces[i][1:-1], 16): int(i) for i in np.flatnonzero(model.kinds == _BYTE)}
         self.pairs, self.legal = np.full(PAIR_SLOTS, -1), np.zeros(PAIR_SLOTS, bool)
-        self.chunks: dict[int, np.ndarray] = {}
+        self.chunks: dict[int, bytes] = {}
         self.whole = np.zeros(self.outside + 1, bool)
         if self.algorithm == BPE:
             self.whole[self.outside] = True
@@ -234,13 +234,16 @@ class Codec:
         verdict = np.ones(len(a), bool)
         real = np.flatnonzero((a < self.outside) & (b < self.outside))
         sizes = self.sizes[a[real]] + self.sizes[b[real]]
-        for size in np.unique(sizes):
-            some = real[sizes == size]
-            joined = np.array([np.concatenate([self.codes[x], self.codes[y]]) for x, y in zip(a[some].tolist(), b[some].tolist(), strict=True)])
-            merged = self.merge(joined)
-            verdict[some] = (merged[:, 0] == a[some]) & (merged[:, 1] == b[some])
-            if size > 2:
-                verdict[some] &= merged[:, 2] == -1
+        for low, high in ((0, 9), (9, 15), (15, 2 * self.longest)):
+            some = real[(sizes > low) & (sizes <= high)]
+            if len(some):  # blanks of code 0 fill the rows up; they are in no piece
+                rows = np.zeros((len(some), int((self.sizes[a[some]] + self.sizes[b[some]]).max())), np.uint32)
+                for row, x, y in zip(rows, a[some].tolist(), b[some].tolist(), strict=True):
+                    left, right = self.codes[x], self.codes[y]
+                    row[: len(left)] = left
+                    row[len(left) : len(left) + len(right)] = right
+                merged = self.merge(rows)
+                verdict[some] = (merged[:, 0] == a[some]) & (merged[:, 1] == b[some])
         return verdict
 
     def search(self, chunks: np.ndarray) -> np.ndarray:
@@ -304,11 +307,12 @@ class Codec:
         if len(self.chunks) > KNOWN_CHUNKS:
             self.chunks = {}
         names = names.tolist()
-        fresh = kinds[[i for i, n in enumerate(names) if n not in self.chunks]]
-        self.chunks.update(zip([n for n in names if n not in self.chunks], self._distinct(codes, starts[fresh], lengths[fresh]), strict=True))
+        new = [i for i, n in enumerate(names) if n not in self.chunks]
+        fresh = kinds[new]
+        self.chunks.update(zip([names[i] for i in new], self._distinct(codes, starts[fresh], lengths[fresh]), strict=True))
         found = [self.chunks[n] for n in names]
-        of = np.fromiter(map(len, found), np.int64, len(found))
-        ids, first = np.concatenate(found), np.cumsum(of) - of
+        of = np.fromiter(map(len, found), np.int64, len(found)) // 4
+        ids, first = np.frombuffer(b"".join(found), np.int32), np.cumsum(of) - of
         sizes = of[which]
         ends = np.cumsum(sizes)
         out = ids[np.arange(int(ends[-1])) + np.repeat(first[which] - ends + sizes, sizes)]
@@ -326,9 +330,9 @@ class Codec:
             out[first : first + len(a)] = mix((sums[low + n] - sums[low]) * self._inverse(len(part) + 1)[low] + n.astype(np.uint64))
         return out
 
-    def _distinct(self, codes: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> list[np.ndarray]:
-        """Ids of each of these distinct chunks."""
-        found: list[np.ndarray] = [np.empty(0, np.int32)] * len(starts)
+    def _distinct(self, codes: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> list[bytes]:
+        """Ids of each of these distinct chunks, as 32-bit integers."""
+        found = [b""] * len(starts)
         for length in np.unique(lengths):
             same = np.flatnonzero(lengths == length)
             step = max(CELLS // int(length), 1)
@@ -336,11 +340,11 @@ class Codec:
                 some = same[at : at + step]
                 rows = self.search(codes[starts[some][:, None] + np.arange(length)])
                 odd = np.flatnonzero((rows == self.outside).any(axis=1))
-                flat, ends = rows[rows >= 0].astype(np.int32), np.cumsum((rows >= 0).sum(axis=1)).tolist()
+                flat, ends = rows[rows >= 0].astype(np.int32).tobytes(), (4 * np.cumsum((rows >= 0).sum(axis=1))).tolist()
                 for k, a, b in zip(some.tolist(), [0, *ends[:-1]], ends, strict=True):
                     found[k] = flat[a:b]
                 for k in some[odd].tolist():
-                    found[k] = self._fall_back(codes[starts[k] :][:length], found[k])
+                    found[k] = self._fall_back(codes[starts[k] :][:length], np.frombuffer(found[k], np.int32)).tobytes()
         return found
 
     def _fall_back(self, chunk: np.ndarray, ids: np.ndarray) -> np.ndarray:
