@@ -22,10 +22,11 @@ def api_catalog(spark: SparkSession, path: str | None = None) -> DataFrame:
 
 
 def with_sources(catalog: DataFrame, sources: DataFrame, uncertain: DataFrame) -> DataFrame:
-    """Catalogue rows with the source pages of their (platform, type) and an uncertain flag."""
-    pages = sources.groupBy("platform", "data_type").agg(
-        F.array_sort(F.collect_set("url")).alias("urls")
-    )
+    """Catalogue rows with how many pages back their (platform, type), and an uncertain flag.
+
+    The pages themselves stay in ``sources``, one row each.
+    """
+    pages = sources.distinct().groupBy("platform", "data_type").agg(F.count("url").alias("n_urls"))
     doubt = uncertain.select(F.lower("token").alias("low")).distinct().withColumn(
         "uncertain", F.lit(True)
     )

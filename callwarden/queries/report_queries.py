@@ -582,7 +582,7 @@ def catalog_pages(spark, sf):
     )
     doubt = _observed(spark, sf).filter("rank % 10 = 3").select("token")
     out = catalog.with_sources(catalog.api_catalog(spark), sources, doubt)
-    return out.select("platform", "data_type", "token", "cloud", "uncertain", F.when(F.col("urls").isNull(), 0).otherwise(F.size("urls")).alias("n_urls"))
+    return out.select("platform", "data_type", "token", "cloud", "uncertain", F.coalesce("n_urls", F.lit(0)).alias("n_urls"))
 
 
 CATALOG_PAGES = OBSERVED + f""",
