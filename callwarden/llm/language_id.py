@@ -30,6 +30,8 @@ BUCKETS = 1 << 14
 WIDTH = 12
 #: Most training documents of one language, and in all; chosen by a hash of the id.
 PER_LANGUAGE, SAMPLE = 800, 4000
+#: Parts that a language is drawn from, so that a frequent one isn't ranked in one task.
+DRAWS = 64
 FOLDS, HELD_OUT = 5, 0
 #: Share of right answers wanted among the texts that aren't rejected.
 PRECISION = 0.99
@@ -166,8 +168,9 @@ def train(docs: DataFrame, per_language: int = PER_LANGUAGE, most: int = SAMPLE,
     """Model from a bounded sample outside the held-out fold; its subword counts reach the driver."""
     known = docs.where("doc_id is not null and lang is not null and text is not null").where(doc_crc() % folds != held_out)
     known = known.select("doc_id", "lang", F.xxhash64("doc_id", "lang").alias("draw"))
-    order = Window.partitionBy("lang").orderBy("draw", "doc_id")
-    chosen = known.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= per_language)
+    order = Window.partitionBy("lang", F.pmod("draw", F.lit(DRAWS))).orderBy("draw", "doc_id")
+    each = -(-per_language // DRAWS)
+    chosen = known.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= each)
     chosen = chosen.orderBy("rank", "draw", "doc_id").limit(most).select("doc_id", "lang").distinct()
     sample = docs.where("text is not null").select("doc_id", "lang", "text").join(F.broadcast(chosen), ["doc_id", "lang"])
     rows = map_arrow(sample, _bags, "doc_id long, lang string, buckets array<int>, times array<int>").toArrow().sort_by([("doc_id", "ascending"), ("lang", "ascending")])
