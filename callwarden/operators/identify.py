@@ -16,7 +16,6 @@ from callwarden.functions.consts import const, first_by_order, strings
 from callwarden.operators.staging import seal
 
 TOKENS_DDL = "map<string,array<struct<token:string,spaced:string,types:array<string>>>>"
-CATALOG_LIMIT = 20_000
 SCOPE_LIST = r'(?iU)"consent_scope"\s*:\s*\[([^\]]*)\]'
 
 
@@ -56,8 +55,6 @@ def method_token(token: Column) -> Column:
 
 def _by_platform(rows, part) -> dict[str, list[dict]]:
     """{platform or '*': [{token, spaced, types}]} for one part of every token."""
-    if len(rows) > CATALOG_LIMIT:
-        raise ValueError(f"catalogue of {len(rows)} rows is too large to ship inside a plan")
     index: dict[str, dict[str, list[str]]] = {p: {} for p in vocab.PLATFORMS}
     for platform, data_type, token in rows:
         name = part(token)

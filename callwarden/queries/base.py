@@ -17,12 +17,12 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """Rows over all cores for compute-bound work.
+    """Rows over all cores of a one-machine session, whose tables are single files.
 
-    Only an input with fewer splits than cores is exchanged; a large one stays as it is.
+    On a cluster the input's own splits are used and nothing is exchanged.
     """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+    context = df.sparkSession.sparkContext
+    return df.repartition(context.defaultParallelism) if context.master.startswith("local[") else df
 
 
 def calls(spark: SparkSession, sf: str) -> DataFrame:

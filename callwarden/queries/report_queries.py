@@ -548,12 +548,12 @@ SELECT a.platform, count(*) AS n_pairs FROM t a JOIN t b ON a.platform = b.platf
 
 def catalog_gaps(spark, sf):
     """Types that no observed full name covers, per platform."""
-    seen = _observed(spark, sf).filter("token not like 'com.vendor%' and token not like 'a.b%' and rank % 2 = 0")
+    seen = _observed(spark, sf).filter("token not like 'com.vendor%' and token not like 'a.b%'")
     return catalog.catalog_gaps(seen)
 
 
 GAPS = OBSERVED + f""",
-s AS (SELECT * FROM obs WHERE token NOT LIKE 'com.vendor%' AND token NOT LIKE 'a.b%' AND rank % 2 = 0)
+s AS (SELECT * FROM obs WHERE token NOT LIKE 'com.vendor%' AND token NOT LIKE 'a.b%')
 SELECT p.platform, t.data_type FROM (SELECT DISTINCT platform FROM s) p, (SELECT unnest({D.texts(vocab.PERSONAL_TYPES)}) AS data_type) t
 WHERE NOT EXISTS (SELECT 1 FROM s WHERE s.platform = p.platform AND s.data_type = t.data_type)"""
 

@@ -123,12 +123,28 @@ def pii_scan_documents(spark, sf):
     return hits.groupBy("rule", "lang").agg(F.count("*").alias("n"), F.countDistinct("doc_id").alias("n_docs"))
 
 
+_runs = "regexp_extract_all(text, '[0-9]+')"
+_word = "\\pL\\pN_"
+_found = lambda pattern, group=0: f"regexp_extract_all(text, {D.text(pattern)}, {group})"
 _scan = {
-    "mobile": "(?:^|[^0-9])(1[3-9][0-9]{9})(?:[^0-9]|$)",
-    "bankcard": "(?:^|[^0-9])([0-9]{16,19})(?:[^0-9]|$)",
-    "secret": "(?i)\\b((?:sk|ak|pk|ghp|xox[baprs])[-_][A-Za-z0-9_\\-]{16,})",
-    "url": "(https?://[^\\s\"']+)",
+    "mobile": f"list_filter({_runs}, lambda x: regexp_full_match(x, '1[3-9][0-9]{{9}}'))",
+    "idcard": "list_filter(regexp_extract_all(text, '[0-9]+[Xx]?'), lambda x: regexp_full_match(x, '[0-9]{17}[Xx]|[0-9]{18}[Xx]?'))",
+    "bankcard": f"list_filter({_runs}, lambda x: length(x) BETWEEN 16 AND 19)",
+    "email": _found(f"(?:^|[^{_word}.+-])([A-Za-z0-9_][{_word}.+-]*@[A-Za-z0-9][{_word}-]*\\.[A-Za-z]{{2,}})", 1),
+    "geo": _found("(?:^|[^0-9])([0-9]{1,3}\\.[0-9]{4,},\\s*-?[0-9]{1,3}\\.[0-9]{4,})", 1),
+    "secret": _found(P.SECRET_KEY),
+    "credential": _found(P.CREDENTIAL),
+    "url": _found(P.URL),
+    "long_number": f"list_filter({_runs}, lambda x: length(x) >= 20)",
+    "blob": f"list_filter({_found(P.SCAN_BLOB)}, lambda x: regexp_full_match(x, '[0-9]+') OR regexp_matches(x, '[=+]')"
+    " OR regexp_full_match(x, '[0-9a-fA-F]{32,}') OR starts_with(x, 'eyJ')"
+    " OR length(regexp_replace(x, '[^0-9]', '', 'g')) / length(x) >= 0.10)",
 }
+PII_SCAN_DOCUMENTS = (
+    "WITH hits AS ("
+    + " UNION ALL ".join(f"SELECT {D.text(rule)} AS rule, lang, doc_id, unnest({hits}) AS hit FROM documents" for rule, hits in _scan.items())
+    + ") SELECT rule, lang, count(*) AS n, count(DISTINCT doc_id) AS n_docs FROM hits GROUP BY 1, 2"
+)
 
 
 def pii_scan_snippets(spark, sf):
@@ -336,7 +352,14 @@ def code_words(spark, sf):
 
 
 _words = D.members(sorted(set(X.CODE_WORDS.split())))
-_parts = "regexp_extract_all({}, '[A-Z]?[a-z]+|[A-Z]+|[0-9]+')"
+_parts = "regexp_extract_all(regexp_replace({}, '([A-Z])([A-Z][a-z])', '\\1 \\2', 'g'), '[A-Z]?[a-z]+|[A-Z]+|[0-9]+')"
+_score = lambda c: f"CAST(len(list_filter({_parts.format(c)}, lambda w: lower(w) IN {_words})) AS INT)"
+_turned = f"translate(token, '{X.LETTERS}', '{X.LETTERS[13:26] + X.LETTERS[:13] + X.LETTERS[39:] + X.LETTERS[26:39]}')"
+CODE_WORDS = D.with_(D.CALLS) + f""",
+t AS (SELECT token, {_turned} AS turned FROM (SELECT DISTINCT token FROM calls))
+SELECT token, {_score('token')} AS score, turned = token OR (length(token) >= 6 AND regexp_matches(turned, '[A-Za-z]{{2,}}')
+    AND {_score('turned')} = 0 AND {_score('token')} >= 1) AS undone,
+  round(length(token) / (length(token) + 1), 6) AS printable, length(token) >= 4 AND regexp_matches(token, '[A-Za-z]') AS plausible FROM t"""
 
 
 def xor_tokens(spark, sf):
@@ -355,7 +378,7 @@ QUERIES = {
     "scrub_documents": (scrub_documents, SCRUB_DOCUMENTS),
     "scrub_log_text": (scrub_log_text, None),
     "scrub_call_params": (scrub_call_params, SCRUB_CALL_PARAMS),
-    "pii_scan_documents": (pii_scan_documents, None),
+    "pii_scan_documents": (pii_scan_documents, PII_SCAN_DOCUMENTS),
     "pii_scan_snippets": (pii_scan_snippets, None),
     "value_shapes_documents": (value_shapes_documents, VALUE_SHAPES_DOCUMENTS),
     "disguised_numbers": (disguised_numbers, DISGUISED_NUMBERS),
@@ -365,6 +388,6 @@ QUERIES = {
     "fold_text": (fold_text, FOLD_TEXT),
     "token_decoding": (token_decoding, TOKEN_DECODING),
     "restored_calls": (restored_calls, RESTORED_CALLS),
-    "code_words": (code_words, None),
+    "code_words": (code_words, CODE_WORDS),
     "xor_tokens": (xor_tokens, None),
 }
