@@ -66,23 +66,29 @@ def cumulative(steps: DataFrame, *by: str) -> DataFrame:
     )
 
 
-def crc_lambda(df: DataFrame, *by: str, alpha: float = vocab.ALPHA_TARGET, bound: float = 1.0) -> DataFrame:
-    """Smallest threshold whose conformal bound on the miss rate stays within ``alpha``.
+def crc_lambdas(df: DataFrame, *by: str, alphas: list[float], bound: float = 1.0) -> DataFrame:
+    """Smallest threshold whose conformal bound on the miss rate stays within each ``alpha``.
 
     The bound is n/(n+1) * risk + B/(n+1) over true violations; NULL when even the highest
-    observed confidence is too risky.
+    observed confidence is too risky. The calls are read once for all levels.
     """
     table = cumulative(score_steps(df, *by), *by)
+    table = table.withColumn("alpha", F.explode(F.array(*[F.lit(a) for a in alphas])))
     n = F.col("n_bad_all")
     risk = F.when(n > 0, F.col("n_miss") / n).otherwise(0.0)
     limit = n / (n + 1) * risk + F.lit(bound) / (n + 1)
-    return table.groupBy(*by).agg(
+    return table.groupBy(*by, "alpha").agg(
         F.max("n_all").alias("n"),
         F.max("n_bad_all").alias("n_violation"),
-        F.min(F.when(limit <= alpha, F.col("lam"))).alias("lambda_hat"),
+        F.min(F.when(limit <= F.col("alpha"), F.col("lam"))).alias("lambda_hat"),
     )
 
 
+def crc_lambda(df: DataFrame, *by: str, alpha: float = vocab.ALPHA_TARGET, bound: float = 1.0) -> DataFrame:
+    """:func:`crc_lambdas` at one level."""
+    return crc_lambdas(df, *by, alphas=[alpha], bound=bound).drop("alpha")
+
+
 def lambda_for_budget(df: DataFrame, budget: float, *by: str) -> DataFrame:
     """Largest threshold whose review rate stays within ``budget``."""
     table = cumulative(score_steps(df, *by), *by)

@@ -99,8 +99,13 @@ def _typed_outcome(df: DataFrame, cfg: AuditConfig) -> DataFrame:
 
 
 def row_verdicts(df: DataFrame, cfg: AuditConfig) -> DataFrame:
-    """Everything that depends on the call alone; keeps the columns of ``df``."""
+    """Everything that depends on the call alone; keeps the columns of ``df``.
+
+    The text of an oversized call is set aside first, so no pattern ever runs over it.
+    """
     keep = df.columns
+    small = F.length("text") <= vocab.MAX_TEXT_CHARS
+    df = df.withColumns({"_whole": F.col("text"), "text": F.when(small, F.col("text"))})
     df = identify.identify(with_segments(df), cfg.catalog)
     df = signals.normalize_signals(signals.parse_signals(df))
     if "guard_type" not in df.columns:
@@ -112,7 +117,7 @@ def row_verdicts(df: DataFrame, cfg: AuditConfig) -> DataFrame:
     df = df.withColumns(
         {
             "gate_reason": F.when(F.col("data_type").isNull(), gates.none_gate_reason(cfg)),
-            "oversized": F.length("text") > vocab.MAX_TEXT_CHARS,
+            "oversized": F.coalesce(F.length("_whole") > vocab.MAX_TEXT_CHARS, F.lit(False)),
         }
     )
     passes = F.col("data_type").isNull() & F.col("gate_reason").isNull()
@@ -162,7 +167,7 @@ def row_verdicts(df: DataFrame, cfg: AuditConfig) -> DataFrame:
         "detected": F.coalesce(F.size("value_shapes") > 0, F.lit(False))
         | (F.col("data_type").isNotNull() & F.coalesce("contradiction", F.lit(False))),
     }
-    kept = [c for c in keep if c not in verdict]
+    kept = [F.col("_whole").alias(c) if c == "text" else c for c in keep if c not in verdict]
     df = df.select(*kept, *[c.alias(n) for n, c in verdict.items()])
     return seal(df, *verdict)
 
@@ -197,6 +202,8 @@ def classify_calls(
                     F.col("review_reason")
                 ),
                 "needs_review": hit | F.col("needs_review"),
+                "bounds": F.when(~hit, F.col("bounds")),
+                "auto_lambda": F.when(~hit, F.col("auto_lambda")),
             }
         ).drop("is_revoked")
     combo = F.when(F.col("data_type").isNull(), "UNKNOWN||UNKNOWN").otherwise(

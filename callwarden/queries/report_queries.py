@@ -445,10 +445,7 @@ cu AS (SELECT platform, lam, sum(n) OVER w AS n_auto, sum(nm) OVER w AS n_miss,
 
 def crc_thresholds(spark, sf):
     """Conformal thresholds per platform at a wide and the strict risk level."""
-    df = _scored(spark, sf)
-    wide = K.crc_lambda(df, "platform", alpha=0.1).withColumn("alpha", F.lit(0.1))
-    strict = K.crc_lambda(df, "platform").withColumn("alpha", F.lit(vocab.ALPHA_TARGET))
-    return wide.unionByName(strict)
+    return K.crc_lambdas(_scored(spark, sf), "platform", alphas=[0.1, vocab.ALPHA_TARGET])
 
 
 _crc = "min(lam) FILTER (WHERE n_bad/(n_bad+1)*(n_miss/n_bad) + 1/(n_bad+1) <= {a})"
@@ -469,10 +466,7 @@ def group_certification(spark, sf):
     """Certifiability per platform and vendor with bounds from the observed base risk."""
     df = _scored(spark, sf).withColumn("vendor", F.col("user_id") % 5)
     groups = K.group_certification(df, "platform", "vendor", alpha=0.02)
-    risk = df.groupBy("platform", "vendor").agg(
-        F.avg((F.col("true_violation") != "COMPLIANT").cast("double")).alias("mu")
-    )
-    return K.certification_columns(groups.join(risk, ["platform", "vendor"]), alpha=0.02)
+    return K.certification_columns(groups.withColumn("mu", F.col("n_violation") / F.col("n")), alpha=0.02)
 
 
 GROUPS = CARELESS + """,
