@@ -18,15 +18,19 @@ A document is the set of its distinct word shingles, as 64-bit hashes. Two sets
   those inside boilerplate); the order by frequency is the same for all sets, so nothing is lost.
 
 Exact copies are merged first, by the hash of the whole set. Then each set of a key is compared with the
-key's centre, its smallest name, and linked sets become components, so a group of n near copies
-costs about n comparisons. Where a key still holds several components, pairs aren't tried one by
+key's centre, the set with the fewest cells of its own, and linked sets become components, so a
+group of n near copies costs about n comparisons. Where a key still holds several components, pairs aren't tried one by
 one either. Let E(x) be the shingles in which x and the centre differ. If a isn't similar to the centre
 and E(a), E(b) have nothing in common, then ``|a ^ b| = |E(a)| + |E(b)|``, and with
 ``|E(a)| > f (|a| + |centre|)`` and ``|b| <= |centre| + |E(b)|`` that is more than ``f (|a| + |b|)`` for
 f = (100 - percent) / (100 + percent): a and b aren't similar. So similar sets that the centre leaves
-apart share a difference from it. These differences are keys in turn, the rarest first: of a set
-that isn't linked to the centre its d + 1 rarest, as a and b have ``|E(a)| - d`` in common at least; of one
-that is, all but the ``|E(b)| (1 - f) / 2`` most frequent. Every comparison intersects the shingles
+apart share a difference from it. These differences are keys in turn, the rarest first. With d the most
+differences of similar sets, ``|a ^ b| <= d`` means ``(|E(a)| + |E(b)| - d) / 2`` common ones or more:
+
+* both apart from the centre: ``(|E(a)| - f (|a| - |centre|)) / 2``, so the rarer half are keys;
+* a apart, b not: ``|E(a)| - d`` for a, whose d + 1 rarest are keys, and ``|E(b)| (1 - f) / 2`` for b.
+
+Pairs whose numbers of differences alone rule them out are dropped. Every comparison intersects the shingles
 of the whole texts, and no pair of one component is formed.
 
 Thresholds below 75 percent leave too few shingles to a cell and raise an error.
@@ -215,7 +219,11 @@ def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def shared_keys(docs: DataFrame, words: int, percent: int) -> DataFrame:
-    """(key, c): the rarest keys of each set that other sets have too."""
+    """(key, c, most): the rarest keys of each set that other sets have too.
+
+    ``most`` is d + 1 less the cells of the set that no other set shares: the higher, the more
+    central the set is among those of its keys.
+    """
     rows = map_arrow(docs.select("text"), _keys(words, percent), "key long, c long, tag int")
     dealt = rows.repartition("key").sortWithinPartitions("key", "c")
     shared = map_arrow(dealt, _shared, "key long, c long, tag int, freq int")
@@ -224,7 +232,7 @@ def shared_keys(docs: DataFrame, words: int, percent: int) -> DataFrame:
         "key", "c", (F.count("*").over(mine) - F.col("tag").bitwiseAND((1 << 17) - 1)).alias("most"),
         F.row_number().over(mine.orderBy("freq", "key")).alias("rank"),
     )
-    return ranked.where("rank <= most").select("key", "c")
+    return ranked.where("rank <= most").select("key", "c", F.col("most").cast("int").alias("most"))
 
 
 def _pairs_of_sets(batches: Iterator[pa.RecordBatch], words: int) -> Iterator[tuple[pa.RecordBatch, list[np.ndarray], list[np.ndarray]]]:
@@ -247,26 +255,32 @@ def _compare(words: int, percent: int):
 
 
 def _differences(words: int, percent: int):
-    """For each pair (centre a, set b): b's differences as (key, apart, surplus) rows.
+    """For each pair (centre a, set b): a row for each of b's differences.
 
-    ``apart`` says that b isn't similar to a; ``surplus`` is the number of its most frequent
-    differences that need not be keys.
+    ``apart`` says that b isn't similar to a; ``surplus`` and ``surplus_apart`` are the numbers of
+    its most frequent differences that need not be keys, against any set and against sets
+    that are apart; ``differ`` and ``size`` are the numbers of its differences and shingles.
     """
     low, high = 100 - percent, 100 + percent
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, left, right in _pairs_of_sets(batches, words):
-            rows: list[list[np.ndarray]] = [[], [], [], [], []]
+            keys, times, facts = [], [], []
             for a, b, x, y in zip(part.column("a").to_pylist(), part.column("b").to_pylist(), left, right, strict=True):
                 gone, new = np.setdiff1d(x, y, assume_unique=True), np.setdiff1d(y, x, assume_unique=True)
                 count = len(gone) + len(new)
                 apart = count * high > low * (len(x) + len(y))
                 most = low * (len(y) + len(y) * 100 // percent) // high
                 surplus = max(count - (most + 1), 0) if apart else count * (high - low) // (2 * high)
-                keys = mix(np.concatenate([new, mix(gone)]) ^ mix(np.array([a]).view(np.uint64)))
-                for column, value in zip(rows, (np.full(count, a), np.full(count, b), keys.view(np.int64), np.full(count, apart), np.full(count, surplus)), strict=True):
-                    column.append(value)
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in rows], names=["a", "b", "key", "apart", "surplus"])
+                common = -(-(count * high - low * (len(y) - len(x))) // (2 * high))  # rounded up
+                keys.append((mix(np.concatenate([new, mix(gone)]) ^ mix(np.array([a]).view(np.uint64)))).view(np.int64))
+                times.append(count)
+                facts.append((a, b, apart, surplus, max(common, 1) - 1, count, len(y)))
+            columns = [np.repeat(np.array(c), times) for c in zip(*facts, strict=True)]
+            columns = [c.astype(k) for c, k in zip(columns, ("i8", "i8", "?", "i4", "i4", "i4", "i4"), strict=True)]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(np.concatenate(keys)), *map(pa.array, columns)], names=["key", "a", "b", "apart", "surplus", "surplus_apart", "differ", "size"]
+            )
 
     return run
 
@@ -292,18 +306,21 @@ def apart_pairs(open_keys: DataFrame, texts: DataFrame, words: int, percent: int
     ``open_keys`` has (a: centre, c: set, root: its component).
     """
     pairs = open_keys.where("a != c").select("a", F.col("c").alias("b")).distinct()
-    rows = map_arrow(with_texts(pairs, texts), _differences(words, percent), "a long, b long, key long, apart boolean, surplus long")
+    kinds = "key long, a long, b long, apart boolean, surplus int, surplus_apart int, differ int, size int"
+    rows = map_arrow(with_texts(pairs, texts), _differences(words, percent), kinds)
     shared = rows.withColumn("freq", F.count("*").over(Window.partitionBy("key"))).where("freq > 1")
     mine = Window.partitionBy("a", "b")
     ranked = shared.select(
-        "b", "key", "apart", (F.count("*").over(mine) - F.col("surplus")).alias("most"),
-        F.row_number().over(mine.orderBy("freq", "key")).alias("rank"),
-    )
+        "b", "key", "apart", "surplus", "surplus_apart", "differ", "size",
+        F.count("*").over(mine).alias("many"), F.row_number().over(mine.orderBy("freq", "key")).alias("rank"),
+    ).where("rank <= many - surplus")
     roots = open_keys.select(F.col("c").alias("b"), "root").distinct()
-    kept = stage(ranked.where("rank <= most").select("b", "key", "apart").join(roots, "b"), "shingle-differences")
-    left = kept.where("apart").select("key", F.col("b").alias("a"), F.col("root").alias("ra"))
-    right = kept.select("key", "b", F.col("root").alias("rb"), F.col("apart").alias("both"))
-    met = left.join(right, "key").where("ra != rb and (a < b or not both)")
+    kept = ranked.select("b", "key", "apart", (F.col("rank") <= F.col("many") - F.col("surplus_apart")).alias("rare"), "differ", "size")
+    kept = stage(kept.join(roots, "b"), "shingle-differences")
+    left = kept.where("apart").select("key", F.col("b").alias("a"), F.col("root").alias("ra"), F.col("rare").alias("rare_a"), F.col("differ").alias("da"), F.col("size").alias("na"))
+    right = kept.select("key", "b", F.col("root").alias("rb"), "apart", "rare", F.col("differ").alias("db"), F.col("size").alias("nb"))
+    fits = f"abs(da - db) * {100 + percent} <= {100 - percent} * (na + nb) and 100 * least(na, nb) >= {percent} * greatest(na, nb)"
+    met = left.join(right, "key").where(f"ra != rb and (not apart or (a < b and rare and rare_a)) and {fits}")
     return met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
@@ -313,12 +330,12 @@ def linked_sets(docs: DataFrame, classes: DataFrame, words: int, percent: int) -
     wanted = keys.select("c").distinct().join(classes, "c")
     texts = docs.select("doc_id", F.xxhash64(F.coalesce("text", F.lit(""))).alias("version"), "text")
     texts = stage(texts.join(wanted.select("c", "doc_id", "version"), ["doc_id", "version"]).select("c", "text").dropDuplicates(["c"]), "shingle-texts")
-    centre = keys.groupBy("key").agg(F.min("c").alias("a"))
-    first = keys.join(centre, "key").where("a != c").select("a", F.col("c").alias("b")).distinct()
+    centre = F.max_by("c", F.struct("most", "c")).alias("a")
+    first = keys.join(keys.groupBy("key").agg(centre), "key").where("a != c").select("a", F.col("c").alias("b")).distinct()
     links = stage(compare(first, classes, texts, words, percent), "shingle-links")
     roots = stage(components(links), "shingle-roots")
-    placed = keys.join(roots.withColumnRenamed("node", "c"), "c", "left").select("key", "c", F.coalesce("root", "c").alias("root"))
-    mixed = placed.groupBy("key").agg(F.min("c").alias("a"), F.min("root").alias("low"), F.max("root").alias("high")).where("low != high")
+    placed = keys.join(roots.withColumnRenamed("node", "c"), "c", "left").select("key", "c", "most", F.coalesce("root", "c").alias("root"))
+    mixed = placed.groupBy("key").agg(centre, F.min("root").alias("low"), F.max("root").alias("high")).where("low != high")
     open_keys = stage(placed.join(mixed.select("key", "a"), "key").select("a", "c", "root").distinct(), "shingle-open")
     if open_keys.isEmpty():
         return roots
