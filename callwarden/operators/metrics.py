@@ -20,12 +20,13 @@ def truth_join(decisions: DataFrame, truth: DataFrame) -> DataFrame:
 
 
 def with_outcome(df: DataFrame) -> DataFrame:
-    """Add ``path``: what happened to each labelled call."""
+    """Add ``path``: what happened to each call; ``unlabelled`` where no truth is known."""
     auto, pred = ~F.col("needs_review"), F.col("violation")
     bad = F.col("true_violation") != "COMPLIANT"
     return df.withColumn(
         "path",
-        F.when(~auto, F.when(bad, "violation_reviewed").otherwise("compliant_reviewed"))
+        F.when(F.col("true_violation").isNull(), "unlabelled")
+        .when(~auto, F.when(bad, "violation_reviewed").otherwise("compliant_reviewed"))
         .when(bad & pred.isNull(), "violation_undecided")
         .when(bad & (pred == "COMPLIANT"), "violation_missed")
         .when(bad & (severity(pred) > severity(F.col("true_violation"))), "violation_downgraded")
