@@ -30,7 +30,9 @@ differences of similar sets, ``|a ^ b| <= d`` means ``(|E(a)| + |E(b)| - d) / 2`
 * both apart from the centre: ``(|E(a)| - f (|a| - |centre|)) / 2``, so the rarer half are keys;
 * a apart, b not: ``|E(a)| - d`` for a, whose d + 1 rarest are keys, and ``|E(b)| (1 - f) / 2`` for b.
 
-Pairs whose numbers of differences alone rule them out are dropped. Every comparison intersects the shingles
+With ``SHARED`` - 1 more keys each, similar sets share ``SHARED`` keys or all those they must have in
+common, so pairs that meet in fewer aren't compared. Pairs whose numbers of differences alone
+rule them out are dropped. Every comparison intersects the shingles
 of the whole texts, and no pair of one component is formed.
 
 Thresholds below 75 percent leave too few shingles to a cell and raise an error.
@@ -59,6 +61,9 @@ STAGE_WORDS, STAGE_PERCENT = 5, 80
 SPARE = (0.15, 0.2, 0.3, 0.45)
 #: Rows of one key that a task holds back to count them; a key with more counts as this many.
 HELD_ROWS = 1 << 16
+#: Rare differences that two sets apart from their centre must share to be compared (fewer if
+#: they need not have as many in common): with so many more keys each, no similar pair has fewer.
+SHARED = 4
 #: Set hashes that a task remembers so as to sketch its own copies once.
 REMEMBERED = 1 << 20
 
@@ -310,17 +315,26 @@ def apart_pairs(open_keys: DataFrame, texts: DataFrame, words: int, percent: int
     rows = map_arrow(with_texts(pairs, texts), _differences(words, percent), kinds)
     shared = rows.withColumn("freq", F.count("*").over(Window.partitionBy("key"))).where("freq > 1")
     mine = Window.partitionBy("a", "b")
+    more = F.lit(SHARED - 1)
     ranked = shared.select(
-        "b", "key", "apart", "surplus", "surplus_apart", "differ", "size",
+        "a", "b", "key", "apart", "surplus", "surplus_apart", "differ", "size",
         F.count("*").over(mine).alias("many"), F.row_number().over(mine.orderBy("freq", "key")).alias("rank"),
-    ).where("rank <= many - surplus")
+    )
+    ranked = ranked.where(F.col("rank") <= F.col("many") - F.greatest(F.col("surplus") - more, F.lit(0)))
+    rare = F.col("rank") <= F.col("many") - F.greatest(F.col("surplus_apart") - more, F.lit(0))
     roots = open_keys.select(F.col("c").alias("b"), "root").distinct()
-    kept = ranked.select("b", "key", "apart", (F.col("rank") <= F.col("many") - F.col("surplus_apart")).alias("rare"), "differ", "size")
+    kept = ranked.select(F.col("a").alias("centre"), "b", "key", "apart", rare.alias("rare"), "surplus", "surplus_apart", "differ", "size")
     kept = stage(kept.join(roots, "b"), "shingle-differences")
-    left = kept.where("apart").select("key", F.col("b").alias("a"), F.col("root").alias("ra"), F.col("rare").alias("rare_a"), F.col("differ").alias("da"), F.col("size").alias("na"))
-    right = kept.select("key", "b", F.col("root").alias("rb"), "apart", "rare", F.col("differ").alias("db"), F.col("size").alias("nb"))
+    left = kept.where("apart").select(
+        "key", "centre", F.col("b").alias("a"), F.col("root").alias("ra"), F.col("rare").alias("rare_a"), F.col("surplus").alias("sa"),
+        F.col("surplus_apart").alias("pa"), F.col("differ").alias("da"), F.col("size").alias("na"),
+    )
+    right = kept.select("key", "b", F.col("root").alias("rb"), "apart", "rare", F.col("surplus").alias("sb"), F.col("surplus_apart").alias("pb"), F.col("differ").alias("db"), F.col("size").alias("nb"))
     fits = f"abs(da - db) * {100 + percent} <= {100 - percent} * (na + nb) and 100 * least(na, nb) >= {percent} * greatest(na, nb)"
     met = left.join(right, "key").where(f"ra != rb and (not apart or (a < b and rare and rare_a)) and {fits}")
+    common = F.when(F.col("apart"), F.greatest("pa", "pb")).otherwise(F.greatest("sa", "sb")) + 1
+    met = met.groupBy("centre", "a", "b").agg(F.count("*").alias("meet"), F.max(common).alias("common"))
+    met = met.where(F.col("meet") >= F.least(F.col("common"), F.lit(SHARED)))
     return met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
