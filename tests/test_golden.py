@@ -9,10 +9,11 @@ from callwarden import vocab
 from callwarden.config import AuditConfig
 from callwarden.functions import patterns as P
 from callwarden.functions import text as X
-from callwarden.operators import catalog, metrics, restore
+from callwarden.operators import catalog, metrics, restore, scan
 from callwarden.plans.classify import classify_calls
 from callwarden.plans.funnel import run_funnel
 
+# --- fixed values: malformed inputs that must go to review, never crash ---
 MALFORMED = [
     "",
     "   \n\t  ",
@@ -166,3 +167,20 @@ def test_key_search_equals_trying_every_key(spark):
     got = {r.token: r.xor_plain for r in restore.xor_key_search(df).collect()}
     assert got[hidden[2]] is None
     assert all(got[h] == best_key(h) for h in hidden[:2])
+
+
+def test_restored_text_needs_no_id(spark):
+    """Rows with equal or NULL ids keep their own texts, and NULL stays NULL."""
+    texts = ["[platform=ios]\nstack: a.B.c\nparams: {\"k\": \"granted\"}", "x\u200by other", None, ""]
+    rows = [(1, texts[0]), (1, texts[1]), (None, texts[0]), (None, texts[1]), (2, texts[2]), (2, texts[3])]
+    out = restore.restore_text(spark.createDataFrame(rows, "id long, text string")).collect()
+    want = {texts[0]: texts[0], texts[1]: "xy other", None: None, "": ""}
+    assert len(out) == len(rows) and all(r.normalized == want[r.text] for r in out)
+
+
+def test_scrubbed_lists_and_objects_keep_their_items(spark):
+    body = '{"a": ["PHONE", "13800138000", 5, null, {"b": true}], "phone": true, "o": {"x": [], "y": {}}}'
+    (row,) = scan.scrub_params(spark.createDataFrame([(body,)], "body string")).collect()
+    assert re.sub("sha1=[0-9a-f]+", "sha1=", row.scrubbed) == (
+        '{"a": ["PHONE", "<redacted:len=11:sha1=>", 5, null, {"b": true}], "phone": "<redacted:len=4:sha1=>", "o": {"x": [], "y": {}}}'
+    )

@@ -18,7 +18,9 @@ CORE = [
     "contradiction_revocation", "leak_by_platform", "funnel", "crc_thresholds", "certificate_check",
     "catalog_collisions", "hook_log_import", "scrub_documents", "value_shapes_documents",
     "disguised_numbers", "split_numbers", "structural_reasons", "token_decoding",
-    "restored_calls", "bayes_languages", "scores_softmax",
+    "restored_calls", "bayes_languages", "scores_softmax", "scrub_call_params", "code_words",
+    "pii_scan_documents", "call_files", "event_files", "certificate_files", "revocation_files",
+    "hook_log_files", "token_parts", "top_events",
 ]
 NAMES = list(registered()) if os.environ.get("CALLWARDEN_ALL") else CORE
 
