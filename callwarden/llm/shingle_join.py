@@ -28,7 +28,7 @@ apart share a difference from it. These differences are keys in turn, the rarest
 differences of similar sets, ``|a ^ b| <= d`` means ``(|E(a)| + |E(b)| - d) / 2`` common ones or more:
 
 * both apart from the centre: ``(|E(a)| - f (|a| - |centre|)) / 2``, so the rarer half are keys;
-* a apart, b not: ``|E(a)| - d`` for a, whose d + 1 rarest are keys, and ``|E(b)| (1 - f) / 2`` for b.
+* a apart, b not: ``|E(a)| - d`` for a, whose d + 1 rarest are keys, and ``(|E(b)| - f (|b| - |centre|)) / 2`` for b.
 
 With ``SHARED`` - 1 more keys each, similar sets share ``SHARED`` keys or all those they must have in
 common, so pairs that meet in fewer aren't compared. Pairs whose numbers of differences alone
@@ -63,7 +63,7 @@ SPARE = (0.15, 0.2, 0.3, 0.45)
 HELD_ROWS = 1 << 16
 #: Rare differences that two sets apart from their centre must share to be compared (fewer if
 #: they need not have as many in common): with so many more keys each, no similar pair has fewer.
-SHARED = 4
+SHARED = 1
 #: Set hashes that a task remembers so as to sketch its own copies once.
 REMEMBERED = 1 << 20
 
@@ -276,8 +276,8 @@ def _differences(words: int, percent: int):
                 count = len(gone) + len(new)
                 apart = count * high > low * (len(x) + len(y))
                 most = low * (len(y) + len(y) * 100 // percent) // high
-                surplus = max(count - (most + 1), 0) if apart else count * (high - low) // (2 * high)
                 common = -(-(count * high - low * (len(y) - len(x))) // (2 * high))  # rounded up
+                surplus = max(count - (most + 1), 0) if apart else max(common, 1) - 1
                 keys.append((mix(np.concatenate([new, mix(gone)]) ^ mix(np.array([a]).view(np.uint64)))).view(np.int64))
                 times.append(count)
                 facts.append((a, b, apart, surplus, max(common, 1) - 1, count, len(y)))
