@@ -1,13 +1,17 @@
 """Benchmark decontamination by templates that outlive changed numbers, names and units.
 
-Every word is stripped of ASCII punctuation at both ends and A-Z is lower-cased. Numbers, units
-that follow a number, and names (words with a capital that don't begin a sentence) become typed
-placeholders, so "Tom has 5 kg" and "Ann has 70 lb" are one template. Windows of ``WINDOW``
-template words are looked up in a hash table of the benchmark's windows.
+Every word is stripped of ASCII punctuation at both ends and A-Z is lower-cased. Numbers, units and
+names of an item become typed placeholders wherever they stand, so "Tom has 5 kg" and "Ann has
+70 lb" are one template. Names are the words with a capital, those that open a sentence too; "a" and
+"in" are units only after a number. Windows of ``WINDOW`` words of a document are looked up in hash
+tables of the benchmark's windows, one for each set of places with literals, so a document's words
+need no reading of their own: a placeholder takes the word of the item itself, or any number, any
+known unit or any word with a capital. Copies in capitals or lower case are found by this as well.
 
 A document holds an item if matched windows cover at least ``SHARE`` of the item's windows, or
-``RUN`` consecutive ones. Only windows with ``LITERALS`` words that aren't placeholders are
-evidence, and only consistent ones: within one document and item, each value of the item's slots
+``RUN`` consecutive ones. Windows are evidence if ``LITERALS`` of their words aren't placeholders by
+their place (inside a sentence, after a number) and ``LEAST_FIXED`` aren't placeholders at all, and
+only consistent ones: within one document and item, each value of the item's slots
 must stand for one value of the document and the other way round, so a re-parameterised question
 is caught and chance agreements of placeholders are not.
 
@@ -33,7 +37,7 @@ from pyspark.sql import functions as F
 from callwarden.llm.common import U64, blocks, column_bytes, documents, map_arrow, mix, owners, span_hashes, word_spans
 from callwarden.llm.text_stats import DIGITS, UPPERCASE
 
-WINDOW, LITERALS = 5, 3
+WINDOW, LITERALS, LEAST_FIXED = 5, 3, 2
 SHARE, RUN = 0.5, 9
 BLOCK_CHARS = 4 << 20
 
@@ -44,14 +48,18 @@ UNITS = (
     "hours day days week weeks month months year years km/h mph kph m/s hz khz mhz ghz w kw mw kwh j kj cal kcal v a pa kpa bar psi "
     "c f k °c °f % percent usd eur gbp dollar dollars euro euros cent cents pound kb mb gb tb bit bits byte bytes degree degrees"
 ).split()
+#: Units that are everyday words too.
+COMMON = ["a", "in"]
 _PUNCTUATION = np.zeros(256, bool)
 _PUNCTUATION[[c for c in range(33, 127) if not chr(c).isalnum() and chr(c) not in "%+-"]] = True
 _NUMERIC = DIGITS.copy()
 _NUMERIC[[ord(c) for c in ".,:/%+-"]] = True
 _STOPS = np.zeros(256, bool)
 _STOPS[[ord(c) for c in ".!?"]] = True
+_SMALL = np.zeros(256, bool)
+_SMALL[[*range(ord("a"), ord("z") + 1), *range(0xC4, 0x100)]] = True
 LITERAL, NUMBER, UNIT, NAME = range(4)
-_SLOT_CODES = mix(np.arange(1, 5, dtype=np.uint64) * U64(0x5851F42D4C957F2D))
+_PLACES = mix(np.arange(1, WINDOW + 1, dtype=np.uint64) * U64(0x5851F42D4C957F2D)) | U64(1)
 
 
 def _text_hashes(words: list[str]) -> np.ndarray:
@@ -61,38 +69,41 @@ def _text_hashes(words: list[str]) -> np.ndarray:
 
 
 _UNIT_HASHES = np.sort(_text_hashes(sorted(set(UNITS))))
+_COMMON_HASHES = _text_hashes(COMMON)
 
 
 @dataclass
-class Template:
-    """Words of a block: kind, value (hash of the stripped lower-case word) and template code."""
+class Words:
+    """Words of a block of texts: value (hash of the stripped lower-case word) and form."""
 
-    kind: np.ndarray
     value: np.ndarray
-    code: np.ndarray
+    number: np.ndarray
+    unit: np.ndarray  # a known unit
+    capital: np.ndarray
+    lower: np.ndarray  # has lower-case letters
+    opening: np.ndarray  # begins a text, a line or a sentence
     first: np.ndarray  # first word of each document and of the end
 
-    def windows(self) -> tuple[np.ndarray, np.ndarray]:
-        """(first word, hash) of every window that is evidence."""
-        count = max(len(self.code) - WINDOW + 1, 0)
-        if not count:
-            return np.empty(0, np.int64), np.empty(0, np.uint64)
-        hashes = np.zeros(count, np.uint64)
-        for k in range(WINDOW):
-            hashes = hashes * U64(0xD6E8FEB86659FD93) + self.code[k : k + count]
-        plain = np.concatenate([[0], np.cumsum(self.kind == LITERAL)])
-        good = plain[WINDOW:] - plain[:-WINDOW] >= LITERALS
-        doc = owners(self.first)
-        good &= doc[:count] == doc[WINDOW - 1 :]
-        at = np.flatnonzero(good)
-        return at, mix(hashes[at])
+    def kinds(self) -> tuple[np.ndarray, np.ndarray]:
+        """(kind of every word of items, whether it is a placeholder by its place already).
 
+        Words with a capital are names wherever they stand, unless their text has no lower-case
+        letters. Known units are units wherever they stand, but ``COMMON`` ones only after a number.
+        """
+        kind = np.zeros(len(self.value), np.int8)
+        cased = np.add.reduceat(np.append(self.lower, False), self.first[:-1])[owners(self.first)] > 0 if len(kind) else self.lower
+        behind = np.concatenate([[False], self.number[:-1]])[: len(kind)]
+        name = self.capital & cased
+        unit = self.unit & (behind | ~np.isin(self.value, _COMMON_HASHES))
+        kind[name], kind[unit & ~(name & ~self.opening & ~behind)], kind[self.number] = NAME, UNIT, NUMBER
+        return kind, self.number | unit & behind | name & ~self.opening
 
-def template(data: np.ndarray, edges: np.ndarray) -> Template:
+
+def words_of(data: np.ndarray, edges: np.ndarray) -> Words:
     starts, ends, first = word_spans(data, edges)
     if not len(starts):
-        none = np.empty(0, np.uint64)
-        return Template(np.empty(0, np.int8), none, none, first)
+        none = np.empty(0, bool)
+        return Words(np.empty(0, np.uint64), none, none, none, none, none, first)
     place = np.arange(len(data), dtype=np.int32)
     solid = ~_PUNCTUATION[data]
     after = np.minimum.accumulate(np.where(solid, place, len(data))[::-1])[::-1]
@@ -103,98 +114,147 @@ def template(data: np.ndarray, edges: np.ndarray) -> Template:
     low, high = np.where(empty, starts, low), np.where(empty, ends, high)
     head = data[low]
     following = data[np.minimum(low + 1, len(data) - 1)]
-    numeric, digits = (np.concatenate([[0], np.cumsum(t[data], dtype=np.int64)]) for t in (_NUMERIC, DIGITS))
+    numeric, digits, small = (np.concatenate([[0], np.cumsum(t[data], dtype=np.int64)]) for t in (_NUMERIC, DIGITS, _SMALL))
     number = (numeric[high] - numeric[low] == high - low) & (digits[high] > digits[low])
     value = span_hashes(data, low, high, fold=True)
-    kind = np.zeros(len(starts), np.int8)
     capital = UPPERCASE[head] | ((head == 0xC3) & (following >= 0x80) & (following <= 0x9E))
     opening = np.ones(len(starts), bool)
     opening[1:] = _STOPS[data[ends[:-1] - 1]] | (data[starts[1:] - 1] == 10) | (data[ends[:-1]] == 10)
     opening[first[:-1][first[:-1] < len(starts)]] = True
-    kind[capital & ~opening] = NAME
-    kind[number] = NUMBER
-    behind = np.zeros(len(starts), bool)
-    behind[1:] = number[:-1]
-    maybe = np.flatnonzero(behind & ~number)
-    kind[maybe[np.isin(value[maybe], _UNIT_HASHES)]] = UNIT
-    code = np.where(kind == LITERAL, value, _SLOT_CODES[kind])
-    return Template(kind, value, code, first)
+    unit = ~number & (_UNIT_HASHES[np.minimum(np.searchsorted(_UNIT_HASHES, value), len(_UNIT_HASHES) - 1)] == value)
+    return Words(value, number, unit, capital, small[high] > small[low], opening, first)
+
+
+def window_codes(value: np.ndarray) -> list[np.ndarray]:
+    """For each place in a window, what a literal there adds to the hash of every window."""
+    count = max(len(value) - WINDOW + 1, 0)
+    return [value[k : k + count] * _PLACES[k] for k in range(WINDOW)]
+
+
+def mask_hashes(codes: list[np.ndarray], mask: int) -> np.ndarray:
+    """Hash of every window whose literals are at the places of ``mask``."""
+    chosen = [codes[k] for k in range(WINDOW) if mask >> k & 1]
+    total = chosen[0] + chosen[1]
+    for code in chosen[2:]:
+        total += code
+    return total
 
 
 @dataclass
-class Index:
-    """Windows of a benchmark block, sorted by hash, and the words they point to."""
+class Windows:
+    """Evidence windows of a block with literals at the same places, sorted by hash."""
 
-    items: np.ndarray  # item ids
+    mask: int
     hashes: np.ndarray
     words: np.ndarray  # first word of each window
     item: np.ndarray  # item number of each window
     rank: np.ndarray  # number of the window within its item
+    shift: np.uint64
+    maybe: np.ndarray  # 1 for the upper bits of any hash
+
+    @classmethod
+    def build(cls, mask: int, hashes: np.ndarray, words: np.ndarray, item: np.ndarray, rank: np.ndarray) -> Windows:
+        order = np.argsort(hashes, kind="stable")
+        bits = min(max(16, len(hashes).bit_length() + 4), 24)
+        maybe = np.zeros(1 << bits, bool)
+        maybe[(hashes >> U64(64 - bits)).astype(np.int64)] = True
+        return cls(mask, hashes[order], words[order], item[order], rank[order], U64(64 - bits), maybe)
+
+    def hits(self, codes: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+        """(window of the documents, number of a window here) of every pair with equal hashes."""
+        hashes = mask_hashes(codes, self.mask)
+        at = np.flatnonzero(self.maybe[(hashes >> self.shift).astype(np.int64)])
+        hashes = hashes[at]
+        low, high = np.searchsorted(self.hashes, hashes, "left"), np.searchsorted(self.hashes, hashes, "right")
+        times = high - low
+        return np.repeat(at, times), np.repeat(low, times) + np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)
+
+
+@dataclass
+class Index:
+    """Windows of a benchmark block and the words they point to."""
+
+    items: np.ndarray  # item ids
+    windows: list[Windows]
     totals: np.ndarray  # windows of each item
     kind: np.ndarray
     value: np.ndarray
-    maybe: np.ndarray  # 1 for the upper 16 bits of any hash
 
     @classmethod
     def build(cls, ids: list[int], texts: list[str | None]) -> Index:
-        t = template(*column_bytes(pa.array(texts, pa.large_string())))
-        at, hashes = t.windows()
-        item = owners(t.first)[at]
+        t = words_of(*column_bytes(pa.array(texts, pa.large_string())))
+        kind, settled = t.kinds()
+        codes, doc = window_codes(t.value), owners(t.first)
+        count = len(codes[0])
+        plain, literal = (np.concatenate([[0], np.cumsum(x)]) for x in (~settled, kind == LITERAL))
+        good = (plain[WINDOW:] - plain[:-WINDOW] >= LITERALS) & (literal[WINDOW:] - literal[:-WINDOW] >= LEAST_FIXED) if count else np.empty(0, bool)
+        good &= doc[:count] == doc[len(doc) - count :]
+        at = np.flatnonzero(good)
+        item = doc[at]
         totals = np.bincount(item, minlength=len(ids))
         rank = np.arange(len(at)) - (np.cumsum(totals) - totals)[item]
-        order = np.argsort(hashes, kind="stable")
-        maybe = np.zeros(1 << 16, bool)
-        maybe[(hashes >> U64(48)).astype(np.int64)] = True
-        return cls(np.array(ids), hashes[order], at[order], item[order], rank[order], totals, t.kind, t.value, maybe)
+        masks = sum(((kind[at + k] == LITERAL).astype(np.int64) << k for k in range(WINDOW)), np.zeros(len(at), np.int64))
+        windows = []
+        for mask in np.unique(masks).tolist():
+            some = masks == mask
+            windows.append(Windows.build(mask, mask_hashes(codes, mask)[at[some]], at[some], item[some], rank[some]))
+        return cls(np.array(ids), windows, totals, kind, t.value)
 
     def matches(self, data: np.ndarray, edges: np.ndarray) -> list[tuple[int, int, int, int]]:
         """(document number, item number, matched windows, slots) of the items held."""
-        t = template(data, edges)
-        at, hashes = t.windows()
-        some = np.flatnonzero(self.maybe[(hashes >> U64(48)).astype(np.int64)])
-        at, hashes = at[some], hashes[some]
-        low, high = np.searchsorted(self.hashes, hashes, "left"), np.searchsorted(self.hashes, hashes, "right")
-        hit = np.flatnonzero(high > low)
-        if not len(hit):
+        t = words_of(data, edges)
+        codes = window_codes(t.value)
+        found = [self._pairs(w, t, codes) for w in self.windows] if len(codes[0]) else []
+        if not sum(len(f[0]) for f in found):
             return []
-        times = (high - low)[hit]
-        here = np.repeat(at[hit], times)
-        there = np.repeat(low[hit], times) + np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)
+        here, words, items, ranks = (np.concatenate(x) for x in zip(*found, strict=True))
         doc = np.searchsorted(t.first, here, "right") - 1
-        group = doc * len(self.items) + self.item[there]
-        order = np.argsort(group, kind="stable")
-        group, here, there = group[order], here[order], there[order]
+        group = doc * len(self.items) + items
+        order = np.lexsort((words, here, group))
+        group, here, words, ranks = group[order], here[order], words[order], ranks[order]
         cuts = np.flatnonzero(np.concatenate([[True], group[1:] != group[:-1], [True]]))
         out = []
         for a, b in zip(cuts[:-1], cuts[1:], strict=True):
             document, item = divmod(int(group[a]), len(self.items))
             total = int(self.totals[item])
-            if not _enough(np.unique(self.rank[there[a:b]]), total):
+            if not _enough(np.unique(ranks[a:b]), total):
                 continue
-            ranks, slots = self._consistent(t, here[a:b], there[a:b])
-            if _enough(ranks, total):
-                out.append((document, item, len(ranks), slots))
+            kept, slots = self._consistent(t, here[a:b], words[a:b], ranks[a:b])
+            if _enough(kept, total):
+                out.append((document, item, len(kept), slots))
         return out
 
-    def _consistent(self, t: Template, here: np.ndarray, there: np.ndarray) -> tuple[np.ndarray, int]:
+    def _pairs(self, windows: Windows, t: Words, codes: list[np.ndarray]) -> tuple[np.ndarray, ...]:
+        """(word of the document, word, item, rank of the window) where literals and kinds agree."""
+        here, there = windows.hits(codes)
+        words = windows.words[there]
+        good = np.searchsorted(t.first, here, "right") == np.searchsorted(t.first, here + WINDOW - 1, "right")
+        for k in range(WINDOW):
+            if not windows.mask >> k & 1:
+                mine, kind = here + k, self.kind[words + k]
+                form = np.where(kind == NUMBER, t.number[mine], np.where(kind == UNIT, t.unit[mine], t.capital[mine]))
+                good &= form | (t.value[mine] == self.value[words + k])
+        return here[good], words[good], windows.item[there[good]], windows.rank[there[good]]
+
+    def _consistent(self, t: Words, here: np.ndarray, words: np.ndarray, ranks: np.ndarray) -> tuple[np.ndarray, int]:
         """(windows of the item whose slots agree with all others, number of slot values).
 
         Windows are taken along the alignment with the most windows first, so that this alignment
         settles the values.
         """
-        shift = here - self.words[there]
+        shift = here - words
         _, back, count = np.unique(shift, return_inverse=True, return_counts=True)
         order = np.lexsort((here, shift, -count[back]))
         forth: dict[tuple[int, int], int] = {}
         reverse: dict[tuple[int, int], int] = {}
         kept = []
         for i in order:
-            mine, its = here[i] + np.arange(WINDOW), self.words[there[i]] + np.arange(WINDOW)
+            mine, its = here[i] + np.arange(WINDOW), words[i] + np.arange(WINDOW)
             slots = [(int(k), int(x), int(y)) for k, x, y in zip(self.kind[its], self.value[its], t.value[mine], strict=True) if k != LITERAL]
             if all(forth.get((k, x), y) == y and reverse.get((k, y), x) == x for k, x, y in slots) and _one_to_one(slots):
                 forth.update({(k, x): y for k, x, y in slots})
                 reverse.update({(k, y): x for k, x, y in slots})
-                kept.append(self.rank[there[i]])
+                kept.append(ranks[i])
         return np.unique(np.array(kept, np.int64)), len(forth)
 
 

@@ -226,6 +226,23 @@ def test_reparameterised_questions_are_found():
     assert held("They walk along the river and speak of many things that they still have to do") == [] == held(None) == held("")
 
 
+RICE = "Tom has 5 kg of rice. Tom buys 3 kg more. Tom eats 2 kg of it. How many kg does Tom have left?"
+
+
+@pytest.mark.parametrize("text", [RICE.replace("Tom", "Ann"), RICE.replace("Tom", "Ann").replace("kg", "lb").replace("5", "70"), RICE.upper(), RICE.lower()])
+def test_names_and_units_are_placeholders_wherever_they_stand(text):
+    ((_, total),) = held(RICE, [RICE])
+    assert held("We said this.\n" + text + " Well.", [RICE]) == [(0, total)]
+
+
+def test_an_item_in_capitals_has_windows():
+    assert held(RICE.lower(), [RICE.upper()]) == held(RICE.upper(), [RICE.upper()]) != []
+
+
+def test_other_words_in_the_same_frame_are_no_copy():
+    assert held("Tom sees 5 men of rank. Tom asks 3 men more. Tom tells 2 men of it. How many men does Tom know here?", [RICE]) == []
+
+
 def test_decontamination_matches_plain_search(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     bench = spark.read.parquet("/root/testdata/sf0.01/benchmark.parquet")
