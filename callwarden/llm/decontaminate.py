@@ -19,8 +19,11 @@ The benchmark is a stated query set. It is cut by a hash of its text into blocks
 ``BLOCK_CHARS`` characters; each block's windows, whose size that bounds, are broadcast and meet all
 documents in one pass without an exchange. No document text is shuffled.
 
-Defined cases: NULL or empty texts hold nothing. Items with fewer words than a window, or without
-a window of enough literals, can't be found. Repeated item rows count once each by id; rows with a
+Items without such a window (short ones, tables, sums, lists of names) are looked up as the whole
+sequence of their words, which counts as one window without slots.
+
+Defined cases: NULL or empty texts hold nothing. Items of fewer than ``LEAST_EXACT`` words aren't
+looked up: documents that hold "one two three" are no copies of it. Repeated item rows count once each by id; rows with a
 NULL id are left out on either side.
 """
 
@@ -38,6 +41,7 @@ from callwarden.llm.common import U64, blocks, column_bytes, documents, map_arro
 from callwarden.llm.text_stats import DIGITS, UPPERCASE
 
 WINDOW, LITERALS, LEAST_FIXED = 5, 3, 2
+LEAST_EXACT = 4
 SHARE, RUN = 0.5, 9
 BLOCK_CHARS = 4 << 20
 
@@ -50,6 +54,8 @@ UNITS = (
 ).split()
 #: Units that are everyday words too.
 COMMON = ["a", "in"]
+_STEP = 0xD6E8FEB86659FD93
+_STEP_BACK = pow(_STEP, -1, 1 << 64)
 _PUNCTUATION = np.zeros(256, bool)
 _PUNCTUATION[[c for c in range(33, 127) if not chr(c).isalnum() and chr(c) not in "%+-"]] = True
 _NUMERIC = DIGITS.copy()
@@ -170,6 +176,68 @@ class Windows:
         return np.repeat(at, times), np.repeat(low, times) + np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)
 
 
+@dataclass
+class Exact:
+    """Whole word sequences of items without evidence, found by their first words.
+
+    An anchor is the hash of the first words, ``WINDOW`` or all of a shorter item; each anchor has the
+    lengths of its items, and (length, sequence) the items.
+    """
+
+    anchors: dict[int, tuple[np.ndarray, np.ndarray]]  # words of the anchor -> hashes, lengths, sorted
+    items: dict[tuple[int, int], list[int]]
+
+    @classmethod
+    def build(cls, t: Words, numbers: np.ndarray) -> Exact:
+        sums = _running(t.value)
+        anchors: dict[int, set[tuple[int, int]]] = {}
+        items: dict[tuple[int, int], list[int]] = {}
+        for number in numbers.tolist():
+            start, end = t.first[number], t.first[number + 1]
+            if end - start >= LEAST_EXACT:
+                at, length = np.array([start]), int(end - start)
+                size = min(WINDOW, length)
+                anchors.setdefault(size, set()).add((int(_sequences(sums, at, size)[0]), length))
+                items.setdefault((length, int(_sequences(sums, at, length)[0])), []).append(number)
+        tables = {size: tuple(np.array(x, d) for x, d in zip(zip(*sorted(pairs), strict=True), (np.uint64, np.int64), strict=True)) for size, pairs in anchors.items()}
+        return cls(tables, items)
+
+    def matches(self, t: Words) -> set[tuple[int, int]]:
+        """(document number, item number) of the items held."""
+        found: set[tuple[int, int]] = set()
+        if not self.anchors:
+            return found
+        sums, doc = _running(t.value), owners(t.first)
+        for size, (hashes, lengths) in self.anchors.items():
+            mine = _sequences(sums, np.arange(max(len(t.value) - size + 1, 0)), size)
+            low = np.searchsorted(hashes, mine, "left")
+            at = np.flatnonzero(hashes[np.minimum(low, len(hashes) - 1)] == mine)
+            times = np.searchsorted(hashes, mine[at], "right") - low[at]
+            here = np.repeat(at, times)
+            size_of = lengths[np.repeat(low[at], times) + np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)]
+            inside = here + size_of <= t.first[doc[here] + 1]
+            here, size_of = here[inside], size_of[inside]
+            for d, n, h in zip(doc[here].tolist(), size_of.tolist(), _sequences(sums, here, size_of).tolist(), strict=True):
+                found |= {(d, i) for i in self.items.get((n, h), ())}
+        return found
+
+
+def _running(value: np.ndarray) -> np.ndarray:
+    """Sums of the word hashes times growing powers, from the start to every word."""
+    return np.concatenate([np.zeros(1, np.uint64), np.cumsum(value * _powers(_STEP, len(value)))])
+
+
+def _sequences(sums: np.ndarray, at: np.ndarray, length: np.ndarray | int) -> np.ndarray:
+    """Hash of the ``length`` words from each word ``at``."""
+    return mix((sums[at + length] - sums[at]) * _powers(_STEP_BACK, len(sums))[at])
+
+
+def _powers(base: int, count: int) -> np.ndarray:
+    out = np.full(count, base, np.uint64)
+    out[:1] = 1
+    return np.multiply.accumulate(out)
+
+
 @dataclass
 class Index:
     """Windows of a benchmark block and the words they point to."""
@@ -179,6 +247,7 @@ class Index:
     totals: np.ndarray  # windows of each item
     kind: np.ndarray
     value: np.ndarray
+    exact: Exact  # items without windows
 
     @classmethod
     def build(cls, ids: list[int], texts: list[str | None]) -> Index:
@@ -198,22 +267,22 @@ class Index:
         for mask in np.unique(masks).tolist():
             some = masks == mask
             windows.append(Windows.build(mask, mask_hashes(codes, mask)[at[some]], at[some], item[some], rank[some]))
-        return cls(np.array(ids), windows, totals, kind, t.value)
+        return cls(np.array(ids), windows, totals, kind, t.value, Exact.build(t, np.flatnonzero(totals == 0)))
 
     def matches(self, data: np.ndarray, edges: np.ndarray) -> list[tuple[int, int, int, int]]:
         """(document number, item number, matched windows, slots) of the items held."""
         t = words_of(data, edges)
+        out = [(document, item, 1, 0) for document, item in sorted(self.exact.matches(t))]
         codes = window_codes(t.value)
         found = [self._pairs(w, t, codes) for w in self.windows] if len(codes[0]) else []
         if not sum(len(f[0]) for f in found):
-            return []
+            return out
         here, words, items, ranks = (np.concatenate(x) for x in zip(*found, strict=True))
         doc = np.searchsorted(t.first, here, "right") - 1
         group = doc * len(self.items) + items
         order = np.lexsort((words, here, group))
         group, here, words, ranks = group[order], here[order], words[order], ranks[order]
         cuts = np.flatnonzero(np.concatenate([[True], group[1:] != group[:-1], [True]]))
-        out = []
         for a, b in zip(cuts[:-1], cuts[1:], strict=True):
             document, item = divmod(int(group[a]), len(self.items))
             total = int(self.totals[item])
@@ -300,7 +369,7 @@ def _finder(index, names):
         known = index.value
         for block in blocks(batches):
             ids = block.column("doc_id").to_pylist()
-            rows = [(ids[d], int(known.items[i]), int(known.totals[i]), n, s) for d, i, n, s in known.matches(*column_bytes(block.column("text")))]
+            rows = [(ids[d], int(known.items[i]), int(known.totals[i]) or 1, n, s) for d, i, n, s in known.matches(*column_bytes(block.column("text")))]
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows, strict=True)], names=names)
 

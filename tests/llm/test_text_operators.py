@@ -243,6 +243,23 @@ def test_other_words_in_the_same_frame_are_no_copy():
     assert held("Tom sees 5 men of rank. Tom asks 3 men more. Tom tells 2 men of it. How many men does Tom know here?", [RICE]) == []
 
 
+SHORT = ["Who wrote Don Quixote?", "3 + 4 = 7, 5 + 6 = 11, 8 + 9 = 17", "Ann Bob Carl Dora Emil Frida Gus Hanna", "3 + 4 = 7, 5 + 6 = 12", "Who wrote Don Quixote?"]
+
+
+def test_items_without_windows_are_found_whole():
+    text = "He asked: who wrote DON QUIXOTE? Nobody knew.\n3 + 4 = 7, 5 + 6 = 11, 8 + 9 = 17\nann bob carl dora emil frida gus hanna"
+    assert held(text, SHORT) == [(0, 1), (1, 1), (2, 1), (4, 1)]
+    assert held("Who wrote Don Giovanni? 3 + 4 = 7, 5 + 6", SHORT) == [] == held("wrote Don Quixote", SHORT) == held("", SHORT)
+    index = decontaminate.Index.build([0], SHORT[:1])
+    assert index.matches(*column_bytes(pa.array(["Who wrote", "Don Quixote?", None, "who wrote Don Quixote"]))) == [(3, 0, 1, 0)]
+
+
+def test_exact_items_in_a_table(docs):
+    bench = docs([(7, SHORT[0]), (8, RICE)], clash=False).withColumnRenamed("doc_id", "item_id")
+    rows = decontaminate.contaminated(docs([(1, "x. " + SHORT[0]), (2, "x")]), bench).collect()
+    assert [tuple(r) for r in rows] == [(1, 7, 1, 1, 0)]
+
+
 def test_decontamination_matches_plain_search(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     bench = spark.read.parquet("/root/testdata/sf0.01/benchmark.parquet")
