@@ -5,10 +5,11 @@ rewrite the text and remember where every rewritten character came from:
 
 * homoglyphs: full-width, mathematical, Cyrillic and Greek look-alikes and Unicode digits become
   ASCII, one character for one;
-* spelled digits: runs of seven or more digit words (with "plus" before and "dot" between them)
-  become digits;
+* spelled digits: digit words anywhere in the text become digits and join the words and figures
+  beside them, "plus" before one becomes ``+`` and "dot" between two ``.``; the detectors' own
+  lengths, ranges and sums decide;
 * at/dot: ``[at]``, ``(dot)`` and the words "at" and "dot" in the form ``name at host dot tld``
-  become ``@`` and ``.``.
+  become ``@`` and ``.``, also in local parts of any length and number of dots.
 
 The same detectors run on the rewritten text, and each find is mapped back to the source
 characters it came from. A mapped span is added unless base spans of its kind cover it already.
@@ -22,7 +23,8 @@ from __future__ import annotations
 import hashlib
 import re
 import unicodedata
-from collections.abc import Iterator
+from bisect import bisect_right
+from collections.abc import Iterable, Iterator
 from functools import cache
 
 import pyarrow as pa
@@ -95,7 +97,6 @@ LOOK_ALIKES = {
 }
 #: Digits in words.
 DIGIT_WORDS = {"zero": "0", "oh": "0", "one": "1", "two": "2", "three": "3", "four": "4", "five": "5", "six": "6", "seven": "7", "eight": "8", "nine": "9"}
-LEAST_SPELLED = 7
 
 
 @cache
@@ -124,44 +125,54 @@ _DOT = r"(?:[\x20\t]?[\[({<][\x20\t]?(?:dot|\.)[\x20\t]?[\])}>][\x20\t]?|[\x20\t
 _HOST = re.compile(rf"[A-Za-z0-9-]+(?:{_DOT}[A-Za-z0-9-]+)+", re.I)
 _ANY_DOT = re.compile(rf"{_DOT}", re.I)
 _LAST_LOCAL = re.compile(r"[\x20\t]?[\[({<][\x20\t]?dot[\x20\t]?[\])}>][\x20\t]?$|[\x20\t]dot[\x20\t]$", re.I)
-_WORD = "(?:" + "|".join(DIGIT_WORDS) + ")"
-_SPELLED = re.compile(rf"\b(?:plus[\x20-])?{_WORD}(?:[\x20,.-]{{1,3}}(?:dot[\x20])?{_WORD})+\b", re.I)
-_SPELLED_PART = re.compile(rf"plus|dot|{_WORD}", re.I)
-_RARE_WORDS = ("three", "seven", "eight", "four", "five", "nine", "zero", "six")
+#: A digit word or a run of figures; the lengths and sums of the detectors decide what it is part of.
+_NUMERAL = re.compile(rf"(?<!\w)(?ai:({'|'.join(DIGIT_WORDS)}))(?!\w)|[0-9]+")
+_BREAK = re.compile(r"[\x20,.-]{1,3}")
+_POINT = re.compile(r"[\x20,.-]{1,3}dot\x20|[\x20\t]?[\[({<][\x20\t]?(?:dot|\.)[\x20\t]?[\])}>][\x20\t]?", re.I)
+_PLUS = re.compile(r"(?<!\w)plus[\x20-]$", re.I)
 
 Piece = tuple[str, int, int]  # rewritten text, source start, source end
 
 
+def _local_start(text: str, end: int) -> int:
+    """Where the run of local-part characters before ``end`` begins."""
+    width = 64
+    while True:
+        low = max(end - width, 0)
+        start = low + len(text[low:end].rstrip(_LOCAL))
+        if start > low or not low:
+            return start
+        width *= 2
+
+
 def disguised_emails(text: str) -> Iterator[list[Piece]]:
     """Pieces of each text region of the form local AT host DOT host."""
     for at in _AT.finditer(text):
         host = _HOST.match(text, at.end())
         if not host:
             continue
-        bracketed = len(at[0].strip()) > 2
         dots = list(_ANY_DOT.finditer(text, host.start(), host.end()))
         if at[0].strip().lower() == "at" and all(d[0] == "." for d in dots):
             continue  # plain prose: "look at example.com"
-        if at[0] == "@" and all(d[0] == "." for d in dots):
+        if at[0] == "@" and all(d[0] == "." for d in dots) and not _LAST_LOCAL.search(text, max((low := _local_start(text, at.start())) - 10, 0), low):
             continue  # not disguised
         pieces: list[Piece] = []
-        low = high = at.start()
+        high = at.start()
         while True:  # local part from right to left, over disguised dots
-            line = max(text.rfind("\n", 0, high), text.rfind("@", 0, high), high - 256)
-            start = line + 1 + len(text[line + 1 : high].rstrip(_LOCAL))
+            start = _local_start(text, high)
             if start == high:
                 break
-            pieces.insert(0, (text[start:high], start, high))
-            low = start
-            dot = _LAST_LOCAL.search(text, max(start - 10, 0), start) if bracketed else None
+            pieces.append((text[start:high], start, high))
+            dot = _LAST_LOCAL.search(text, max(start - 10, 0), start)
             if not dot:
                 break
-            pieces.insert(0, (".", dot.start(), dot.end()))
+            pieces.append((".", dot.start(), dot.end()))
             high = dot.start()
-        if low == at.start():
+        if not pieces:
             continue
-        if pieces[0][0] == ".":
-            pieces.pop(0)
+        if pieces[-1][0] == ".":
+            pieces.pop()
+        pieces.reverse()
         pieces.append(("@", at.start(), at.end()))
         place = host.start()
         for dot in dots:
@@ -171,17 +182,8 @@ def disguised_emails(text: str) -> Iterator[list[Piece]]:
         yield pieces
 
 
-def spelled_numbers(text: str) -> Iterator[list[Piece]]:
-    """Pieces of each run of digit words."""
-    for run in _SPELLED.finditer(text):
-        parts = list(_SPELLED_PART.finditer(text, run.start(), run.end()))
-        if sum(p[0].lower() in DIGIT_WORDS for p in parts) >= LEAST_SPELLED:
-            signs = DIGIT_WORDS | {"plus": "+", "dot": "."}
-            yield [(signs[p[0].lower()], p.start(), p.end()) for p in parts]
-
-
 def _mapped(pieces: list[Piece]) -> Iterator[Span]:
-    """Finds in the rewritten text, in source characters."""
+    """Finds in the rewritten text of a region, in source characters."""
     whole = "".join(p[0] for p in pieces)
     source: list[tuple[int, int]] = []
     for new, start, end in pieces:
@@ -191,19 +193,77 @@ def _mapped(pieces: list[Piece]) -> Iterator[Span]:
         yield source[start][0], kind, source[end - 1][1]
 
 
+class Rewritten:
+    """A text with some spans replaced, none by more than one character, and the way back."""
+
+    def __init__(self, text: str, changes: list[Piece]):
+        parts, self.places, self.changes = [], [], changes
+        length = place = 0
+        for new, start, end in changes:
+            parts += [text[place:start], new]
+            length += start - place
+            self.places.append(length)
+            length, place = length + len(new), end
+        self.text = "".join([*parts, text[place:]])
+
+    def source(self, place: int) -> tuple[int, int]:
+        """(start, end) of the source characters of the character at ``place``."""
+        k = bisect_right(self.places, place) - 1
+        if k < 0:
+            return place, place + 1
+        new, start, end = self.changes[k]
+        beyond = place - self.places[k] - len(new)
+        return (start, end) if beyond < 0 else (end + beyond, end + beyond + 1)
+
+    def spans(self, found: Iterable[Span]) -> Iterator[Span]:
+        for start, kind, end in found:
+            yield self.source(start)[0], kind, self.source(end - 1)[1]
+
+
+def spelled_changes(text: str) -> tuple[list[Piece], bool]:
+    """(replaced spans that make digit words, and what joins them to others, figures; whether a
+    sign of its own joins two of them, which may be a point or a mere break)."""
+    changes: list[Piece] = []
+    last = points = 0
+    spelled = False
+    for m in _NUMERAL.finditer(text):
+        start, word = m.start(), m[1]
+        if last and start - last <= 12:
+            if _POINT.fullmatch(text, last, start):
+                changes.append((".", last, start))
+            elif (word or spelled) and _BREAK.fullmatch(text, last, start):
+                changes.append(("", last, start))
+                points += text[last:start] == "."
+        joined = bool(changes) and changes[-1][2] == start
+        if not joined and (plus := _PLUS.search(text, max(start - 6, last), start)):
+            changes.append(("+", plus.start(), start))
+        if word:
+            changes.append((DIGIT_WORDS[word.lower()], start, m.end()))
+        last, spelled = m.end(), bool(word)
+    return changes, points > 0
+
+
 def hidden(text: str) -> list[Span]:
     """Spans that only the transducers bring to light."""
     found: list[Span] = []
     plain = fold_look_alikes(text)
     if plain is not text and plain != text:
         found += detect(plain)
-    low = plain.lower() if len(plain.lower()) == len(plain) else plain
-    if "dot" in low or "@" in low or "at]" in low or "at)" in low or "at}" in low or "at>" in low or "at " in low and ("[" in low or "(" in low or "{" in low):
+    low = plain.lower()
+    mails = "@" in low or "dot" in low or "at" in low and any(c in low for c in "[({<")
+    if mails:
         for pieces in disguised_emails(plain):
             found += _mapped(pieces)
-    if sum(w in low for w in _RARE_WORDS) >= 1:
-        for pieces in spelled_numbers(plain):
-            found += _mapped(pieces)
+    changes, points = spelled_changes(plain)
+    if changes:
+        whole = Rewritten(plain, changes)
+        found += whole.spans(s for s in detect(whole.text) if s[1])
+        if mails:
+            for pieces in disguised_emails(whole.text):
+                found += whole.spans(s for s in _mapped(pieces) if not s[1])
+        if points:
+            whole = Rewritten(plain, [("." if not new and plain[a:b] == "." else new, a, b) for new, a, b in changes])
+            found += whole.spans(s for s in detect(whole.text) if s[1])
     return found
 
 

@@ -192,6 +192,33 @@ def test_disguised_spans_map_back(text, kind, source):
     assert base == [] and [(pii.KINDS[k], text[a:b]) for a, k, b in added] == [(kind, source)]
 
 
+LONG = "a" * 300
+
+
+@pytest.mark.parametrize(
+    ("text", "kind", "source"),
+    [
+        ("dns eight dot eight dot eight dot eight ok", "ip", "eight dot eight dot eight dot eight"),
+        ("host one nine two dot 168 dot oh dot one.", "ip", "one nine two dot 168 dot oh dot one"),
+        ("host 10 dot 0 dot 0 dot 1 up", "ip", "10 dot 0 dot 0 dot 1"),
+        ("dns eight.eight.eight.eight ok", "ip", "eight.eight.eight.eight"),
+        ("call +44 two zero seven nine four six 0958 now", "phone", "+44 two zero seven nine four six 0958"),
+        ("call plus 44 20 7946 0958 now", "phone", "plus 44 20 7946 0958"),
+        ("card four one one one 1111 1111 1111 ok", "card", "four one one one 1111 1111 1111"),
+        ("card four one one one one one one one 1 one one one one one one one", "card", "four one one one one one one one 1 one one one one one one one"),
+        ("write john dot smith at example dot com", "email", "john dot smith at example dot com"),
+        ("write john dot four two at example dot com", "email", "john dot four two at example dot com"),
+        (LONG + " at example dot com", "email", LONG + " at example dot com"),
+        ("to john < at > example.com", "email", "john < at > example.com"),
+        ("to john at example<.>com", "email", "john at example<.>com"),
+    ],
+)
+def test_disguised_spans_of_any_length_and_mix(text, kind, source):
+    base, added = pii.find(text)
+    spans = [(pii.KINDS[k], text[a:b]) for a, k, b in base + added]
+    assert (kind, source) in spans
+
+
 @pytest.mark.parametrize("text", ["look at example.com", "we met at noon dot", "one two three", "at [dot] at", "a (at) b", "naïve café at dot"])
 def test_plain_prose_has_no_spans(text):
     assert pii.find(text) == ([], [])
