@@ -82,14 +82,14 @@ class Encoder:
     """Ids by the tokenizers library, asked once for each distinct pre-token.
 
     Byte-level BPE never merges across pre-tokens, so the ids of a text are those of its
-    pre-tokens in order. Vocabularies with another pre-tokenizer get whole texts.
+    pre-tokens in order. Texts that hold an added token (such as ``<|endoftext|>``), which the library
+    cuts out first, and vocabularies with another pre-tokenizer are encoded whole.
     """
 
     def __init__(self, spec: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_str(spec)
-        self.tokenizer.encode_special_tokens = True
         known = json.loads(spec)
         pre = known.get("pre_tokenizer") or {}
         self.by_word = (
@@ -99,6 +99,8 @@ class Encoder:
             and not known.get("normalizer")
             and known["model"]["type"] == "BPE"
         )
+        added = [re.escape(t["content"]) for t in known.get("added_tokens") or [] if t["content"]]
+        self.added = re.compile("|".join(added)) if added else None
         self.seen = _Words(self.tokenizer.model)
 
     def _library(self, texts: list[str]) -> list[bytes]:
@@ -113,10 +115,10 @@ class Encoder:
             self.seen.clear()
         out, whole = [], []
         for i, text in enumerate(texts):
-            latin = text.isascii() or ord(max(text)) < LATIN_END
-            if not latin:
+            by_word = (text.isascii() or ord(max(text)) < LATIN_END) and not (self.added and self.added.search(text))
+            if not by_word:
                 whole.append(i)
-            out.append(b"".join(map(self.seen.__getitem__, PRE_TOKEN.findall(text))) if latin else b"")
+            out.append(b"".join(map(self.seen.__getitem__, PRE_TOKEN.findall(text))) if by_word else b"")
         for i, ids in zip(whole, self._library([texts[i] for i in whole]), strict=True):
             out[i] = ids
         return out

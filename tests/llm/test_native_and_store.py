@@ -78,6 +78,16 @@ def test_encoder_gives_the_librarys_ids(encoder):
     assert encoder.by_word and encoder.encode(texts) == encoder._library(texts)
 
 
+def test_added_tokens_keep_the_librarys_ids(encoder):
+    from tokenizers import Tokenizer
+
+    fresh = Tokenizer.from_file(public_tokenizers.path(token_store.TOKENIZER))
+    texts = ["a <|endoftext|> b", "<|endoftext|>", "it's <|endoftext|><|endoftext|>\n  two", "<|endoftext", "é中 <|endoftext|>", "plain text", ""]
+    texts += [f"x {t.content} y" for t in fresh.get_added_tokens_decoder().values()]
+    want = [np.array(fresh.encode(t, add_special_tokens=False).ids, "<u4").tobytes() for t in texts]
+    assert encoder.encode(texts) == want and len(want[0]) == 4 * 4
+
+
 @pytest.mark.parametrize("count", [0, 1, 7, 8, 511, 512, 513, 1024, 5000])
 def test_codes_round_trip_and_random_access(count):
     draw = np.random.default_rng(count)
