@@ -16,39 +16,69 @@ STACK_MARK = "-- Java 调用栈"
 THREAD_MARK = "-- 线程"
 FRAME = r"(?U)^\s*\[(\d+)\]\s*(.*)$"
 NO_STACK = "（无）"
+#: Lines of a chunk where the source has none of its own.
+CHUNK_LINES = 1 << 16
 
 
 def read_lines(spark: SparkSession, path: str) -> DataFrame:
-    """(file, line_no, line) in file order."""
-    text = spark.read.option("wholetext", "true").text(path)
-    lines = text.select(
+    """(file, chunk, line_no, line): a file's splits are its chunks, and line_no ascends in each."""
+    text = spark.read.option("lineSep", "\n").text(path)
+    return text.select(
         F.col("_metadata.file_path").alias("file"),
-        F.posexplode(F.split("value", "\r?\n")).alias("line_no", "line"),
+        F.col("_metadata.file_block_start").alias("chunk"),
+        F.monotonically_increasing_id().alias("line_no"),
+        F.regexp_replace("value", r"\r\z", "").alias("line"),
     )
-    return lines
 
 
 def parse_log(lines: DataFrame) -> DataFrame:
-    """Records of ordered lines: (file, seq, time, category, name, sensitive, session, kv, stack).
+    """Records of ordered lines: (file, rec, seq, time, category, name, marked, session, kv, stack).
 
     Session and record numbers are carried forward per file; a separator line closes a record.
+    Lines are ordered by chunk and line_no; without chunks, ``CHUNK_LINES`` numbers make one. State
+    runs inside chunks and goes from chunk to chunk by one row each.
     """
+    if "chunk" not in lines.columns:
+        lines = lines.withColumn("chunk", F.expr(f"line_no div {CHUNK_LINES}"))
     line = F.col("line")
     trimmed = F.btrim(line, F.lit(BLANK))
-    head = line.rlike(RECORD) & ~trimmed.rlike(SESSION)
-    order = Window.partitionBy("file").orderBy("line_no")
-    sofar = order.rowsBetween(Window.unboundedPreceding, 0)
-    df = lines.withColumns(
+    is_session = trimmed.rlike(SESSION)
+    head = line.rlike(RECORD) & ~is_session
+    lines = lines.select("file", "chunk", "line_no", "line").withColumns(
         {
             "is_head": head,
-            "session": F.last(
-                F.when(trimmed.rlike(SESSION), F.regexp_extract(trimmed, SESSION, 1)), True
-            ).over(sofar),
-            "rec": F.sum(head.cast("int")).over(sofar),
-            "shut": F.sum((head | line.startswith(SEPARATOR)).cast("int")).over(sofar),
+            "own": F.when(is_session, F.regexp_extract(trimmed, SESSION, 1)),
+            "edge": F.when(head, True).when(line.startswith(SEPARATOR), False),
         }
     )
-    inside = Window.partitionBy("file", "rec").orderBy("line_no").rowsBetween(
+    latest_of = lambda c: F.max_by(c, F.when(F.col(c).isNotNull(), F.col("line_no")))
+    chunks = lines.groupBy("file", "chunk").agg(
+        latest_of("own").alias("own"), latest_of("edge").alias("edge"), F.count_if("is_head").alias("heads")
+    )
+    before = Window.partitionBy("file").orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)
+    carried = chunks.select(
+        F.col("file").alias("its_file"),
+        F.col("chunk").alias("its_chunk"),
+        F.last("own", True).over(before).alias("own_before"),
+        F.last("edge", True).over(before).alias("edge_before"),
+        F.coalesce(F.sum("heads").over(before), F.lit(0)).alias("rec_before"),
+    )
+    sofar = Window.partitionBy("file", "chunk").orderBy("line_no").rowsBetween(Window.unboundedPreceding, 0)
+    df = lines.withColumns(
+        {
+            "own": F.last("own", True).over(sofar),
+            "edge": F.last("edge", True).over(sofar),
+            "rec": F.sum(F.col("is_head").cast("int")).over(sofar),
+        }
+    ).join(carried, F.col("file").eqNullSafe(F.col("its_file")) & (F.col("chunk") == F.col("its_chunk")))
+    df = df.withColumns(
+        {
+            "session": F.coalesce("own", "own_before"),
+            "rec": F.col("rec") + F.col("rec_before"),
+            "open": F.coalesce("edge", "edge_before"),
+        }
+    ).filter("rec > 0 and open")
+    inside = Window.partitionBy("file", "rec").orderBy("chunk", "line_no").rowsBetween(
         Window.unboundedPreceding, 0
     )
     mark = (
@@ -57,19 +87,13 @@ def parse_log(lines: DataFrame) -> DataFrame:
         .when(line.contains(STACK_MARK), "stack")
         .when(line.contains(THREAD_MARK), "thread")
     )
-    df = df.withColumn("mark", mark).withColumns(
-        {
-            "section": F.last("mark", True).over(inside),
-            "open": F.col("shut") == F.first(F.when(F.col("is_head"), F.col("shut")), True).over(inside),
-        }
-    )
-    df = df.filter("rec > 0 and open")
+    df = df.withColumn("mark", mark).withColumn("section", F.last("mark", True).over(inside))
     body = F.col("mark").isNull() & ~trimmed.rlike(SESSION)
     key = F.btrim(F.substring_index(trimmed, ":", 1), F.lit(BLANK))
     value = F.btrim(F.regexp_replace(trimmed, "^[^:]*:", ""), F.lit(BLANK))
     pair = F.when(
         body & (F.col("section") == "params") & line.contains(":"),
-        F.struct("line_no", key.alias("k"), value.alias("v")),
+        F.struct("chunk", "line_no", key.alias("k"), value.alias("v")),
     )
     counted = trimmed.startswith("共 ") & trimmed.contains("帧")
     frame = F.when(
@@ -78,7 +102,7 @@ def parse_log(lines: DataFrame) -> DataFrame:
         & ~counted
         & (trimmed != NO_STACK)
         & line.rlike(FRAME),
-        F.struct("line_no", F.btrim(F.regexp_extract(line, FRAME, 2), F.lit(BLANK)).alias("f")),
+        F.struct("chunk", "line_no", F.btrim(F.regexp_extract(line, FRAME, 2), F.lit(BLANK)).alias("f")),
     )
     top = lambda c: F.max(F.when(F.col("is_head"), c))
     grouped = df.groupBy("file", "rec").agg(
