@@ -4,7 +4,10 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ["line_dedup", "sentencepiece_codec", "chat_format", "line_crf", "token_store", "shingle_join", "decontaminate", "pii", "language_id", "quality_rules"]
+MODULES = [
+    "line_dedup", "sentencepiece_codec", "chat_format", "line_crf", "token_store", "shingle_join", "decontaminate", "pii", "language_id",
+    "quality_rules", "structure_repair", "merkle_manifest", "embedding_near",
+]
 
 
 def registered() -> dict[str, tuple]:
