@@ -2,10 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
-from pyspark.sql import functions as F
-
 from callwarden.functions import patterns as P
+from callwarden.functions import sqlx as F
+from callwarden.functions.sqlx import E as Column
 
 
 def first_rule(value: Column, rules) -> Column:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from callwarden.functions import patterns as P
 from callwarden.functions.consts import const, strings
+from callwarden.functions.decode import digit_table
 
 # --- fixed values: words of code and of the value enumerations -----------------------
 CODE_WORDS = """
@@ -50,10 +51,8 @@ def fold_confusables(c: Column) -> Column:
 
 def fold_digits(c: Column) -> Column:
     """Single-digit numerals of any script to ASCII, by one generated table."""
-    from callwarden.operators.codecs import digit_table
-
     table = digit_table()
-    return F.translate(c, "".join(map(chr, table)), "".join(table.values()))
+    return F.translate(c, "".join(table), "".join(table.values()))
 
 
 def collapse_digit_separators(c: Column) -> Column:

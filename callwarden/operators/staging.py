@@ -16,3 +16,8 @@ def seal(df: DataFrame, *columns: str) -> DataFrame:
     """Same rows and columns; predicates on ``columns`` are not inlined further down."""
     rest = [c for c in df.columns if c not in columns]
     return df.select(*rest, F.inline(F.array(F.struct(*columns)))).select(*df.columns)
+
+
+def with_texts(df: DataFrame, **values) -> DataFrame:
+    """Add columns given as the texts of expressions."""
+    return df.withColumns({name: value.column() for name, value in values.items()})

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ["call_queries", "report_queries", "text_queries", "model_queries", "source_queries", "label_queries"]
+MODULES = ["call_queries", "report_queries", "text_queries", "model_queries", "source_queries", "label_queries", "codec_queries"]
 
 
 def registered() -> dict[str, tuple]:

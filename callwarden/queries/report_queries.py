@@ -181,9 +181,9 @@ SELECT time_bucket(INTERVAL 6 HOURS, ts) AS window_start, count(*) AS n,
 
 # --- funnel, hybrid, events ------------------------------------------------------------------
 def _external(spark, sf):
-    """External verdict rows for a third of the calls, some outside the contract."""
+    """An external verdict for every call, some outside the contract."""
     kind = F.col("event_id") % 9
-    return table(spark, sf, "events").filter(F.col("event_id") % 3 == 0).select(
+    return table(spark, sf, "events").select(
         F.col("event_id").alias("id"),
         F.when(kind == 6, "compliant").otherwise("violation").alias("verdict"),
         F.when(kind == 3, "COMPLIANT").otherwise("NO_MASK").alias("violation"),
@@ -201,7 +201,7 @@ def funnel(spark, sf):
 
 
 FUNNEL_CTE = """,
-f AS (SELECT *, NOT needs_review AND violation IS NOT NULL AS settled, id % 3 = 0 AND id % 9 = 0 AND id % 2 = 0 AS ext FROM verdicts),
+f AS (SELECT *, NOT needs_review AND violation IS NOT NULL AS settled, id % 9 NOT IN (3, 6) AND id % 2 = 0 AS ext FROM verdicts),
 funnel AS (SELECT *, CASE WHEN settled THEN violation WHEN ext THEN 'NO_MASK' END AS decision,
   NOT settled AND NOT ext AS needs_human FROM f)"""
 FUNNEL = D.with_(*D.VERDICT_CTES) + FUNNEL_CTE + """
@@ -217,7 +217,7 @@ def external_verdicts(spark, sf):
 
 
 EXTERNAL_VERDICTS = """
-WITH e AS (SELECT event_id, event_id % 9 = 0 AS fits FROM events WHERE event_id % 3 = 0)
+WITH e AS (SELECT event_id, event_id % 9 NOT IN (3, 6) AS fits FROM events)
 SELECT CASE WHEN fits THEN 'violation' ELSE 'uncertain' END AS external_verdict,
   CASE WHEN fits THEN 'NO_MASK' END AS external_violation, fits AND event_id % 2 = 0 AS external_auto, count(*) AS n
 FROM e GROUP BY 1, 2, 3"""

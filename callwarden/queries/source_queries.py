@@ -84,12 +84,12 @@ SELECT CASE user_id % 30 % 3 WHEN 0 THEN 'present' WHEN 1 THEN 'not_an_object' E
 
 
 def revocation_files(spark, sf):
-    """Shapes appended twice, the second time with those known already, and loaded."""
+    """Shapes of all calls, appended in two parts that share some of them, and loaded."""
     path = _folder(spark)
     shapes = segmented(spark, sf).select("id", C.declaration_fingerprint(F.col("text"), F.col("body")).alias("fingerprint"))
     nothing = spark.createDataFrame([], "fingerprint string")
     tables.append_revocations(shapes.filter("id % 3 = 0"), nothing, path)
-    tables.append_revocations(shapes.filter("id % 3 < 2"), tables.load_revocations(spark, path), path)
+    tables.append_revocations(shapes.filter("id % 3 > 0"), tables.load_revocations(spark, path), path)
     return tables.load_revocations(spark, path).join(
         spark.read.json(path).groupBy("fingerprint").agg(F.count("*").alias("rows")), "fingerprint"
     )
@@ -98,7 +98,7 @@ def revocation_files(spark, sf):
 REVOCATION_FILES = D.with_(*D.CALL_CTES) + """,
 shapes AS (SELECT id, platform || '|empty=' || CASE WHEN contains(body, '"consent_scope": []') THEN '1' ELSE '0' END
    || '|' || array_to_string(list_sort(json_keys(body)), ',') AS fingerprint FROM seg)
-SELECT DISTINCT fingerprint, 1 AS rows FROM shapes WHERE id % 3 < 2"""
+SELECT DISTINCT fingerprint, 1 AS rows FROM shapes"""
 
 
 def hook_log_files(spark, sf):

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from callwarden.functions import patterns as P
-from callwarden.functions import shapes
+from callwarden.functions import shapes, sqlx
 from callwarden.functions import text as X
 from callwarden.operators import derived, evidence, restore, scan
 from callwarden.operators.staging import seal
@@ -159,11 +159,11 @@ def pii_scan_snippets(spark, sf):
 def value_shapes_documents(spark, sf):
     """First personal-data shape of every whole document."""
     df = _documents(spark, sf)
-    forms = F.array("text")
+    text = sqlx.col("text")
     return df.select(
         "doc_id",
-        shapes.pii_shape(forms).alias("shape"),
-        shapes.embedded_shape(F.col("text")).alias("embedded"),
+        shapes.pii_shape(sqlx.array(text)).column().alias("shape"),
+        shapes.embedded_shape(text).column().alias("embedded"),
     )
 
 
