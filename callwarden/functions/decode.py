@@ -148,9 +148,8 @@ def base64_bytes(packed: Column) -> Column:
 @bound
 def _from_bits(bits: Column) -> Column:
     """Bytes of a string of 0 and 1; bits beyond the last whole byte are dropped."""
-    halves = F.floor(F.length(bits) / 8).cast("int") * 2
-    digits = F.transform(F.sequence(F.lit(0), halves - 1), lambda i: F.conv(F.substr(bits, i * 4 + 1, F.lit(4)), 2, 16))
-    return F.when(halves > 0, F.unhex(F.array_join(digits, "")))
+    pairs = F.transform(F.regexp_extract_all(bits, ".{8}", 0), lambda b: F.lpad(F.conv(b, 2, 16), 2, "0"))
+    return F.when(F.length(bits) >= 8, F.unhex(F.array_join(pairs, "")))
 
 
 @bound
@@ -173,15 +172,15 @@ def _groups_of_five(c: Column, alphabet: str) -> Column:
     lack = F.pmod(-F.length(c), F.lit(5))
     full = F.concat(c, F.repeat(F.lit(alphabet[-1]), lack))
     count = (F.length(full) / 5).cast("int")
-    value = lambda i: F.aggregate(
-        F.split(F.substr(full, i * 5 + 1, F.lit(5)), ""), F.lit(0).cast("long"), lambda a, ch: a * 85 + F.position(ch, F.lit(alphabet)) - 1
+    value = lambda five: F.aggregate(
+        F.split(five, ""), F.lit(0).cast("long"), lambda a, ch: a * 85 + F.position(ch, F.lit(alphabet)) - 1
     )
 
     def packed(values: Column) -> Column:
         digits = F.array_join(F.transform(values, lambda v: F.lpad(F.hex(v), 8, "0")), "")
         return F.when(~F.exists(values, lambda v: v > 0xFFFFFFFF), F.unhex(F.substr(digits, F.lit(1), count * 8 - lack * 2)))
 
-    return F.when(F.length(c) > 0, let(F.transform(F.sequence(F.lit(0), count - 1), value), packed))
+    return F.when(F.length(c) > 0, let(F.transform(F.regexp_extract_all(full, "(?s).{5}", 0), value), packed))
 
 
 def _charset(alphabet: str) -> str:
@@ -206,7 +205,8 @@ def uu_bytes(line: Column) -> Column:
 
     def sized(size: Column) -> Column:
         groups = F.floor((F.length(line) - 1) / 4).cast("int")
-        raw = _from_bits(F.array_join(F.transform(F.split(F.substr(line, 2, groups * 4), ""), six), ""))
+        wanted = F.floor((size + 2) / 3).cast("int")
+        raw = _from_bits(F.array_join(F.transform(F.split(F.substr(line, 2, wanted * 4), ""), six), ""))
         return F.when((size > 0) & (size <= groups * 3), F.substr(raw, 1, size))
 
     return let((F.ascii(line) - 32).bitwiseAND(63), sized)
@@ -235,6 +235,17 @@ def compatible() -> tuple[dict[str, str], dict[str, str]]:
     return one, more
 
 
+def _class_of(characters: str) -> str:
+    """Character class of ``characters``, by ranges of neighbours."""
+    points, ranges = sorted(map(ord, characters)), []
+    for point in points:
+        if ranges and ranges[-1][1] == point - 1:
+            ranges[-1][1] = point
+        else:
+            ranges.append([point, point])
+    return "[" + "".join(f"\\x{{{a:x}}}-\\x{{{b:x}}}" for a, b in ranges) + "]"
+
+
 def non_ascii(c: Column) -> Column:
     return ~c.rlike(ASCII_ONLY)
 
@@ -243,8 +254,15 @@ def non_ascii(c: Column) -> Column:
 def fold_compatible(c: Column) -> Column:
     """Compatibility folding character by character (marks are not composed across characters)."""
     one, more = compatible()
-    out = F.translate(c, "".join(one), "".join(one.values()))
-    return F.when(non_ascii(c), replaced(out, "[" + "".join(more) + "]", lambda m: F.element_at(const(more, "map<string,string>"), m))).otherwise(c)
+    every = "".join(more)
+
+    def rest(out: Column) -> Column:
+        # a look-up a character tells whether the long class of characters has to be searched at all
+        several = F.length(F.translate(out, every, "")) != F.length(out)
+        full = replaced(out, _class_of(every), lambda m: F.element_at(const(more, "map<string,string>"), m))
+        return F.when(several, full).otherwise(out)
+
+    return F.when(non_ascii(c), let(F.translate(c, "".join(one), "".join(one.values())), rest)).otherwise(c)
 
 
 @bound
