@@ -17,9 +17,10 @@ A document is the set of its distinct word shingles, as 64-bit hashes. Two sets
 * Only the ``d + 1`` rarest cells of a set need to be keys (the others are its most shared cells, such as
   those inside boilerplate); the order by frequency is the same for all sets, so nothing is lost.
 
-Exact copies are merged first, by the hash of the whole set. Then each set of a key is compared with the
-key's centre, the set with the fewest cells of its own, and linked sets become components, so a
-group of n near copies costs about n comparisons. Where a key still holds several components, pairs aren't tried one by
+Exact copies are merged first, by the hash of the whole set. The centre of a key is the set with the fewest cells
+of its own. Comparisons go in rounds, and linked sets become components after each: first every set meets only
+the centre that it shares most keys with, so a group of n near copies costs n comparisons; then the sets of a key that lie
+in another component than its centre meet that centre. Where a key still holds several components, pairs aren't tried one by
 one either. Let E(x) be the shingles in which x and the centre differ. If a isn't similar to the centre
 and E(a), E(b) have nothing in common, then ``|a ^ b| = |E(a)| + |E(b)|``, and with
 ``|E(a)| > f (|a| + |centre|)`` and ``|b| <= |centre| + |E(b)|`` that is more than ``f (|a| + |b|)`` for
@@ -33,7 +34,8 @@ differences of similar sets, ``|a ^ b| <= d`` means ``(|E(a)| + |E(b)| - d) / 2`
 With ``SHARED`` - 1 more keys each, similar sets share ``SHARED`` keys or all those they must have in
 common, so pairs that meet in fewer aren't compared. Pairs whose numbers of differences alone
 rule them out are dropped. Every comparison intersects the shingles
-of the whole texts, and no pair of one component is formed.
+of the whole texts, and no pair of one component is formed. What is compared travels as sorted hashes in rows of bounded
+length, a centre once for up to ``SPLIT`` of its sets, not as a text for each pair.
 
 Thresholds below 75 percent leave too few shingles to a cell and raise an error.
 
@@ -46,6 +48,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from functools import cache
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -64,8 +67,16 @@ HELD_ROWS = 1 << 16
 #: Rare differences that two sets apart from their centre must share to be compared (fewer if
 #: they need not have as many in common): with so many more keys each, no similar pair has fewer.
 SHARED = 1
-#: Set hashes that a task remembers so as to sketch its own copies once.
-REMEMBERED = 1 << 20
+#: Places in which a task remembers the last set hash of each, so as to sketch most of its own copies once.
+REMEMBERED = 1 << 16
+#: Seeds for weak cells; with the last one all cells are keys.
+SEEDS = 64
+#: Bits of a tag that hold the number of surplus cells.
+SURPLUS_BITS = 13
+#: Shingles of one row of a set.
+CHUNK = 1 << 10
+#: Sets that one copy of a centre is compared with.
+SPLIT = 1 << 12
 
 
 def shingle_sets(data: np.ndarray, edges: np.ndarray, words: int) -> list[np.ndarray]:
@@ -122,25 +133,27 @@ def plan_of(group: int, percent: int) -> tuple[int, int, int]:
 def sketch(shingles: np.ndarray, percent: int) -> Iterator[tuple[int, np.ndarray]]:
     """(tag, keys) for each group and seed; tag packs group, seed and surplus cells."""
     own = int(np.searchsorted(bands(percent), len(shingles), "right")) - 1
+    most = (1 << SURPLUS_BITS) - 1
     for group in (own, own - 1) if own else (own,):
         m, d, weak = plan_of(group, percent)
-        seed = 0
-        while True:
+        for seed in range(SEEDS):
+            last = seed == SEEDS - 1
             dealt = shingles if seed == 0 else np.sort(mix(shingles ^ U64(seed * 0x9E3779B97F4A7C15 % (1 << 64))))
             cell = ((dealt >> U64(32)) * U64(m)) >> U64(32)
             at = np.flatnonzero(np.concatenate([[True], cell[1:] != cell[:-1]]))
-            full = np.diff(np.append(at, len(dealt))) >= weak
-            parity = np.bitwise_xor.reduceat(dealt, at)[full]
-            place = cell[at[full]] + U64((group * 64 + seed) << 40)
-            keys = mix(parity ^ mix(place))
-            surplus = max(len(keys) - (d + 1), 0)
+            parity, place = np.bitwise_xor.reduceat(dealt, at), cell[at]
+            if last:
+                parity, place = np.zeros(m, np.uint64), np.arange(m, dtype=np.uint64)
+                parity[cell[at]] = np.bitwise_xor.reduceat(dealt, at)
+            else:
+                full = np.diff(np.append(at, len(dealt))) >= weak
+                parity, place = parity[full], place[full]
+            keys = mix(parity ^ mix(place + U64((group * SEEDS + seed) << 40)))
+            surplus = min(max(len(keys) - (d + 1), 0), most)
             if len(keys):
-                yield (group << 23) | (seed << 17) | min(surplus, (1 << 17) - 1), keys
-            if m - len(keys) <= m - d - 1:
+                yield (group * SEEDS + seed) << SURPLUS_BITS | surplus, keys
+            if len(keys) > d:
                 break
-            seed += 1
-            if seed == 64:
-                raise ValueError("no seed suits a set of %d shingles" % len(shingles))
 
 
 def _sizes(words: int):
@@ -163,14 +176,13 @@ def set_table(docs: DataFrame, words: int) -> DataFrame:
 
 def _keys(words: int, percent: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        done: set[int] = set()
+        done = [0] * REMEMBERED
         for block in blocks(batches):
             names, tags, keys = [], [], []
             for shingles in shingle_sets(*column_bytes(block.column("text")), words):
-                if not len(shingles) or (name := set_hash(shingles)) in done:
+                if not len(shingles) or (name := set_hash(shingles)) == done[name % REMEMBERED]:
                     continue
-                if len(done) < REMEMBERED:
-                    done.add(name)
+                done[name % REMEMBERED] = name
                 for tag, found in sketch(shingles, percent):
                     names.append(np.full(len(found), name))
                     tags.append(np.full(len(found), tag, np.int32))
@@ -234,32 +246,82 @@ def shared_keys(docs: DataFrame, words: int, percent: int) -> DataFrame:
     shared = map_arrow(dealt, _shared, "key long, c long, tag int, freq int")
     mine = Window.partitionBy("c", "tag")
     ranked = shared.select(
-        "key", "c", (F.count("*").over(mine) - F.col("tag").bitwiseAND((1 << 17) - 1)).alias("most"),
+        "key", "c", (F.count("*").over(mine) - F.col("tag").bitwiseAND((1 << SURPLUS_BITS) - 1)).alias("most"),
         F.row_number().over(mine.orderBy("freq", "key")).alias("rank"),
     )
     return ranked.where("rank <= most").select("key", "c", F.col("most").cast("int").alias("most"))
 
 
-def _pairs_of_sets(batches: Iterator[pa.RecordBatch], words: int) -> Iterator[tuple[pa.RecordBatch, list[np.ndarray], list[np.ndarray]]]:
-    """Rows with the shingles of their two texts, a few at a time."""
+def _members(words: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for block in blocks(batches):
+            rows = [
+                (c, at, found[at : at + CHUNK].tobytes())
+                for c, found in zip(block.column("c").to_pylist(), shingle_sets(*column_bytes(block.column("text")), words), strict=True)
+                for at in range(0, len(found), CHUNK)
+            ]
+            kinds = (pa.int64(), pa.int64(), pa.binary())
+            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], kind) for k, kind in enumerate(kinds)], names=["c", "at", "s"])
+
+    return run
+
+
+def member_table(wanted: DataFrame, docs: DataFrame, words: int) -> DataFrame:
+    """(c, at, s): the sorted shingles of each set, ``CHUNK`` in a row, the first of them at place ``at``."""
+    texts = docs.select("doc_id", F.xxhash64(F.coalesce("text", F.lit(""))).alias("version"), "text")
+    texts = texts.join(wanted.select("c", "doc_id", "version"), ["doc_id", "version"]).select("c", "text").dropDuplicates(["c"])
+    return map_arrow(texts, _members(words), "c long, at long, s binary")
+
+
+def together(pairs: DataFrame, members: DataFrame) -> DataFrame:
+    """Rows (a, part, b, at, s) of the sets of pairs (centre a, set b), a's own first, with NULL as b.
+
+    A centre of many sets is dealt to several parts, each with the centre's rows.
+    """
+    many = pairs.groupBy("a").agg(F.ceil(F.count("*") / SPLIT).alias("parts")).where("parts > 1")
+    part = F.pmod(F.xxhash64("b"), F.coalesce("parts", F.lit(1)))
+    dealt = stage(pairs.join(many, "a", "left").select("a", part.alias("part"), "b"), "shingle-pairs")
+    centres = dealt.select("a", "part").distinct().join(members.withColumnRenamed("c", "a"), "a")
+    others = dealt.join(members.withColumnRenamed("c", "b"), "b").select("a", "part", "b", "at", "s")
+    rows = centres.select("a", "part", F.lit(None).cast("long").alias("b"), "at", "s").union(others)
+    return rows.repartition("a", "part").sortWithinPartitions("a", "part", "b", "at")
+
+
+def _met(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+    """(a, b, shingles of a, shingles of b) from the rows of ``together``."""
+    now, held, centre = None, [], None
     for batch in batches:
-        for row in range(0, batch.num_rows, 64):
-            part = batch.slice(row, 64)
-            yield part, *(shingle_sets(*column_bytes(part.column(c)), words) for c in ("ta", "tb"))
+        data, edges = column_bytes(batch.column("s"))
+        for row, key in enumerate(zip(*(batch.column(c).to_pylist() for c in ("a", "part", "b")), strict=True)):
+            if key != now:
+                if now is not None and now[2] is not None:
+                    yield now[0], now[2], centre, np.concatenate(held)
+                elif now is not None:
+                    centre = np.concatenate(held)
+                now, held = key, []
+            held.append(data[edges[row] : edges[row + 1]].view(np.uint64))
+    if now is not None:
+        yield now[0], now[2], centre, np.concatenate(held)
+
 
+def _in_parts(found: Iterator, size: int) -> Iterator[list]:
+    while part := list(islice(found, size)):
+        yield part
 
-def _compare(words: int, percent: int):
+
+def _compare(percent: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part, left, right in _pairs_of_sets(batches, words):
-            common = np.array([len(np.intersect1d(x, y, assume_unique=True)) for x, y in zip(left, right, strict=True)], np.int64)
-            union = np.array([len(x) + len(y) for x, y in zip(left, right, strict=True)], np.int64) - common
-            linked = pa.array(100 * common >= percent * union)
-            yield pa.RecordBatch.from_arrays([part.column("a"), part.column("b"), linked], names=["a", "b", "linked"])
+        def linked(a: int, b: int, x: np.ndarray, y: np.ndarray) -> tuple[int, int, bool]:
+            common = len(np.intersect1d(x, y, assume_unique=True))
+            return a, b, 100 * common >= percent * (len(x) + len(y) - common)
+
+        for part in _in_parts((linked(*pair) for pair in _met(batches)), 1 << 12):
+            yield pa.RecordBatch.from_arrays([*map(pa.array, zip(*part, strict=True))], names=["a", "b", "linked"])
 
     return run
 
 
-def _differences(words: int, percent: int):
+def _differences(percent: int):
     """For each pair (centre a, set b): a row for each of b's differences.
 
     ``apart`` says that b isn't similar to a; ``surplus`` and ``surplus_apart`` are the numbers of
@@ -268,20 +330,20 @@ def _differences(words: int, percent: int):
     """
     low, high = 100 - percent, 100 + percent
 
+    def differences(a: int, b: int, x: np.ndarray, y: np.ndarray) -> tuple:
+        gone, new = np.setdiff1d(x, y, assume_unique=True), np.setdiff1d(y, x, assume_unique=True)
+        count = len(gone) + len(new)
+        apart = count * high > low * (len(x) + len(y))
+        most = low * (len(y) + len(y) * 100 // percent) // high
+        common = -(-(count * high - low * (len(y) - len(x))) // (2 * high))  # rounded up
+        surplus = max(count - (most + 1), 0) if apart else max(common, 1) - 1
+        keys = mix(np.concatenate([new, mix(gone)]) ^ mix(np.array([a]).view(np.uint64))).view(np.int64)
+        return keys, (a, b, apart, surplus, max(common, 1) - 1, count, len(y))
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part, left, right in _pairs_of_sets(batches, words):
-            keys, times, facts = [], [], []
-            for a, b, x, y in zip(part.column("a").to_pylist(), part.column("b").to_pylist(), left, right, strict=True):
-                gone, new = np.setdiff1d(x, y, assume_unique=True), np.setdiff1d(y, x, assume_unique=True)
-                count = len(gone) + len(new)
-                apart = count * high > low * (len(x) + len(y))
-                most = low * (len(y) + len(y) * 100 // percent) // high
-                common = -(-(count * high - low * (len(y) - len(x))) // (2 * high))  # rounded up
-                surplus = max(count - (most + 1), 0) if apart else max(common, 1) - 1
-                keys.append((mix(np.concatenate([new, mix(gone)]) ^ mix(np.array([a]).view(np.uint64)))).view(np.int64))
-                times.append(count)
-                facts.append((a, b, apart, surplus, max(common, 1) - 1, count, len(y)))
-            columns = [np.repeat(np.array(c), times) for c in zip(*facts, strict=True)]
+        for part in _in_parts((differences(*pair) for pair in _met(batches)), 64):
+            keys, facts = zip(*part, strict=True)
+            columns = [np.repeat(np.array(c), [len(k) for k in keys]) for c in zip(*facts, strict=True)]
             columns = [c.astype(k) for c, k in zip(columns, ("i8", "i8", "?", "i4", "i4", "i4", "i4"), strict=True)]
             yield pa.RecordBatch.from_arrays(
                 [pa.array(np.concatenate(keys)), *map(pa.array, columns)], names=["key", "a", "b", "apart", "surplus", "surplus_apart", "differ", "size"]
@@ -290,29 +352,24 @@ def _differences(words: int, percent: int):
     return run
 
 
-def with_texts(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    both = pairs.join(texts.select(F.col("c").alias("a"), F.col("text").alias("ta")), "a")
-    return both.join(texts.select(F.col("c").alias("b"), F.col("text").alias("tb")), "b").select("a", "b", "ta", "tb")
-
-
-def compare(pairs: DataFrame, classes: DataFrame, texts: DataFrame, words: int, percent: int) -> DataFrame:
-    """(a, b) of those pairs of sets that are similar, by the shingles of their whole texts."""
+def compare(pairs: DataFrame, classes: DataFrame, members: DataFrame, percent: int) -> DataFrame:
+    """(a, b) of those pairs of a centre a and a set b that are similar, by all their shingles."""
     size = classes.select("c", "n_shingles")
     sized = pairs.join(size.select(F.col("c").alias("a"), F.col("n_shingles").alias("na")), "a")
     sized = sized.join(size.select(F.col("c").alias("b"), F.col("n_shingles").alias("nb")), "b")
     fitting = sized.where(f"100 * least(na, nb) >= {percent} * greatest(na, nb)").select("a", "b")
-    found = map_arrow(with_texts(fitting, texts), _compare(words, percent), "a long, b long, linked boolean")
+    found = map_arrow(together(fitting, members), _compare(percent), "a long, b long, linked boolean")
     return found.where("linked").select("a", "b")
 
 
-def apart_pairs(open_keys: DataFrame, texts: DataFrame, words: int, percent: int) -> DataFrame:
+def apart_pairs(open_keys: DataFrame, members: DataFrame, percent: int) -> DataFrame:
     """Pairs of sets of different components that may be similar though their centre leaves them apart.
 
     ``open_keys`` has (a: centre, c: set, root: its component).
     """
     pairs = open_keys.where("a != c").select("a", F.col("c").alias("b")).distinct()
     kinds = "key long, a long, b long, apart boolean, surplus int, surplus_apart int, differ int, size int"
-    rows = map_arrow(with_texts(pairs, texts), _differences(words, percent), kinds)
+    rows = map_arrow(together(pairs, members), _differences(percent), kinds)
     shared = rows.withColumn("freq", F.count("*").over(Window.partitionBy("key"))).where("freq > 1")
     mine = Window.partitionBy("a", "b")
     more = F.lit(SHARED - 1)
@@ -338,22 +395,32 @@ def apart_pairs(open_keys: DataFrame, texts: DataFrame, words: int, percent: int
     return met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
+def mixed_keys(keys: DataFrame, roots: DataFrame) -> DataFrame:
+    """(a: centre, ra: its component, c: set, root: its component) of all keys that hold several components."""
+    placed = keys.join(roots.withColumnRenamed("node", "c"), "c", "left").select("key", "c", "most", F.coalesce("root", "c").alias("root"))
+    first = F.max_by(F.struct(F.col("c").alias("a"), F.col("root").alias("ra")), F.struct("most", "c")).alias("first")
+    mixed = placed.groupBy("key").agg(first, F.min("root").alias("low"), F.max("root").alias("high")).where("low != high")
+    return placed.join(mixed.select("key", "first.*"), "key").select("a", "ra", "c", "root").distinct()
+
+
 def linked_sets(docs: DataFrame, classes: DataFrame, words: int, percent: int) -> DataFrame:
     """(node, root) of the sets that have links, but the roots."""
     keys = stage(shared_keys(docs, words, percent), "shingle-keys")
-    wanted = keys.select("c").distinct().join(classes, "c")
-    texts = docs.select("doc_id", F.xxhash64(F.coalesce("text", F.lit(""))).alias("version"), "text")
-    texts = stage(texts.join(wanted.select("c", "doc_id", "version"), ["doc_id", "version"]).select("c", "text").dropDuplicates(["c"]), "shingle-texts")
-    centre = F.max_by("c", F.struct("most", "c")).alias("a")
-    first = keys.join(keys.groupBy("key").agg(centre), "key").where("a != c").select("a", F.col("c").alias("b")).distinct()
-    links = stage(compare(first, classes, texts, words, percent), "shingle-links")
+    members = stage(member_table(keys.select("c").distinct().join(classes, "c"), docs, words), "shingle-members")
+    centres = keys.groupBy("key").agg(F.max_by("c", F.struct("most", "c")).alias("a"))
+    meet = keys.join(centres, "key").where("a != c").groupBy("a", "c").agg(F.count("*").alias("shared"))
+    nearest = meet.groupBy(F.col("c").alias("b")).agg(F.max_by("a", F.struct("shared", "a")).alias("a")).select("a", "b")
+    links = stage(compare(nearest, classes, members, percent), "shingle-links")
     roots = stage(components(links), "shingle-roots")
-    placed = keys.join(roots.withColumnRenamed("node", "c"), "c", "left").select("key", "c", "most", F.coalesce("root", "c").alias("root"))
-    mixed = placed.groupBy("key").agg(centre, F.min("root").alias("low"), F.max("root").alias("high")).where("low != high")
-    open_keys = stage(placed.join(mixed.select("key", "a"), "key").select("a", "c", "root").distinct(), "shingle-open")
+    left = stage(mixed_keys(keys, roots).where("ra != root").select("a", F.col("c").alias("b")).distinct(), "shingle-left")
+    if left.isEmpty():
+        return roots
+    links = links.union(stage(compare(left, classes, members, percent), "shingle-links"))
+    roots = stage(components(links), "shingle-roots")
+    open_keys = stage(mixed_keys(keys, roots).select("a", "c", "root"), "shingle-open")
     if open_keys.isEmpty():
         return roots
-    more = stage(compare(apart_pairs(open_keys, texts, words, percent), classes, texts, words, percent), "shingle-more")
+    more = stage(compare(apart_pairs(open_keys, members, percent), classes, members, percent), "shingle-more")
     return roots if more.isEmpty() else components(links.union(more))
 
 
