@@ -267,25 +267,25 @@ def hidden(text: str) -> list[Span]:
     return found
 
 
-def covered(span: Span, spans: list[Span]) -> bool:
-    """Whether spans of the kind cover it already."""
-    return any(k == span[1] and a <= span[0] and span[2] <= b for a, k, b in spans)
+def uncovered(base: list[Span], extra: list[Span]) -> list[Span]:
+    """Distinct spans of ``extra`` that no base span and no other extra span of their kind covers, in order.
+
+    A sweep by start, the longer first: a span is covered if one before it ends as late.
+    """
+    reach = [-1] * len(KINDS)
+    found = []
+    for start, kind, end, new in sorted([(*s, False) for s in base] + [(*s, True) for s in set(extra)], key=lambda s: (s[0], -s[2], s[3])):
+        if new and reach[kind] < end:
+            found.append((start, kind, end))
+        reach[kind] = max(reach[kind], end)
+    return sorted(found)
 
 
 def find(text: str) -> tuple[list[Span], list[Span]]:
     """(base spans, added spans), each in order."""
     base = sorted(detect(text))
     extra = hidden(text)
-    if not extra:
-        return base, []
-    added: list[Span] = []
-    held = {s[1]: [b for b in base if b[1] == s[1]] for s in extra}
-    for span in sorted(set(extra), key=lambda s: (s[1], s[0] - s[2], s)):
-        kind = held[span[1]]
-        if not covered(span, kind):
-            kind.append(span)
-            added.append(span)
-    return base, sorted(added)
+    return base, uncovered(base, extra) if extra else []
 
 
 def render(spans: list[Span]) -> str:

@@ -3,6 +3,7 @@
 import itertools
 import random
 import re
+import time
 
 import numpy as np
 import public_tokenizers
@@ -303,3 +304,20 @@ def test_decontamination_of_odd_tables(spark, odd, empty):
     bench = spark.createDataFrame([(1, QUESTION), (1, QUESTION), (2, None), (None, "x y z"), (3, ""), (4, "one two three")], "item_id long, text string")
     assert decontaminate.contaminated(odd, bench).collect() == [] == decontaminate.contaminated(empty, bench).collect()
     assert decontaminate.contaminated(odd, bench.where("item_id < 0")).collect() == []
+
+
+def test_uncovered_spans_match_all_pairs():
+    draw = random.Random(5)
+    for _ in range(300):
+        spans = lambda n: [(a := draw.randrange(12), draw.randrange(4), a + draw.randrange(1, 6)) for _ in range(n)]
+        base, extra = spans(draw.randrange(8)), spans(draw.randrange(12))
+        inside = lambda s, o: s[1] == o[1] and o[0] <= s[0] and s[2] <= o[2]
+        want = sorted(s for s in set(extra) if not any(inside(s, o) for o in base) and not any(inside(s, o) and o != s for o in extra))
+        assert pii.uncovered(base, extra) == want
+
+
+def test_many_finds_stay_linear():
+    text = "an \u2013 " + "".join(f"user{i}@host{i}.example " for i in range(40_000))
+    begin = time.perf_counter()
+    base, added = pii.find(text)
+    assert len(base) == 40_000 and not added and time.perf_counter() - begin < 20
