@@ -12,7 +12,8 @@ class AuditConfig:
     """One audit run.
 
     ``catalog`` holds (platform, data_type, token) rows. ``audit_key`` must be secret:
-    whoever knows it can predict which declarations are sampled.
+    whoever knows it can predict which declarations are sampled. ``guard`` is a trained type guard
+    (``learn.train_guard`` or ``bayes.load_model``); without one no call is stopped by it.
     """
 
     scope_contract: bool = True
@@ -26,6 +27,7 @@ class AuditConfig:
     lambda_by_tier: tuple = ()
     certified: bool = False
     salts: int = 16
+    guard: object = field(default=None, compare=False)
     catalog: tuple = field(default_factory=lambda: tuple(vocab.catalog_rows()))
 
     @property

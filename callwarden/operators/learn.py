@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import (
     LinearSVC,
@@ -13,10 +15,13 @@ from pyspark.ml.feature import IDF, HashingTF, StringIndexer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from callwarden import vocab
-from callwarden.functions import calls
+from callwarden.functions import calls, trigrams
 from callwarden.functions.consts import strings
+from callwarden.operators import bayes
+from callwarden.session import cut_lineage, ship_package
 
 BUCKETS = 65_536
 TOP_CATEGORIES = 200
@@ -105,16 +110,42 @@ def signal_encoder(df: DataFrame) -> DataFrame:
 
 
 # --- naive Bayes guard -----------------------------------------------------------------------
-def bucket(gram: Column) -> Column:
-    return (F.crc32(gram) % BUCKETS).cast("int")
-
-
 def gram_counts(df: DataFrame, key: str, text: str = "text", hashed: bool = True) -> DataFrame:
-    """(key, gram, n): repeated grams of one text are counted before any exchange."""
-    grams = df.select(key, F.explode(char_trigrams(F.col(text))).alias("gram"))
-    if hashed:
-        grams = grams.select(key, bucket(F.col("gram")).alias("gram"))
-    return grams.groupBy(key, "gram").agg(F.count("*").alias("n"))
+    """(key, gram, n): trigrams of whole texts, counted inside each batch before any exchange.
+
+    A batch sends at most one row for each of its keys and codes, however long its texts are.
+    """
+    ship_package(df.sparkSession)
+    folded = trigrams.fold(BUCKETS) if hashed else None
+    kind = df.schema[key].dataType
+
+    def count(batches):
+        names = None if hashed else pa.array(trigrams.gram_texts().tolist())
+        for batch in batches:
+            keys = batch.column(0).dictionary_encode(null_encoding="encode")
+            place = keys.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+            parts = []
+            for rows, codes in trigrams.positions(batch.column(1)):
+                codes = folded[codes] if hashed else codes
+                parts.append(np.unique(place[rows] * BUCKETS + codes, return_counts=True))
+            if not parts:
+                continue
+            pairs, where = np.unique(np.concatenate([p for p, _ in parts]), return_inverse=True)
+            n = np.bincount(where, np.concatenate([c for _, c in parts])).astype(np.int64)
+            code = pa.array(pairs % BUCKETS)
+            gram = code.cast(pa.int32()) if hashed else names.take(code)
+            label = keys.dictionary.take(pa.array(pairs // BUCKETS))
+            yield pa.RecordBatch.from_arrays([label, gram, pa.array(n)], names=[key, "gram", "n"])
+
+    schema = T.StructType(
+        [
+            T.StructField(key, kind),
+            T.StructField("gram", T.IntegerType() if hashed else T.StringType()),
+            T.StructField("n", T.LongType()),
+        ]
+    )
+    counted = df.select(key, F.lower(F.col(text)).alias("_text")).mapInArrow(count, schema)
+    return counted.groupBy(key, "gram").agg(F.sum("n").alias("n"))
 
 
 def nb_train(
@@ -124,9 +155,10 @@ def nb_train(
 
     ``weights`` (label, gram, logp) lists seen grams; ``classes`` (label, prior, unseen) has the
     prior and the log-probability of a gram the class never saw. Counting is one partial
-    aggregation, so a class holding most rows adds no hot task.
+    aggregation, so a class holding most rows adds no hot task. The counts, one row for each class
+    and gram, are written once, so the texts are read once.
     """
-    counts = gram_counts(df, label, text, hashed).withColumnRenamed(label, "label")
+    counts = cut_lineage(gram_counts(df, label, text, hashed).withColumnRenamed(label, "label"))
     space = F.lit(BUCKETS)
     if not hashed:
         seen = counts.select("gram").distinct().agg(F.count("*").alias("space"))
@@ -156,8 +188,22 @@ def nb_score(
 ) -> DataFrame:
     """(id, label, score) of the best class; ties by the smaller label.
 
-    The classes are few (14 types), so weights are pivoted to one array per gram: each gram of
-    a call meets one row, whatever the number of classes.
+    Scored inside the row by a broadcast matrix (``operators/bayes.py``); more classes than that may
+    have are scored by a join. A NULL or empty text gets the likeliest class and its prior.
+    """
+    model = bayes.bayes_model(weights, classes, BUCKETS if hashed else None)
+    if model is None:
+        return nb_score_by_join(df, weights, classes, text, hashed)
+    best = bayes.best_class(df.sparkSession, model, text)
+    return df.select("id", best.alias("best")).select("id", "best.label", "best.score")
+
+
+def nb_score_by_join(
+    df: DataFrame, weights: DataFrame, classes: DataFrame, text: str = "text", hashed: bool = True
+) -> DataFrame:
+    """``nb_score`` for any number of classes; ids must be unique.
+
+    Weights are one map for each gram, so a gram of a text meets one row.
     """
     grams = gram_counts(df, "id", text, hashed)
     packed = (
@@ -172,7 +218,8 @@ def nb_score(
     base = classes.agg(
         F.array_sort(F.collect_list(F.struct("label", "prior", "unseen"))).alias("base")
     )
-    lengths = df.select("id", F.size(char_trigrams(F.col(text))).alias("length"))
+    grams_of = F.coalesce(char_trigrams(F.col(text)), F.array().cast("array<string>"))
+    lengths = df.select("id", F.size(grams_of).alias("length"))
     gains = (
         grams.join(packed, "gram")
         .select("id", "n", F.explode("gains").alias("label", "gain"))
@@ -201,11 +248,22 @@ def nb_score(
 
 def nb_guard(df: DataFrame, weights: DataFrame, classes: DataFrame) -> DataFrame:
     """Add ``guard_type``: the model's type, NULL where it sees no personal data."""
-    best = nb_score(df, weights, classes)
+    model = bayes.bayes_model(weights, classes, BUCKETS)
+    if model is not None:
+        return df.withColumn("guard_type", bayes.guard_type(df.sparkSession, model))
+    best = nb_score_by_join(df, weights, classes)
     opinion = best.select("id", F.when(F.col("label") != "NONE", F.col("label")).alias("guard_type"))
     return df.join(opinion, "id", "left")
 
 
+def train_guard(df: DataFrame, label: str = "data_type", text: str = "text") -> bayes.BayesModel:
+    """The type guard of ``AuditConfig.guard``, learned from labelled calls."""
+    model = bayes.bayes_model(*nb_train(df, label, text), BUCKETS)
+    if model is None:
+        raise ValueError(f"a guard has at most {bayes.MAX_CLASSES} types")
+    return model
+
+
 # --- two-headed suggestion ---------------------------------------------------------------------
 def softmax(scores: Column) -> Column:
     """Scores to probabilities, shifted by the maximum."""

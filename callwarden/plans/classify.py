@@ -13,7 +13,7 @@ from callwarden import vocab
 from callwarden.config import AuditConfig
 from callwarden.functions import calls, policy, signals
 from callwarden.functions.consts import per_session
-from callwarden.operators import evidence, gates, identify, revocation
+from callwarden.operators import bayes, evidence, gates, identify, revocation
 from callwarden.operators.staging import seal
 
 TIERS = ["full", "none_verified", "class", "method", "payload", "consent", *vocab.INDIRECT_TIERS]
@@ -109,7 +109,8 @@ def row_verdicts(df: DataFrame, cfg: AuditConfig) -> DataFrame:
     df = identify.identify(with_segments(df), cfg.catalog)
     df = signals.normalize_signals(signals.parse_signals(df))
     if "guard_type" not in df.columns:
-        df = df.withColumn("guard_type", F.lit(None).cast("string"))
+        opinion = bayes.guard_type(df.sparkSession, cfg.guard) if cfg.guard else F.lit(None).cast("string")
+        df = df.withColumn("guard_type", opinion)
     df = gates.gate_flags(df, cfg)
     df = evidence.with_evidence(df, needed=F.col("at_empty_gate"))
     df = df.withColumn("verdict", _policy_verdict())
