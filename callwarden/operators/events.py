@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from callwarden.functions import calls
+from callwarden.operators.quantiles import exact_quantiles
 from callwarden.operators.scan import scrub_text
+from callwarden.session import cut_lineage
 
 # --- fixed values: advice by reason prefix, in order -----------------------------------
 REASON_HINTS = [
@@ -116,6 +118,21 @@ def outcome_distribution(samples: DataFrame) -> DataFrame:
     return _share_of_total(samples.groupBy(event_outcome().alias("outcome")).agg(F.count("*").alias("n")))
 
 
+def outcome_rollup(samples: DataFrame, platform: str = "platform") -> DataFrame:
+    """Outcomes by platform, by platform alone and in all, from one pass over the samples.
+
+    ``level`` tells a total from a NULL platform: 0 a pair, 1 a platform, 3 all; ``share`` is the
+    part of the row above (of the platform for a pair, of all samples for a platform).
+    """
+    rows = samples.select(F.col(platform).alias("platform"), event_outcome().alias("outcome"))
+    table = rows.rollup("platform", "outcome").agg(F.grouping_id().alias("level"), F.count("*").alias("n"))
+    table = table.select("platform", "outcome", F.col("level").cast("int").alias("level"), "n")
+    above = Window.partitionBy("up", "named")
+    up = F.when(F.col("level") == 0, 1).when(F.col("level") == 1, 3).otherwise(7)
+    table = table.withColumns({"up": up, "named": F.when(F.col("level") == 0, F.struct("platform"))})
+    return table.select("platform", "outcome", "level", "n", (F.col("n") / F.sum("n").over(above)).alias("share"))
+
+
 def review_reasons(samples: DataFrame, top: int = 25) -> DataFrame:
     """Most frequent review reasons with their share of reviews and advice."""
     reasons = (
@@ -160,32 +177,31 @@ def confidence_bin(c: Column) -> Column:
 def confidence_histogram(samples: DataFrame, column: str = "l3_confidence") -> DataFrame:
     """Fixed bins beside the overall mean, median and share of high confidence.
 
-    ``percentile_disc`` keeps one counter per distinct value and merges them map-side.
+    The confidences are read once; bins carry sums, so their six rows give the totals.
     """
-    c = F.col(column)
-    values = samples.filter(c.isNotNull()).groupBy(c.alias("c")).agg(F.count("*").alias("n"))
-    total = values.agg(
-        F.sum("n").alias("n_all"),
-        (F.sum(F.col("c") * F.col("n")) / F.sum("n")).alias("mean"),
-        (F.sum(F.when(F.col("c") >= 0.85, F.col("n")).otherwise(0)) / F.sum("n")).alias("share_high"),
+    values = cut_lineage(samples.filter(F.col(column).isNotNull()).select(F.col(column).alias("c")))
+    c = F.col("c")
+    bins = values.groupBy(confidence_bin(c).alias("bin")).agg(
+        F.count("*").alias("n"), F.sum(c).alias("total"), F.count_if(c >= 0.85).alias("high")
     )
-    median = samples.filter(c.isNotNull()).agg(
-        F.expr(f"percentile_disc(0.5) within group (order by {column})").alias("p50")
+    total = bins.agg(
+        F.sum("n").alias("n_all"),
+        (F.sum("total") / F.sum("n")).alias("mean"),
+        (F.sum("high") / F.sum("n")).alias("share_high"),
     )
-    bins = values.groupBy(confidence_bin(F.col("c")).alias("bin")).agg(F.sum("n").alias("n"))
-    return bins.join(F.broadcast(total)).join(F.broadcast(median))
+    median = exact_quantiles(values, [], "c", {"p50": 0.5})
+    return bins.select("bin", "n").join(F.broadcast(total)).join(F.broadcast(median))
 
 
 def stage_latency(samples: DataFrame) -> DataFrame:
-    """Per stage: n, mean, nearest-rank p50 and p95, max of the timings map ``ms``."""
-    stages = samples.select(F.explode("ms").alias("stage", "t"))
-    return stages.groupBy("stage").agg(
-        F.count("t").alias("n"),
-        F.avg("t").alias("mean"),
-        F.expr("percentile_disc(0.5) within group (order by t)").alias("p50"),
-        F.expr("percentile_disc(0.95) within group (order by t)").alias("p95"),
-        F.max("t").alias("max"),
-    )
+    """Per stage: n, mean, nearest-rank p50 and p95, max of the timings map ``ms``.
+
+    A stage without any timing has n = 0 and NULLs.
+    """
+    stages = cut_lineage(samples.select(F.explode("ms").alias("stage", "t")))
+    means = stages.groupBy("stage").agg(F.count("t").alias("n"), F.avg("t").alias("mean"), F.max("t").alias("max"))
+    ranks = exact_quantiles(stages, ["stage"], "t", {"p50": 0.5, "p95": 0.95})
+    return means.join(ranks, "stage", "left").select("stage", "n", "mean", "p50", "p95", "max")
 
 
 def error_summary(events: DataFrame, top: int = 25) -> DataFrame:

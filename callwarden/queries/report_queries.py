@@ -317,6 +317,21 @@ def outcome_distribution(spark, sf):
 OUTCOMES = LOG + "SELECT outcome, count(*) AS n, count(*) / (SELECT count(*) FROM samples) AS share FROM samples GROUP BY 1"
 
 
+def outcome_rollup(spark, sf):
+    """Outcomes by platform with totals."""
+    scored = calls(spark, sf)
+    named = scored.select(F.col("id").alias("sid"), C.platform_tag(F.col("text")).alias("platform"))
+    samples = events.decision_events(run_funnel(scored), "meta").drop("platform")
+    return events.outcome_rollup(samples.join(named, "sid"))
+
+
+OUTCOME_ROLLUP = LOG + """,
+g AS (SELECT platform, outcome, (2 * grouping(platform) + grouping(outcome))::INT AS level, count(*) AS n
+  FROM (SELECT outcome, regexp_extract(text, '\\[platform=([a-z]+)\\]', 1) AS platform FROM samples) GROUP BY ROLLUP (platform, outcome))
+SELECT g.platform, g.outcome, level, g.n, g.n / CASE level WHEN 0 THEN (SELECT u.n FROM g u WHERE u.level = 1
+  AND u.platform IS NOT DISTINCT FROM g.platform) ELSE (SELECT count(*) FROM samples) END AS share FROM g"""
+
+
 def review_reasons(spark, sf):
     return events.review_reasons(_samples(spark, sf))
 
@@ -692,6 +707,7 @@ QUERIES = {
     "hybrid": (hybrid, HYBRID),
     "hybrid_event_rows": (hybrid_event_rows, HYBRID_EVENT_ROWS),
     "outcome_distribution": (outcome_distribution, OUTCOMES),
+    "outcome_rollup": (outcome_rollup, OUTCOME_ROLLUP),
     "review_reasons": (review_reasons, REVIEW_REASONS),
     "api_outcomes": (api_outcomes, API_OUTCOMES),
     "tier_distribution": (tier_distribution, TIERS),
