@@ -24,7 +24,6 @@ from callwarden.operators import bayes
 from callwarden.session import cut_lineage, ship_package
 
 BUCKETS = 65_536
-TOP_CATEGORIES = 200
 MISSING = "<MISSING>"
 
 
@@ -97,7 +96,11 @@ def scope_vector() -> Column:
 
 
 def signal_encoder(df: DataFrame) -> DataFrame:
-    """(field, value, code): most frequent values of each scalar signal, coded by rank."""
+    """(field, value, n, code): all values of each scalar signal, coded by rank of frequency.
+
+    Ties go by value. Ranks are counted inside sorted ranges and added up over the ranges before, so
+    no task holds all values of a field.
+    """
     fields = [k for k in vocab.SIGNAL_KEYS if k != "consent_scope"]
     pairs = df.select(
         F.explode(
@@ -105,8 +108,20 @@ def signal_encoder(df: DataFrame) -> DataFrame:
         ).alias("p")
     ).select("p.*")
     counts = pairs.groupBy("field", "value").agg(F.count("*").alias("n"))
-    rank = F.row_number().over(Window.partitionBy("field").orderBy(F.desc("n"), "value"))
-    return counts.withColumn("code", rank - 1).filter(F.col("code") < TOP_CATEGORIES)
+    return rank_in_field(counts)
+
+
+def rank_in_field(counts: DataFrame) -> DataFrame:
+    """Add ``code``: the place of a row (field, value, n) in its field, the largest ``n`` first."""
+    ranged = counts.repartitionByRange("field", F.desc("n"), "value")
+    ranged = cut_lineage(ranged.withColumn("part", F.spark_partition_id()))
+    before = Window.partitionBy("field").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    parts = ranged.groupBy("field", "part").agg(F.count("*").alias("rows"))
+    parts = parts.select("field", "part", F.coalesce(F.sum("rows").over(before), F.lit(0)).alias("before"))
+    place = F.row_number().over(Window.partitionBy("field", "part").orderBy(F.desc("n"), "value"))
+    return ranged.join(parts, ["field", "part"]).select(
+        "field", "value", "n", (F.col("before") + place - 1).alias("code")
+    )
 
 
 # --- naive Bayes guard -----------------------------------------------------------------------

@@ -546,7 +546,7 @@ p AS (SELECT unnest([
    {{field: 'extra_fields_collected', value: NULL}}], recursive := true) FROM sig),
 c AS (SELECT field, coalesce(value, '<MISSING>') AS value, count(*) AS n FROM p GROUP BY 1, 2),
 k AS (SELECT field, value, CAST(n AS DOUBLE) AS n, row_number() OVER (PARTITION BY field ORDER BY n DESC, value) - 1 AS code FROM c)
-SELECT * FROM k WHERE code < 200 UNION ALL
+SELECT * FROM k UNION ALL
 SELECT 'consent_scope', t || '=' || CASE WHEN scope IS NULL THEN 2 WHEN list_contains(scope, t) THEN 1 ELSE 0 END,
   CAST(count(*) AS DOUBLE), -1 FROM sig, (SELECT unnest({D.texts(vocab.PERSONAL_TYPES)}) AS t) GROUP BY 2"""
 

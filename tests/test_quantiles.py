@@ -5,6 +5,7 @@ import random
 
 import pytest
 
+from callwarden.operators.learn import rank_in_field
 from callwarden.operators.quantiles import exact_quantiles
 
 SHARES = {"low": 0.0, "p50": 0.5, "p95": 0.95, "top": 1.0}
@@ -47,3 +48,13 @@ def test_no_groups_and_no_rows(spark, groups):
     assert [tuple(r) for r in exact_quantiles(df, [], "v", {"p50": 0.5}, 3, 8).collect()] == [(5.0,)]
     assert [tuple(r) for r in exact_quantiles(df.limit(0), [], "v", {"p50": 0.5}).collect()] == [(None,)]
     assert exact_quantiles(df.limit(0).selectExpr("1 AS g", "v"), ["g"], "v", {"p50": 0.5}).collect() == []
+
+
+def test_all_values_are_coded_over_ranges(spark):
+    rng = random.Random(4)
+    rows = [(f, f"v{i}", rng.choice([1, 1, 1, 2, 9])) for f, k in (("a", 900), ("b", 3), ("c", 400)) for i in range(k)]
+    got = rank_in_field(spark.createDataFrame(rows, "field string, value string, n long")).collect()
+    assert len({r["code"] for r in got if r["field"] == "a"}) == 900 and len(got) == len(rows)
+    for field in "abc":
+        ordered = sorted((r for r in rows if r[0] == field), key=lambda r: (-r[2], r[1]))
+        assert {r["value"]: r["code"] for r in got if r["field"] == field} == {r[1]: i for i, r in enumerate(ordered)}
