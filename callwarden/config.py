@@ -14,6 +14,7 @@ class AuditConfig:
     ``catalog`` holds (platform, data_type, token) rows. ``audit_key`` must be secret:
     whoever knows it can predict which declarations are sampled. ``guard`` is a trained type guard
     (``learn.train_guard`` or ``bayes.load_model``); without one no call is stopped by it.
+    A call longer than ``max_text_chars`` goes to review unread.
     """
 
     scope_contract: bool = True
@@ -27,6 +28,7 @@ class AuditConfig:
     lambda_by_tier: tuple = ()
     certified: bool = False
     salts: int = 16
+    max_text_chars: int = vocab.MAX_TEXT_CHARS
     guard: object = field(default=None, compare=False)
     catalog: tuple = field(default_factory=lambda: tuple(vocab.catalog_rows()))
 

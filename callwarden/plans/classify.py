@@ -104,7 +104,7 @@ def row_verdicts(df: DataFrame, cfg: AuditConfig) -> DataFrame:
     The text of an oversized call is set aside first, so no pattern ever runs over it.
     """
     keep = df.columns
-    small = F.length("text") <= vocab.MAX_TEXT_CHARS
+    small = F.length("text") <= cfg.max_text_chars
     df = df.withColumns({"_whole": F.col("text"), "text": F.when(small, F.col("text"))})
     df = identify.identify(with_segments(df), cfg.catalog)
     df = signals.normalize_signals(signals.parse_signals(df))
@@ -118,7 +118,7 @@ def row_verdicts(df: DataFrame, cfg: AuditConfig) -> DataFrame:
     df = df.withColumns(
         {
             "gate_reason": F.when(F.col("data_type").isNull(), gates.none_gate_reason(cfg)),
-            "oversized": F.coalesce(F.length("_whole") > vocab.MAX_TEXT_CHARS, F.lit(False)),
+            "oversized": F.coalesce(F.length("_whole") > cfg.max_text_chars, F.lit(False)),
         }
     )
     passes = F.col("data_type").isNull() & F.col("gate_reason").isNull()

@@ -59,6 +59,16 @@ def test_tiers_that_may_pass(spark):
     assert (rows[1].combo, rows[1].tier, rows[1].needs_review) == ("NONE||COMPLIANT", "none_verified", False)
 
 
+def test_oversized_calls_go_to_review_unread(spark):
+    df = table(spark, [SAFE, NONE])
+    limit = AuditConfig(max_text_chars=len(SAFE) - 1)
+    rows = {r.id: r for r in classify_calls(df, limit).collect()}
+    assert (rows[0].combo, rows[0].review_reason) == ("UNKNOWN||UNKNOWN", "input_oversized")
+    assert rows[0].needs_review and rows[0].confidence == 0.0 and rows[0].text == SAFE
+    assert (rows[1].combo, rows[1].needs_review) == ("NONE||COMPLIANT", False)
+
+
+
 def test_raising_the_threshold_only_adds_reviews(spark):
     texts = table(spark, [*MALFORMED, SAFE, NONE])
     base = {r.id for r in classify_calls(texts).filter("not needs_review").collect()}
