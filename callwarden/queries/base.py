@@ -16,13 +16,17 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """Rows over all cores of a one-machine session, whose tables are single files.
+def spread(df: DataFrame, light: bool = False) -> DataFrame:
+    """Rows over all cores, dealt in turn.
 
-    On a cluster the input's own splits are used and nothing is exchanged.
+    Rows of calls take few bytes and much work, and a file can't be read by more tasks than it has row
+    groups: 600,000 calls in one group would be one task, whatever the cluster. ``light`` work is dealt
+    in one-machine sessions only; elsewhere the input's own splits serve.
     """
     context = df.sparkSession.sparkContext
-    return df.repartition(context.defaultParallelism) if context.master.startswith("local[") else df
+    if context.master.startswith("local["):
+        return df.repartition(context.defaultParallelism)
+    return df if light else df.repartition(context.defaultParallelism * 4)
 
 
 def calls(spark: SparkSession, sf: str) -> DataFrame:
