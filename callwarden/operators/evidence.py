@@ -194,11 +194,11 @@ def with_value_shapes(df: DataFrame, body: str, limits: EvidenceLimits) -> DataF
 
     A value is decoded only if it has no shape itself.
     """
-    keep = df.columns
+    keep, present = df.columns, F.col(body).isNotNull()
     trimmed = F.transform(F.col("leaves"), lambda v: F.regexp_replace(v, r"(?U)^\s+|\s+$", ""))
     plain = F.transform(F.col("leaves"), lambda v: D.fold_digits(D.strip_invisible(D.unescape(v))))
     df = with_texts(
-        df, _values=F.filter(trimmed, lambda v: v != ""), _parts=F.filter(plain, lambda v: v != ""),
+        df, present, _values=F.filter(trimmed, lambda v: v != ""), _parts=F.filter(plain, lambda v: v != ""),
         _texts=D.spellings(F.col(body), limits.fold_chars),
     )
 
@@ -207,7 +207,7 @@ def with_value_shapes(df: DataFrame, body: str, limits: EvidenceLimits) -> DataF
 
     numbers = automaton.joined_shape(F.transform(F.col("_parts"), lambda p: D.digit_readings(p)))
     df = with_texts(
-        df, _own=F.transform(F.col("_values"), own), _numbers=numbers, _raw=_joined_raw(F.col("_parts"), limits),
+        df, present, _own=F.transform(F.col("_values"), own), _numbers=numbers, _raw=_joined_raw(F.col("_parts"), limits),
         _text=shapes.first_of(F.col("_texts"), shapes.embedded_shape),
     )
     hidden = F.zip_with(F.col("_values"), F.col("_own"), lambda v, o: F.when(o.isNull() & (F.length(v) <= limits.fold_chars), v))
@@ -216,11 +216,11 @@ def with_value_shapes(df: DataFrame, body: str, limits: EvidenceLimits) -> DataF
     split = F.when(F.size(F.col("_parts")) >= 2, first_named(F.array(F.col("_numbers"), F.col("_raw"))))
     ends = F.array(F.concat(split, "(split)"), F.concat(F.col("_text"), "(text)"))
     encoded = F.transform(F.array_distinct(F.array_compact(F.transform(products, strong))), lambda n: F.concat(n, "(encoded)"))
-    df = with_texts(df, _hits=F.concat(F.array_compact(F.col("_own")), encoded, F.array_compact(ends)))
+    df = with_texts(df, present, _hits=F.concat(F.array_compact(F.col("_own")), encoded, F.array_compact(ends)))
     bare = shapes.first_of(F.col("_texts"), lambda f: shapes.embedded_shape(F.regexp_replace(f, P.DIGIT_GAP, "")))
     collapsed = F.array_compact(F.array(F.concat(bare, "(text)")))
     found = F.when(F.size(F.col("_hits")) > 0, F.array_sort(F.array_distinct(F.col("_hits")))).when(F.col("_hits").isNotNull(), collapsed)
-    return with_texts(df, value_shapes=found).select(*keep, "value_shapes")
+    return with_texts(df, present, value_shapes=found).select(*keep, "value_shapes")
 
 
 # ---------------------------------------------------------------- structure
@@ -307,16 +307,16 @@ def _may_begin(v: E) -> E:
 
 def with_suspicion(df: DataFrame, limits: EvidenceLimits) -> DataFrame:
     """Add ``suspicion``: first structural reason to distrust an empty declaration, NULL when there is none."""
-    keep = df.columns
+    keep, present = df.columns, F.col("leaves").isNotNull()
     short = lambda v: F.length(v) <= limits.decode_chars
     none = F.array().cast("array<string>")
     pool, made, parts = F.col("pool"), F.col("_made"), F.col("_shards")
-    df = with_texts(df, pool=F.array_distinct(F.concat(F.col("leaves"), F.col("names"))))
+    df = with_texts(df, present, pool=F.array_distinct(F.concat(F.col("leaves"), F.col("names"))))
     # beyond these bounds the reason is known already
     few = (F.size(F.col("leaves")) <= limits.values) & (F.size(F.col("names")) <= limits.keys)
-    df = with_texts(df, pool=F.when(few, pool))
+    df = with_texts(df, present, pool=F.when(few, pool))
     df = with_texts(
-        df, _made=F.transform(pool, lambda v: F.when(short(v), D.product_texts(v, reverse=False)).otherwise(none)),
+        df, present, _made=F.transform(pool, lambda v: F.when(short(v), D.product_texts(v, reverse=False)).otherwise(none)),
         _openers=F.filter(F.sequence(0, F.size(pool) - 1), lambda i: _may_begin(F.get(pool, i))),
         _readings=F.transform(pool, lambda v: D.digit_readings(v)),
         _short=F.transform(pool, lambda v: F.when(short(v), D.short_products(v)).otherwise(none)),
@@ -331,15 +331,15 @@ def with_suspicion(df: DataFrame, limits: EvidenceLimits) -> DataFrame:
     joins = F.flatten(F.transform(F.col("_openers"), lambda i: F.array_compact(F.transform(pool, lambda b, j: pair(i, b, j)))))
     own = F.transform(F.col("_readings"), lambda r: F.array(F.coalesce(F.get(r, 0), "")))
     decoded = F.zip_with(F.col("_short"), made, lambda s, m: F.array_distinct(F.flatten(F.transform(F.array_union(s, m), lambda t: D.digit_readings(t)))))
-    df = with_texts(df, _decodable=decodable)
+    df = with_texts(df, present, _decodable=decodable)
     df = with_texts(
-        df, _joinable=~F.col("_decodable") & F.exists(joins, _long_product), _pair=automaton.joined_shape(own, triples=False).isNotNull() | F.col("_raw").isNotNull(),
+        df, present, _joinable=~F.col("_decodable") & F.exists(joins, _long_product), _pair=automaton.joined_shape(own, triples=False).isNotNull() | F.col("_raw").isNotNull(),
         _shards=decoded,
     )
     shards = F.size(F.filter(parts, lambda s: F.exists(s, lambda d: F.length(d).between(1, 6))))
     readings = F.filter(F.array_distinct(F.concat(F.flatten(F.col("_readings")), F.flatten(parts))), lambda d: F.length(d) <= limits.shard_digits)
     known = F.col("_decodable") | F.col("_joinable") | F.col("_pair")
-    df = with_texts(df, _again=F.when(~known, automaton.joined_shape(F.transform(readings, lambda d: F.array(d)))))
+    df = with_texts(df, present, _again=F.when(~known, automaton.joined_shape(F.transform(readings, lambda d: F.array(d)))))
     folded = F.filter(pool, lambda v: (F.length(v) <= limits.fold_chars) & F.coalesce(digit_shard(D.fold_digits(v)), F.lit(False)))
     reason = (
         F.when(F.size(F.col("leaves")) > limits.values, "excessive_value_count")
@@ -354,7 +354,7 @@ def with_suspicion(df: DataFrame, limits: EvidenceLimits) -> DataFrame:
         .when(F.exists(pool, lambda v: dense_token(v)), "dense_token")
         .when(F.exists(pool, lambda v: compact_token(v)) | F.exists(F.col("names"), lambda k: compact_key(k)), "integer_base_token")
     )
-    return with_texts(df, suspicion=reason).select(*keep, "suspicion")
+    return with_texts(df, present, suspicion=reason).select(*keep, "suspicion")
 
 
 def with_evidence(df: DataFrame, body: str = "body", needed: Column | None = None, limits: EvidenceLimits = LIMITS) -> DataFrame:

@@ -11,6 +11,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from callwarden.functions.sqlx import when
+
 
 def seal(df: DataFrame, *columns: str) -> DataFrame:
     """Same rows and columns; predicates on ``columns`` are not inlined further down."""
@@ -18,6 +20,6 @@ def seal(df: DataFrame, *columns: str) -> DataFrame:
     return df.select(*rest, F.inline(F.array(F.struct(*columns)))).select(*df.columns)
 
 
-def with_texts(df: DataFrame, **values) -> DataFrame:
-    """Add columns given as the texts of expressions."""
-    return df.withColumns({name: value.column() for name, value in values.items()})
+def with_texts(df: DataFrame, only=None, **values) -> DataFrame:
+    """Add columns given as the texts of expressions; NULL, and not computed, where not ``only``."""
+    return df.withColumns({name: (value if only is None else when(only, value)).column() for name, value in values.items()})
