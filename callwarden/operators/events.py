@@ -33,8 +33,8 @@ def outcome(needs_human: Column, decision: Column) -> Column:
     )
 
 
-def decision_events(df: DataFrame, level: str = "safe") -> DataFrame:
-    """Funnel results as audit ``sample`` events with a constant schema."""
+def decision_events(df: DataFrame, level: str = "safe", keep: tuple[str, ...] = ()) -> DataFrame:
+    """Funnel results as audit ``sample`` events with a constant schema, and the columns ``keep`` beside it."""
     df = scrub_text(df, level=level)
     return df.select(
         F.lit("sample").alias("ev"),
@@ -57,6 +57,7 @@ def decision_events(df: DataFrame, level: str = "safe") -> DataFrame:
         "needs_human",
         "final_layer",
         "review_reason",
+        *keep,
     )
 
 

@@ -9,6 +9,7 @@ from callwarden import vocab
 from callwarden.config import AuditConfig
 from callwarden.operators import restore, scan
 from callwarden.plans.classify import classify_calls
+from callwarden.session import cut_lineage
 
 EXTERNAL_LABELS = [v for v in vocab.SEVERITY_ORDER if v != "COMPLIANT"]
 
@@ -33,11 +34,14 @@ def verdict_contract(verdicts: DataFrame) -> DataFrame:
 def guarded_text(df: DataFrame) -> DataFrame:
     """Add the guard's columns; texts with harmless residue are restored first.
 
-    Only those rows are cut into tokens; all others pass through unchanged.
+    Only those rows are cut into tokens. They are found by one pass and kept on the shared folder; all
+    others pass through unchanged, and without such rows the rest of the plan stays a single branch.
     """
     df = scan.input_guard(df)
     keep = df.columns
-    dirty = df.filter("guard_action = 'preprocess'")
+    dirty = cut_lineage(df.filter("guard_action = 'preprocess'"))
+    if dirty.isEmpty():
+        return df
     restored = restore.restore_text(dirty)
     restored = restored.select(
         *[F.col("normalized").alias("text") if c == "text" else F.col(c) for c in keep]
