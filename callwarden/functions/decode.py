@@ -56,7 +56,8 @@ def replaced(c: Column, pattern: str, shown: Callable[[Column], Column]) -> Colu
 
 
 def printable(c: Column) -> Column:
-    return c.rlike(r"^(?:[^\p{C}\p{Z}]| )+$")
+    # one class, no group: a repeated group of choices takes stack for each character
+    return c.rlike(r"^[ [^\p{C}\p{Z}]]+$")
 
 
 def shown(raw: Column) -> Column:

@@ -268,9 +268,10 @@ def _long_product(v: E) -> E:
     return F.exists(D.products(v, reverse=False), lambda f: F.length(F.trim(f["product"])) >= 8)
 
 
-#: Bytes, in hex, with which printable UTF-8 text may begin; the last character may be cut.
+#: Bytes, in hex, with which printable UTF-8 text may begin; the last character may be cut. Whole characters
+#: are taken possessively, as a way back would keep stack for each of them and can't lead to another reading.
 _TEXT_BEGIN = (
-    "^(?:[2-6].|7[0-9A-E]|(?:C[2-9A-F]|D.)[89AB].|E.(?:[89AB].){2}|F[0-4](?:[89AB].){3})*"
+    "^(?:[2-6].|7[0-9A-E]|(?:C[2-9A-F]|D.)[89AB].|E.(?:[89AB].){2}|F[0-4](?:[89AB].){3})*+"
     "(?:(?:C[2-9A-F]|D.|E.|F[0-4])|(?:E.|F[0-4])[89AB].|F[0-4](?:[89AB].){2})?$"
 )
 

@@ -131,3 +131,22 @@ def test_rounds_carry_only_changing_tokens(spark):
     assert len(rows) == 6 and got[deep] == ("granted", ["base64"] * 3) and got[None] == (None, None)
     assert got["plain.Name"] == ("plain.Name", []) and got[fog] == (plain.decode(), ["stringfog"])
     assert got["é&amp;"] == ("é&", ["nfkc", "html_entity"])
+
+
+def test_patterns_over_long_texts_take_no_stack_for_each_character(spark):
+    lines = "plain words, ümläut\x00" * 20_000
+    values = ["%41" + "plain words " * 40_000, base64.b64encode(("é" * 200_000).encode()).decode(), "[" + '"' + "a" * 500_000 + '"]', lines]
+    strings = sqlx.col("v").rlike(restore.JSON_STRING)
+    rows = read(spark, values, fine=D.printable(sqlx.col("v")), found=D.products(sqlx.col("v")), begins=evidence._may_begin(sqlx.col("v")), strings=strings)
+    assert [r["fine"] for r in rows] == [True, True, True, False]
+    assert ("url", ("A" + "plain words " * 40_000).strip()) in {(f.codec, f.product) for f in rows[0]["found"]}
+    assert ("base64", "é" * 200_000) in {(f.codec, f.product) for f in rows[1]["found"]}
+    assert rows[1]["begins"] and rows[2]["strings"]
+
+
+def test_text_begin_still_means_the_same(spark):
+    texts = ["", "abc", "aé中😀", "\x01", "a\n"]
+    raws = [t.encode()[:n] for t in texts for n in range(len(t.encode()) + 1)] + [b"\xff", b"a\xa9", b"\xc3\xc3"]
+    old = evidence._TEXT_BEGIN.replace("*+", "*")
+    rows = read(spark, [raw.hex().upper() for raw in raws], fits=sqlx.col("v").rlike(evidence._TEXT_BEGIN))
+    assert [r["fits"] for r in rows] == [re.search(old, raw.hex().upper()) is not None for raw in raws]
