@@ -36,14 +36,14 @@ from callwarden.llm.common import U64, blocks, documents, map_arrow, mix
 
 MODEL = "piece_bpe_32k.model"
 BLANK = 0x2581
-#: Text of a block; the larger, the more chunks of it are alike.
-TEXT_BYTES = 6 << 20
+#: Text of a block; the larger, the more chunks of it are alike and the more memory a worker takes.
+TEXT_BYTES = 2 << 20
 #: Slots of the table of tried pairs; a later pair of the same slot takes its place.
 PAIR_SLOTS = 1 << 21
 #: Distinct chunks that a worker remembers before it starts anew.
-KNOWN_CHUNKS = 500_000
+KNOWN_CHUNKS = 250_000
 #: Cells (chunks x positions) of the lattices advanced at once.
-CELLS = 1 << 20
+CELLS = 1 << 18
 UNIGRAM, BPE = 1, 2
 _NORMAL, _UNKNOWN, _CONTROL, _USER, _UNUSED, _BYTE = 1, 2, 3, 4, 5, 6
 _P = 0x9E3779B97F4A7C15

@@ -4,6 +4,7 @@ import itertools
 import random
 import re
 import time
+import tracemalloc
 
 import numpy as np
 import public_tokenizers
@@ -12,7 +13,7 @@ import pytest
 import sentencepiece
 
 from callwarden.llm import chat_format, decontaminate, pii, sentencepiece_codec
-from callwarden.llm.common import column_bytes
+from callwarden.llm.common import blocks, column_bytes
 
 from .conftest import ODD
 
@@ -37,6 +38,20 @@ def test_ids_are_the_librarys(spark, model):
         assert codec.decode(ids[a:b]) == text.replace("▁", " ")
 
 
+def test_encoding_keeps_to_its_memory(model):
+    draw = random.Random(5)
+    words = ["".join(draw.choices("abcdefghijklmnopqrstuvwxyz", k=draw.randrange(2, 16))) for _ in range(5000)]
+    line = lambda: " ".join(draw.choices(words, k=500))
+    batch = pa.RecordBatch.from_arrays([pa.array([line() for _ in range(1300)])], names=["text"])
+    codec = sentencepiece_codec.Codec(model)
+    tracemalloc.start()
+    for block in blocks(iter([batch]), limit=sentencepiece_codec.TEXT_BYTES):
+        codec.encode(block.column("text").to_pylist())
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 100e6, peak
+
+
 def test_unigram_search_finds_the_best_sum():
     draw = random.Random(7)
     pieces = ["<unk>", *"▁abc"] + sorted({"".join(draw.choice("▁abc") for _ in range(draw.randrange(2, 5))) for _ in range(25)})
