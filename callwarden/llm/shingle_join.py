@@ -73,6 +73,8 @@ REMEMBERED = 1 << 16
 SEEDS = 64
 #: Bits of a tag that hold the number of surplus cells.
 SURPLUS_BITS = 13
+#: Bits of the map of wanted documents; the more of them are set, the more others pass it too.
+MARKS = 1 << 25
 #: Shingles of one row of a set.
 CHUNK = 1 << 10
 #: Sets that one copy of a centre is compared with.
@@ -266,9 +268,25 @@ def _members(words: int):
     return run
 
 
+def likely(texts: DataFrame, wanted: DataFrame) -> DataFrame:
+    """Rows of ``texts`` whose (doc_id, version) may be in ``wanted``: all that are, and few others.
+
+    Texts are large and few are wanted, so they aren't sent to a join: each task looks its rows up in a
+    bitmap of hashes, at most ``MARKS`` / 8 bytes whatever the number of documents.
+    """
+    place = F.pmod(F.xxhash64("doc_id", "version"), F.lit(MARKS))
+    marks = wanted.select(place.alias("place")).groupBy(F.expr("place div 32768").alias("bucket"))
+    marks = marks.agg(F.bitmap_construct_agg(F.expr("place % 32768")).alias("bits"))
+    byte = "conv(hex(substring(bits, cast(place % 32768 div 8 as int) + 1, 1)), 16, 10)"
+    marked = F.expr(f"place div 32768 = bucket and getbit(cast({byte} as int), cast(place % 8 as int)) = 1")
+    return texts.withColumn("place", place).join(F.broadcast(marks), marked, "left_semi").drop("place")
+
+
 def member_table(wanted: DataFrame, docs: DataFrame, words: int) -> DataFrame:
     """(c, at, s): the sorted shingles of each set, ``CHUNK`` in a row, the first of them at place ``at``."""
+    wanted = stage(wanted, "shingle-wanted")
     texts = docs.select("doc_id", F.xxhash64(F.coalesce("text", F.lit(""))).alias("version"), "text")
+    texts = likely(texts, wanted)
     texts = texts.join(wanted.select("c", "doc_id", "version"), ["doc_id", "version"]).select("c", "text").dropDuplicates(["c"])
     return map_arrow(texts, _members(words), "c long, at long, s binary")
 

@@ -103,6 +103,17 @@ def test_odd_tables(spark, odd, empty):
     assert kept.columns == odd.columns and sorted(r.doc_id or 0 for r in kept.collect()) == [0, 1, 2, 3, 4, 6, 7, 8, 9, 10]
 
 
+def test_texts_that_are_not_wanted_stay_in_their_task(spark):
+    texts = spark.range(-2000, 2000).selectExpr("id as doc_id", "xxhash64(id) as version", "concat('text ', id) as text")
+    wanted = texts.where("doc_id % 40 = 7").selectExpr("doc_id as c", "doc_id", "version")
+    found = {r.doc_id for r in shingle_join.likely(texts, wanted).collect()}
+    assert {d for d in range(-2000, 2000) if d % 40 == 7 and d > 0} <= found
+    assert {r.doc_id for r in wanted.collect()} <= found and len(found) <= 110
+    assert shingle_join.likely(texts, wanted.where("false")).count() == 0
+    table = shingle_join.member_table(wanted, texts.select("doc_id", "text"), 2)
+    assert table.count() == 0  # other versions: the join after the bitmap is exact
+
+
 def test_similar_sets_share_a_key_that_is_not_weak():
     import numpy as np
 
