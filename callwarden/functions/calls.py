@@ -72,7 +72,7 @@ def declaration_fingerprint(text: Column, body: Column) -> Column:
     """Shape of a declaration: platform, emptiness, key names; never values."""
     tag = F.lower(F.regexp_extract(text, r"(?iU)\[platform=(\w+)\]", 1))
     empty = text.rlike(r'(?iU)"consent_scope"\s*:\s*\[\s*\]')
-    keys = F.array_sort(
+    keys = F.sort_array(
         F.array_distinct(F.regexp_extract_all(body, F.lit(r'(?U)"([^"]+)"\s*:'), F.lit(1)))
     )
     return F.concat(

@@ -39,6 +39,15 @@ def strings(values) -> Column:
     return F.array(*[F.lit(v) for v in values])
 
 
+def known(*values: Column) -> Column:
+    """Array of those of different strings that are not NULL.
+
+    ``array_compact`` would do, but like every function with a lambda it walks its whole argument as a tree
+    for each row, where the rest of a row's work is compiled.
+    """
+    return F.array_except(F.array(*values), F.array(F.lit(None).cast("string")))
+
+
 def first_by_order(order, present: Column) -> Column:
     """First member of ``order`` that occurs in the array ``present``; NULL when none does."""
     return F.get(F.array_intersect(strings(order), present), F.lit(0))

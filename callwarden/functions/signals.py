@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from callwarden import vocab
 from callwarden.functions.calls import BLANK
-from callwarden.functions.consts import per_session, strings
+from callwarden.functions.consts import known, per_session, strings
 
 VARIANT_DDL = ", ".join(f"{k} variant" for k in vocab.SIGNAL_KEYS)
 
@@ -36,13 +36,13 @@ def _parse_columns(body: str) -> tuple[Column, Column, Column, Column]:
         )
         for k in vocab.SIGNAL_KEYS
     ]
-    known = strings(vocab.SIGNAL_KEYS)
+    names = strings(vocab.SIGNAL_KEYS)
     raw = F.from_json(body, VARIANT_DDL, {"allowSingleQuotes": "false"})
     salvaged = F.when(
         ~is_object,
-        F.map_filter(F.map_from_arrays(known, F.array(*pick)), lambda _, v: v.isNotNull()),
+        F.map_filter(F.map_from_arrays(names, F.array(*pick)), lambda _, v: v.isNotNull()),
     )
-    present = F.when(is_object, F.array_intersect(known, F.col("object_keys"))).otherwise(
+    present = F.when(is_object, F.array_intersect(names, F.col("object_keys"))).otherwise(
         F.coalesce(F.map_keys("salvaged"), F.array().cast("array<string>"))
     )
     return raw, salvaged, present, is_object | (F.size("present") > 0)
@@ -87,7 +87,7 @@ def _normal(key: str) -> tuple[Column, Column]:
         return F.when(fits, F.try_to_number(_trimmed(text), F.lit("S9999999999999999999"))), fits
     if key == "consent_scope":
         listed = F.expr("try_variant_get(raw.consent_scope, '$', 'array<string>')")
-        all_text = (kind == "ARRAY<STRING>") & ~F.exists(listed, lambda x: x.isNull())
+        all_text = (kind == "ARRAY<STRING>") & F.get(F.sort_array(listed), F.lit(0)).isNotNull()
         empty = kind.startswith("ARRAY") & (text == "[]")
         split = F.filter(
             F.transform(F.split(text, ","), _trimmed), lambda x: x != ""
@@ -111,7 +111,7 @@ def _normal_columns() -> tuple[Column, Column, Column]:
         values.append(F.when(present, value).alias(key))
         bad.append(F.when(present & ~F.coalesce(fits, F.lit(False)), F.lit(key)))
     typed = F.struct(*[_typed(key) for key in vocab.SIGNAL_KEYS])
-    return typed, F.struct(*values), F.array_compact(F.array(*bad))
+    return typed, F.struct(*values), known(*bad)
 
 
 def normalize_signals(df: DataFrame) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from callwarden.functions import patterns as P
-from callwarden.functions.consts import const, strings
+from callwarden.functions.consts import const, known, strings
 from callwarden.functions.decode import digit_table
 
 # --- fixed values: words of code and of the value enumerations -----------------------
@@ -119,22 +119,24 @@ def plausible_text(c: Column, least: int = 4) -> Column:
 def has_bare_b64(c: Column) -> Column:
     """A long base64-looking token, not merely a long identifier."""
     tokens = F.regexp_extract_all(c, F.lit("(?U)" + P.BARE_BASE64), F.lit(0))
-    return F.exists(
+    telling = F.exists(
         tokens,
         lambda t: t.rlike(r"[+/]|=$") | (t.rlike("[A-Z]") & t.rlike("[a-z]") & t.rlike("[0-9]")),
     )
+    return c.rlike("(?U)" + P.BARE_BASE64) & telling
 
 
 def guard_residual(c: Column) -> Column:
     """Kinds of residue left by an unfinished de-obfuscation."""
-    marks = F.array(
-        F.when(F.translate(c, P.ZERO_WIDTH, "") != c, "zero_width"),
-        F.when(c.rlike(P.TAG_CHARS), "unicode_tag"),
-        F.when(F.translate(c, P.CONFUSABLE_FROM, P.CONFUSABLE_TO) != c, "confusable"),
+    foreign = F.octet_length(c) != F.length(c)  # the first three are kinds of characters beyond ASCII
+    marks = known(
+        F.when(foreign & (F.translate(c, P.ZERO_WIDTH, "") != c), "zero_width"),
+        F.when(foreign & c.rlike(P.TAG_CHARS), "unicode_tag"),
+        F.when(foreign & (F.translate(c, P.CONFUSABLE_FROM, P.CONFUSABLE_TO) != c), "confusable"),
         F.when(c.rlike(P.RESIDUAL_TOKEN) | has_bare_b64(c), "encoded_token"),
     )
     return F.when(F.coalesce(c, F.lit("")) == "", F.array(F.lit("empty"))).otherwise(
-        F.array_compact(marks)
+        marks
     )
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from callwarden.functions.consts import per_session
+from callwarden.functions.consts import per_session, strings
 from callwarden.operators.staging import seal
 
 # --- fixed values: one catalogue token per platform and type ---------------------
@@ -31,8 +31,8 @@ def h(i: int) -> Column:
 
 
 def pick(items: str, i: int) -> Column:
-    n = items.count("|") + 1
-    return F.split_part(F.lit(items), F.lit("|"), (F.lit(1) + h(i) % n).cast("int"))
+    values = items.split("|")
+    return F.get(strings(values), (h(i) % len(values)).cast("int"))
 
 
 @per_session

@@ -26,7 +26,9 @@ def sensitive_hint(stack: Column, body: Column) -> Column:
         lambda name: F.substring_index(name, ".", -2),
     )
     words = "(?i)(" + vocab.SENSITIVE_PATTERN + ")"
-    return F.array_join(tails, "\n").rlike(words) | body.rlike(words)
+    # a word in a tail is one in the stack, so most stacks need not be cut
+    in_tail = stack.rlike(words) & F.array_join(tails, "\n").rlike(words)
+    return in_tail | body.rlike(words)
 
 
 def scope_contract(text: Column) -> Column:
@@ -43,7 +45,7 @@ def scope_problem(scope: Column) -> Column:
     """Why the declared scope is unusable, NULL when it is fine."""
     unknown = F.filter(scope["names"], lambda n: ~n.isin(vocab.DATA_TYPES))
     return F.when(~scope["declared"], "contract_missing_consent_scope").when(
-        F.size(unknown) > 0,
+        F.size(F.array_except(scope["names"], strings(vocab.DATA_TYPES))) > 0,
         F.concat(
             F.lit("contract_unknown_scope_value:"), F.array_join(F.slice(unknown, 1, 3), ",")
         ),

@@ -12,10 +12,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from callwarden import vocab
-from callwarden.functions.consts import const, first_by_order, strings
+from callwarden.functions.consts import const, first_by_order, known, strings
 from callwarden.operators.staging import seal
 
 TOKENS_DDL = "map<string,array<struct<token:string,spaced:string,types:array<string>>>>"
+MATCHED_DDL = "array<struct<variant:string,types:array<string>>>"
 SCOPE_LIST = r'(?iU)"consent_scope"\s*:\s*\[([^\]]*)\]'
 
 
@@ -74,6 +75,20 @@ def _flat_types(hits: Column) -> Column:
     return F.array_distinct(F.flatten(F.transform(hits, lambda h: h["types"])))
 
 
+def _places(entries: dict[str, list[dict]], scope: Column, fits) -> Column:
+    """Places in the list of all entries of those of the call's platform that fit, in order.
+
+    Functions with a lambda are walked as a tree for each row, so every entry has a compiled test of its own.
+    """
+    none, found, place = F.array().cast("array<int>"), [], 0
+    for platform, es in entries.items():
+        if platform != "*" and es:
+            tests = [F.when(fits(e), F.lit(place + i)) for i, e in enumerate(es)]
+            found.append(F.when(scope.isin(platform, "*"), F.array(*tests)).otherwise(none))
+            place += len(es)
+    return F.array_except(F.concat(none, *found), F.array(F.lit(None).cast("int")))
+
+
 def _edge_hits(rows, part, stack: Column, words: Column, scope: Column) -> Column:
     """Types of tokens standing between non-alphanumeric edges.
 
@@ -84,10 +99,12 @@ def _edge_hits(rows, part, stack: Column, words: Column, scope: Column) -> Colum
     plain = {
         p: [e for e in es if re.fullmatch("[a-z0-9]+", e["token"])] for p, es in entries.items()
     }
+    names = const({p: [e["token"] for e in es] for p, es in plain.items()}, "map<string,array<string>>")
     hits = F.filter(
         F.element_at(const(plain, TOKENS_DDL), scope), lambda e: F.array_contains(words, e["token"])
     )
-    types = _flat_types(hits)
+    named = F.arrays_overlap(words, F.element_at(names, scope))
+    types = F.when(named, _flat_types(hits)).otherwise(F.array().cast("array<string>"))
     for platform, es in entries.items():
         for e in es:
             if platform != "*" and e not in plain[platform]:
@@ -103,7 +120,8 @@ def match_catalog(df: DataFrame, rows) -> DataFrame:
     A hit that is a proper substring of another hit of the same call carries no information
     of its own and is suppressed.
     """
-    tokens = const(_by_platform(rows, str.lower), TOKENS_DDL)
+    entries = _by_platform(rows, str.lower)
+    listed = const(entries["*"], TOKENS_DDL[len("map<string,") : -1])
     df = df.withColumns(
         {
             "stack_low": F.lower("stack"),
@@ -111,27 +129,31 @@ def match_catalog(df: DataFrame, rows) -> DataFrame:
         }
     )
     stack = F.col("stack_low")
-    found = F.filter(
-        F.element_at(tokens, F.col("scope_key")),
-        lambda e: stack.contains(e["token"]) | stack.contains(e["spaced"]),
-    )
     df = df.withColumn(
-        "matched",
-        F.transform(
-            found,
-            lambda e: F.struct(
-                F.when(stack.contains(e["token"]), e["token"]).otherwise(e["spaced"]).alias("variant"),
-                e["types"].alias("types"),
-            ),
+        "_places",
+        _places(
+            entries,
+            F.col("scope_key"),
+            lambda e: stack.contains(F.lit(e["token"])) | stack.contains(F.lit(e["spaced"])),
         ),
     )
+
+    def hit(place: Column) -> Column:
+        e = F.get(listed, place)
+        variant = F.when(stack.contains(e["token"]), e["token"]).otherwise(e["spaced"])
+        return F.struct(variant.alias("variant"), e["types"].alias("types"))
+
+    hits = F.transform("_places", hit)
+    df = df.withColumn("matched", F.when(F.size("_places") > 0, hits).otherwise(F.array().cast(MATCHED_DDL)))
+    df = df.drop("_places")
     shadowed = lambda m: F.exists(
         "matched", lambda w: (w["variant"] != m["variant"]) & w["variant"].contains(m["variant"])
     )
+    several, none = F.size("matched") > 1, F.array().cast(MATCHED_DDL)
     return df.withColumns(
         {
-            "kept": F.filter("matched", lambda m: ~shadowed(m)),
-            "suppressed": F.filter("matched", shadowed),
+            "kept": F.when(several, F.filter("matched", lambda m: ~shadowed(m))).otherwise(F.col("matched")),
+            "suppressed": F.when(several, F.filter("matched", shadowed)).otherwise(none),
         }
     )
 
@@ -162,13 +184,10 @@ def payload_evidence(df: DataFrame) -> DataFrame:
         ),
     )
     types = const(dict(ranked), "map<string,string>")
-    df = df.withColumn(
-        "payload_hits",
-        F.transform(
-            F.array_intersect(strings(k for k, _ in ranked), F.col("quoted_keys")),
-            lambda k: F.element_at(types, k),
-        ),
-    )
+    df = df.withColumn("_named", F.array_intersect(strings(k for k, _ in ranked), F.col("quoted_keys")))
+    hits = F.transform("_named", lambda k: F.element_at(types, k))
+    hits = F.when(F.size("_named") > 0, hits).otherwise(F.col("_named"))
+    df = df.withColumn("payload_hits", hits).drop("_named")
     return df.withColumns(
         {
             "payload_types": F.array_distinct("payload_hits"),
@@ -202,14 +221,11 @@ def identify(df: DataFrame, rows) -> DataFrame:
     The first tier with any hit decides, even when it cannot settle on one type.
     """
     df = payload_evidence(match_catalog(df, rows))
-    direct = F.col("kept")
+    no_type = F.array().cast("array<string>")
+    kept_types = F.when(F.size("kept") > 0, _flat_types(F.col("kept"))).otherwise(no_type)
     df = df.withColumn(
         "full_types",
-        F.array_distinct(
-            F.concat(
-                _flat_types(direct), F.array_compact(F.array(resolver_type(rows)))
-            )
-        ),
+        F.array_distinct(F.concat(kept_types, known(resolver_type(rows)))),
     )
     no_full = F.size("full_types") == 0
     df = df.withColumn("words", F.when(no_full, F.split("stack_low", "[^a-z0-9]+")))

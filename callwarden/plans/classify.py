@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from callwarden import vocab
 from callwarden.config import AuditConfig
 from callwarden.functions import calls, policy, signals
-from callwarden.functions.consts import per_session
+from callwarden.functions.consts import known, per_session
 from callwarden.operators import bayes, evidence, gates, identify, revocation
 from callwarden.operators.staging import seal
 
@@ -66,16 +66,14 @@ def _typed_outcome(df: DataFrame, cfg: AuditConfig) -> DataFrame:
         {
             "capped": partial | indirect | unsure | contradiction,
             "contradiction": contradiction,
-            "reasons": F.array_compact(
-                F.array(
-                    F.when(partial, "partial_identifier"),
-                    F.when(indirect, F.concat(F.lit("indirect_tier:"), tier)),
-                    F.when(unsure, F.concat(F.lit("indirect_tier_compliant:"), tier)),
-                    F.when(contradiction, "contract_scope_contradiction"),
-                    F.when(lacks("consent_state", "consent_log"), "no_consent_evidence"),
-                    F.when(lacks("crypto", "transport"), "no_transport_info"),
-                    F.when(lacks("pii_mask"), "no_mask_info"),
-                )
+            "reasons": known(
+                F.when(partial, F.lit("partial_identifier")),
+                F.when(indirect, F.concat(F.lit("indirect_tier:"), tier)),
+                F.when(unsure, F.concat(F.lit("indirect_tier_compliant:"), tier)),
+                F.when(contradiction, F.lit("contract_scope_contradiction")),
+                F.when(lacks("consent_state", "consent_log"), F.lit("no_consent_evidence")),
+                F.when(lacks("crypto", "transport"), F.lit("no_transport_info")),
+                F.when(lacks("pii_mask"), F.lit("no_mask_info")),
             ),
             "rule_confidence": policy.rule_confidence(),
         }
