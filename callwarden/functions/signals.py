@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from callwarden import vocab
 from callwarden.functions.calls import BLANK
 from callwarden.functions.consts import known, per_session, strings
+from callwarden.operators.staging import seal
 
 VARIANT_DDL = ", ".join(f"{k} variant" for k in vocab.SIGNAL_KEYS)
 
@@ -69,9 +70,14 @@ def _typed(key: str) -> Column:
     return F.when(present, F.struct(kind.alias("kind"), text.alias("text"))).alias(key)
 
 
+#: Typed texts in two columns: compiled as one, the method is too long for the JVM to compile it further.
+HALVES = (vocab.SIGNAL_KEYS[: len(vocab.SIGNAL_KEYS) // 2], vocab.SIGNAL_KEYS[len(vocab.SIGNAL_KEYS) // 2 :])
+
+
 def _normal(key: str) -> tuple[Column, Column]:
     """(typed value or NULL, text is of an accepted type) of one signal."""
-    kind, text = F.col(f"_typed.{key}.kind"), F.col(f"_typed.{key}.text")
+    half = "_typed0" if key in HALVES[0] else "_typed1"
+    kind, text = F.col(f"{half}.{key}.kind"), F.col(f"{half}.{key}.text")
     is_text = kind == "STRING"
     number = kind.isin("BIGINT", "DOUBLE", "FLOAT") | kind.startswith("DECIMAL")
     if key in vocab.BOOL_SIGNALS:
@@ -100,8 +106,8 @@ def _normal(key: str) -> tuple[Column, Column]:
 
 
 @per_session
-def _normal_columns() -> tuple[Column, Column, Column]:
-    """(typed texts, normalised struct, malformed keys)."""
+def _normal_columns() -> tuple[list[Column], Column, Column]:
+    """(typed texts in halves, normalised struct, malformed keys)."""
     values, bad = [], []
     for key in vocab.SIGNAL_KEYS:
         value, fits = _normal(key)
@@ -110,15 +116,15 @@ def _normal_columns() -> tuple[Column, Column, Column]:
             value = value.cast("bigint")
         values.append(F.when(present, value).alias(key))
         bad.append(F.when(present & ~F.coalesce(fits, F.lit(False)), F.lit(key)))
-    typed = F.struct(*[_typed(key) for key in vocab.SIGNAL_KEYS])
+    typed = [F.struct(*[_typed(key) for key in half]) for half in HALVES]
     return typed, F.struct(*values), known(*bad)
 
 
 def normalize_signals(df: DataFrame) -> DataFrame:
     """Add ``sig`` (struct of typed signals) and ``malformed`` (keys in contract order)."""
     typed, sig, malformed = _normal_columns()
-    df = df.withColumn("_typed", typed)
-    return df.withColumns({"sig": sig, "malformed": malformed}).drop("_typed")
+    df = seal(df.withColumn("_typed0", typed[0]), "_typed0").withColumn("_typed1", typed[1])
+    return df.withColumns({"sig": sig, "malformed": malformed}).drop("_typed0", "_typed1")
 
 
 def payload_keys() -> Column:

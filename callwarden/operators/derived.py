@@ -37,7 +37,7 @@ def pick(items: str, i: int) -> Column:
 
 @per_session
 def _call_columns() -> tuple:
-    """(platform, true type, token, text) of the call made from one event."""
+    """(platform, true type, token, halves of the parameters, text) of the call made from one event."""
     token = F.when(F.lit(False), F.lit(""))
     for platform, items in TOKENS.items():
         token = token.when(F.col("platform_true") == platform, pick(items, 1))
@@ -106,18 +106,21 @@ def _call_columns() -> tuple:
         F.lit("(F.java:"),
         (F.col("event_id") % 900).cast("string"),
         F.lit(")\nparams: {"),
-        F.concat_ws(", ", *fields),
+        F.concat_ws(", ", "_params0", "_params1"),
         F.lit("}"),
     )
-    return pick("android|ios|miniprogram|harmony", 0), pick(TYPES, 1), token, text
+    params = [F.nullif(F.concat_ws(", ", *half), F.lit("")) for half in (fields[:5], fields[5:])]
+    return pick("android|ios|miniprogram|harmony", 0), pick(TYPES, 1), token, params, text
 
 
 def hook_calls(events: DataFrame) -> DataFrame:
     """One call per event: id, pos, text and the truth columns (data_type, violation inputs)."""
-    platform, true_dt, token, text = _call_columns()
+    platform, true_dt, token, params, text = _call_columns()
     df = events.withColumn("k", F.regexp_extract("props", "[0-9]+", 0).cast("bigint"))
     df = df.withColumns({"platform_true": platform, "true_dt": true_dt})
     df = df.withColumn("token", token)
+    for i, half in enumerate(params):  # compiled apart: a method of all is too long and gets interpreted
+        df = seal(df.withColumn(f"_params{i}", half), f"_params{i}")
     df = df.select(
         F.col("event_id").alias("id"),
         "ts",

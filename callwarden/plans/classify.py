@@ -96,16 +96,31 @@ def _typed_outcome(df: DataFrame, cfg: AuditConfig) -> DataFrame:
     )
 
 
-def row_verdicts(df: DataFrame, cfg: AuditConfig) -> DataFrame:
+SEGMENTS = ("platform", "stack", "body")
+SIGNALS = ("object_keys", "raw", "salvaged", "present", "parsed_ok", "sig", "malformed")
+
+
+def _as_unread(df: DataFrame, small: Column) -> DataFrame:
+    """Segments and signals at hand as those of no text where the call isn't ``small``."""
+    nothing, small = F.array().cast("array<string>"), F.coalesce(small, F.lit(False))
+    other = {"body": F.lit(""), "present": nothing, "malformed": nothing, "parsed_ok": F.lit(False)}
+    return df.withColumns({c: F.when(small, F.col(c)).otherwise(other.get(c, F.lit(None))) for c in (*SEGMENTS, *SIGNALS)})
+
+
+def row_verdicts(df: DataFrame, cfg: AuditConfig, ready: bool = False) -> DataFrame:
     """Everything that depends on the call alone; keeps the columns of ``df``.
 
-    The text of an oversized call is set aside first, so no pattern ever runs over it.
+    The text of an oversized call is set aside first, so no pattern ever runs over it. A ``ready`` table
+    brings the columns ``SEGMENTS`` and ``SIGNALS`` along.
     """
     keep = df.columns
-    small = F.length("text") <= cfg.max_text_chars
-    df = df.withColumns({"_whole": F.col("text"), "text": F.when(small, F.col("text"))})
-    df = identify.identify(with_segments(df), cfg.catalog)
-    df = signals.normalize_signals(signals.parse_signals(df))
+    df = df.withColumn("_whole", F.col("text"))
+    small = F.length("_whole") <= cfg.max_text_chars
+    df = df.withColumn("text", F.when(small, F.col("_whole")))
+    df = _as_unread(df, small) if ready else with_segments(df)
+    df = identify.identify(df, cfg.catalog)
+    if not ready:
+        df = signals.normalize_signals(signals.parse_signals(df))
     if "guard_type" not in df.columns:
         opinion = bayes.guard_type(df.sparkSession, cfg.guard) if cfg.guard else F.lit(None).cast("string")
         df = df.withColumn("guard_type", opinion)
@@ -168,7 +183,8 @@ def row_verdicts(df: DataFrame, cfg: AuditConfig) -> DataFrame:
     }
     kept = [F.col("_whole").alias(c) if c == "text" else c for c in keep if c not in verdict]
     df = df.select(*kept, *[c.alias(n) for n, c in verdict.items()])
-    return seal(df, *verdict)
+    # these are left to the optimizer, which drops them where nobody reads them
+    return seal(df, *[c for c in verdict if c not in ("bounds", "auto_lambda", "fingerprint")])
 
 
 def classify_calls(
@@ -176,15 +192,16 @@ def classify_calls(
     cfg: AuditConfig | None = None,
     order: list[str] | None = None,
     revoked: DataFrame | None = None,
+    ready: bool = False,
 ) -> DataFrame:
     """Rule verdict of every call (columns of ``df`` plus the verdict).
 
     With an audit key, or a table of stored revocations, a declaration shape that was caught
-    earlier in ``order`` sends all its later empty declarations to review.
+    earlier in ``order`` sends all its later empty declarations to review. ``ready`` as for :func:`row_verdicts`.
     """
     cfg = cfg or AuditConfig()
     order = order or ["id"]
-    out = row_verdicts(df, cfg)
+    out = row_verdicts(df, cfg, ready)
     if cfg.audit_key or revoked is not None:
         out = out.withColumn("pos", F.struct(*order))
         detected = F.col("detected") if cfg.audit_key else F.lit(False)

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from callwarden.functions import policy, signals
 from callwarden.operators import derived
 from callwarden.operators.staging import seal
-from callwarden.plans.classify import classify_calls, with_segments
+from callwarden.plans.classify import SEGMENTS, SIGNALS, classify_calls, with_segments
 
 
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
@@ -53,10 +53,14 @@ def truth(spark: SparkSession, sf: str) -> DataFrame:
     return df.select("id", F.col("t.violation").alias("true_violation"))
 
 
+def labelled_calls(spark: SparkSession, sf: str) -> DataFrame:
+    """Calls with their segments, signals and truth label, unjudged."""
+    df = signalled(spark, sf)
+    truth = policy.decide_ex(F.col("true_dt"), F.col("malformed"))["violation"]
+    return seal(df.withColumn("true_violation", truth), "true_violation")
+
+
 def labelled_verdicts(spark: SparkSession, sf: str) -> DataFrame:
-    """Verdicts beside the truth label, from one pass over the calls."""
-    df = signalled(spark, sf).withColumn(
-        "true_violation", policy.decide_ex(F.col("true_dt"), F.col("malformed"))["violation"]
-    )
-    names = ["id", "ts", "user_id", "event_type", "text", "true_dt", "token", "true_violation"]
-    return classify_calls(seal(df.select(*names), "true_violation"))
+    """Verdicts beside the truth label, from one pass over the calls that reads their signals once."""
+    df = classify_calls(labelled_calls(spark, sf), ready=True)
+    return df.drop(*SEGMENTS, *SIGNALS)
