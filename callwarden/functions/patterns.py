@@ -51,7 +51,11 @@ RESIDUAL_TOKEN = (
     r"|base64:[A-Za-z0-9+/=_-]{8,}|0x[0-9a-fA-F]{24,}|(?:\\u[0-9a-fA-F]{4}){6,}"
     r"|(?:%[0-9a-fA-F]{2}){8,}"
 )
+#: Every residual token holds one of these.
+RESIDUAL_MARKS = ("sf:", "b64:", "base64:", "0x", "\\u", "%")
 SUSPECTED_TOKEN = r"sf:[A-Za-z0-9+/=]{16,}|b64:[A-Za-z0-9+/=]{16,}|0x[0-9a-fA-F]{32,}"
+#: Every bare base64 token holds such a run.
+BASE64_RUN = r"(?<![\p{Alnum}+/])[\p{Alnum}+/]{40}"
 BARE_BASE64 = r"(?<![\w+/=])[A-Za-z0-9+/]{40,}={0,2}(?![\w+/=])"
 
 # --- fixed values: scrub rules, in order --------------------------------------------

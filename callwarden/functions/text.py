@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -123,7 +126,24 @@ def has_bare_b64(c: Column) -> Column:
         tokens,
         lambda t: t.rlike(r"[+/]|=$") | (t.rlike("[A-Z]") & t.rlike("[a-z]") & t.rlike("[0-9]")),
     )
-    return c.rlike("(?U)" + P.BARE_BASE64) & telling
+    return c.rlike(P.BASE64_RUN) & c.rlike("(?U)" + P.BARE_BASE64) & telling
+
+
+def residual_token(c: Column) -> Column:
+    """A marked token; the pattern runs only over texts that hold one of its marks."""
+    marked = reduce(or_, [c.contains(mark) for mark in P.RESIDUAL_MARKS])
+    return marked & c.rlike(P.RESIDUAL_TOKEN)
+
+
+def residue_to_restore(c: Column) -> Column:
+    """``guard_action`` would be 'preprocess': only texts with characters beyond ASCII are looked at.
+
+    Nothing stands in it twice: common parts are computed first, for all texts.
+    """
+    harmless = (
+        (F.translate(c, P.ZERO_WIDTH, "") != c) | c.rlike(P.TAG_CHARS) | (F.translate(c, P.CONFUSABLE_FROM, P.CONFUSABLE_TO) != c)
+    )
+    return (F.octet_length(c) != F.length(c)) & harmless & ~(residual_token(c) | has_bare_b64(c))
 
 
 def guard_residual(c: Column) -> Column:
@@ -133,7 +153,7 @@ def guard_residual(c: Column) -> Column:
         F.when(foreign & (F.translate(c, P.ZERO_WIDTH, "") != c), "zero_width"),
         F.when(foreign & c.rlike(P.TAG_CHARS), "unicode_tag"),
         F.when(foreign & (F.translate(c, P.CONFUSABLE_FROM, P.CONFUSABLE_TO) != c), "confusable"),
-        F.when(c.rlike(P.RESIDUAL_TOKEN) | has_bare_b64(c), "encoded_token"),
+        F.when(residual_token(c) | has_bare_b64(c), "encoded_token"),
     )
     return F.when(F.coalesce(c, F.lit("")) == "", F.array(F.lit("empty"))).otherwise(
         marks

@@ -75,18 +75,27 @@ def _flat_types(hits: Column) -> Column:
     return F.array_distinct(F.flatten(F.transform(hits, lambda h: h["types"])))
 
 
-def _places(entries: dict[str, list[dict]], scope: Column, fits) -> Column:
-    """Places in the list of all entries of those of the call's platform that fit, in order.
+#: Tests of one sealed column: the methods compiled from a column stay below 8,000 bytes, beyond which the JVM
+#: interprets them.
+TESTS = 32
+
+
+def _places(df: DataFrame, entries: dict[str, list[dict]], scope: Column, fits) -> DataFrame:
+    """Add ``_likely``: places in the list of all entries of those of the call's platform that fit, in order.
 
     Functions with a lambda are walked as a tree for each row, so every entry has a compiled test of its own.
     """
-    none, found, place = F.array().cast("array<int>"), [], 0
+    none, place, parts = F.array().cast("array<int>"), 0, []
     for platform, es in entries.items():
-        if platform != "*" and es:
-            tests = [F.when(fits(e), F.lit(place + i)) for i, e in enumerate(es)]
-            found.append(F.when(scope.isin(platform, "*"), F.array(*tests)).otherwise(none))
+        if platform != "*":
+            for at in range(0, len(es), TESTS):
+                tests = [F.when(fits(e), F.lit(place + at + i)) for i, e in enumerate(es[at : at + TESTS])]
+                parts.append(f"_part{len(parts)}")
+                df = df.withColumn(parts[-1], F.when(scope.isin(platform, "*"), F.array(*tests)).otherwise(none))
+                df = seal(df, parts[-1])
             place += len(es)
-    return F.array_except(F.concat(none, *found), F.array(F.lit(None).cast("int")))
+    found = F.array_except(F.concat(none, *parts), F.array(F.lit(None).cast("int")))
+    return df.withColumn("_likely", found).drop(*parts)
 
 
 def _edge_hits(rows, part, stack: Column, words: Column, scope: Column) -> Column:
@@ -129,14 +138,16 @@ def match_catalog(df: DataFrame, rows) -> DataFrame:
         }
     )
     stack = F.col("stack_low")
-    df = df.withColumn(
-        "_places",
-        _places(
-            entries,
-            F.col("scope_key"),
-            lambda e: stack.contains(F.lit(e["token"])) | stack.contains(F.lit(e["spaced"])),
-        ),
-    )
+    df = df.withColumn("_flat", F.replace(stack, F.lit("."), F.lit(" ")))
+    df = _places(df, entries, F.col("scope_key"), lambda e: F.col("_flat").contains(F.lit(e["spaced"])))
+
+    def fits(place: Column) -> Column:
+        e = F.get(listed, place)
+        return F.when(stack.contains(e["token"]) | stack.contains(e["spaced"]), place)
+
+    gone = F.array(F.lit(None).cast("int"))
+    exact = F.when(F.size("_likely") > 0, F.array_except(F.transform("_likely", fits), gone))
+    df = df.withColumn("_places", F.coalesce(exact, F.col("_likely"))).drop("_flat", "_likely")
 
     def hit(place: Column) -> Column:
         e = F.get(listed, place)

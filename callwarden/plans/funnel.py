@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from callwarden import vocab
 from callwarden.config import AuditConfig
+from callwarden.functions import text
 from callwarden.operators import restore, scan
 from callwarden.plans.classify import classify_calls
 from callwarden.session import cut_lineage
@@ -37,9 +38,10 @@ def guarded_text(df: DataFrame) -> DataFrame:
     Only those rows are cut into tokens. They are found by one pass and kept on the shared folder; all
     others pass through unchanged, and without such rows the rest of the plan stays a single branch.
     """
+    found = df.filter(text.residue_to_restore(F.col("text")))
     df = scan.input_guard(df)
     keep = df.columns
-    dirty = cut_lineage(df.filter("guard_action = 'preprocess'"))
+    dirty = cut_lineage(scan.input_guard(found))
     if dirty.isEmpty():
         return df
     restored = restore.restore_text(dirty)
