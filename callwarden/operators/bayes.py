@@ -20,6 +20,8 @@ from callwarden.session import ship_package
 
 #: Classes that a broadcast model may have: 256 x 59,319 doubles are 122 MB.
 MAX_CLASSES = 256
+#: Multiples of 1 / UNIT add up without rounding to 2 ** 53 / UNIT, far beyond the score of any text.
+UNIT = float(1 << 24)
 
 
 @dataclass(frozen=True)
@@ -31,13 +33,19 @@ class BayesModel:
     logp: np.ndarray
 
     def scores(self, texts: pa.Array) -> np.ndarray:
-        """(texts, classes): prior plus the log-probabilities of all trigrams of the whole text."""
-        total = np.tile(self.prior, (len(texts), 1))
+        """(texts, classes): prior plus the log-probabilities of all trigrams of the whole text.
+
+        Weights are added in two parts, the first of them without any rounding: added one by one, the
+        100,000 weights of a long text lose up to 1e-7, enough to round a score another way.
+        """
+        whole, rest = np.zeros((len(texts), len(self.prior))), np.tile(self.prior, (len(texts), 1))
         for rows, codes in trigrams.positions(texts):
             low, high = int(rows[0]), int(rows[-1]) + 1
             for k, weights in enumerate(self.logp):
-                total[low:high, k] += np.bincount(rows - low, weights[codes], high - low)
-        return total
+                coarse = np.round(weights * UNIT) / UNIT
+                whole[low:high, k] += np.bincount(rows - low, coarse[codes], high - low)
+                rest[low:high, k] += np.bincount(rows - low, (weights - coarse)[codes], high - low)
+        return whole + rest
 
     def best(self, texts: pa.Array) -> pa.StructArray:
         """Struct (label, score) of the best class; ties by the smaller label."""

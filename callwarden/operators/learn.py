@@ -174,18 +174,15 @@ def nb_train(
     and gram, are written once, so the texts are read once.
     """
     counts = cut_lineage(gram_counts(df, label, text, hashed).withColumnRenamed(label, "label"))
-    space = F.lit(BUCKETS)
-    if not hashed:
-        seen = counts.select("gram").distinct().agg(F.count("*").alias("space"))
-        counts = counts.join(F.broadcast(seen))
-        space = F.col("space")
-    totals = counts.groupBy("label").agg(
-        F.sum("n").alias("total"), F.max(space).alias("space")
-    )
+    totals = counts.groupBy("label").agg(F.sum("n").alias("total"))
     rows = df.groupBy(F.col(label).alias("label")).agg(F.count("*").alias("rows"))
     overall = rows.agg(F.sum("rows").alias("all_rows"), F.count("*").alias("k"))
     classes = rows.join(F.broadcast(overall)).join(totals, "label", "left")
-    denominator = F.log(F.coalesce("total", F.lit(0)) + alpha * F.coalesce("space", F.lit(BUCKETS)))
+    space = F.lit(BUCKETS)
+    if not hashed:  # the same for all classes, also for one without a trigram
+        seen = counts.select("gram").distinct().agg(F.count("*").alias("space"))
+        classes, space = classes.join(F.broadcast(seen)), F.greatest("space", F.lit(1))
+    denominator = F.log(F.coalesce("total", F.lit(0)) + alpha * space)
     classes = classes.select(
         "label",
         F.log((F.col("rows") + 1.0) / (F.col("all_rows") + F.col("k"))).alias("prior"),
