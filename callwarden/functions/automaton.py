@@ -11,12 +11,15 @@ from __future__ import annotations
 
 from functools import cache
 
+from callwarden.functions import patterns as P
 from callwarden.functions import sqlx as F
 from callwarden.functions.decode import bound, let
 from callwarden.functions.sqlx import E as Column
 
 #: Longest number that is no mobile number.
 LONGEST = 19
+#: Up to so many digit strings are put together one by one, which costs less than the automaton.
+FEW = 8
 #: Leading zeros beyond these change no state.
 ZEROS = 24
 
@@ -149,4 +152,34 @@ def joined_shape(fragments: Column, triples: bool = True) -> Column:
 
         return let(let(let(once, with_who), pairs), named)
 
-    return let(entries, lambda all_: F.when(F.size(all_) >= 2, joined(all_)))
+    def put_together(texts: Column) -> Column:
+        long = F.filter(texts, lambda t: F.length(t) >= 11)
+        return let(
+            long,
+            lambda ts: F.when(F.exists(ts, lambda t: t.rlike(f"^{P.MOBILE}\\z")), "mobile")
+            .when(F.exists(ts, lambda t: F.length(t) == 18), "idcard")
+            .when(F.exists(ts, lambda t: F.length(t).between(16, LONGEST)), "bankcard"),
+        )
+
+    def one_by_one(few: Column) -> Column:
+        others = lambda p: F.filter(few, lambda e: ~F.array_contains(p["who"], e["i"]))
+        longer = lambda p, e: F.struct(F.concat(p["digits"], e["digits"]).alias("digits"), F.array(p["i"], e["i"]).alias("who"))
+        alone = lambda p: F.filter(few, lambda e: e["i"] != p["i"])
+        longest = F.array_max(F.transform(few, lambda e: F.length(e["digits"])))
+
+        def may_lead(e: Column) -> Column:
+            """A mobile number may begin so, or the whole may be long enough for another."""
+            return e["digits"].rlike("^(?:0|8|1(?:[3-9]|\\z))") | (F.length(e["digits"]) + longest * 2 >= 16)
+
+        pairs = F.flatten(F.transform(F.filter(few, may_lead), lambda p: F.transform(alone(p), lambda e: longer(p, e))))
+
+        def named(two: Column) -> Column:
+            pair = put_together(F.transform(two, lambda p: p["digits"]))
+            three = F.flatten(F.transform(two, lambda p: F.transform(others(p), lambda e: F.concat(p["digits"], e["digits"]))))
+            return F.coalesce(pair, put_together(three)) if triples else pair
+
+        return let(pairs, named)
+
+    listed = F.flatten(F.transform(fragments, lambda readings, i: F.transform(readings, lambda d: F.struct(i.alias("i"), d.alias("digits")))))
+    least = let(listed, lambda few: F.when(F.size(few).between(2, FEW), one_by_one(few)).when(F.size(few) > FEW, let(entries, joined)))
+    return F.when(F.size(fragments) >= 2, least)

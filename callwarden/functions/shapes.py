@@ -4,8 +4,14 @@ from __future__ import annotations
 
 from callwarden.functions import patterns as P
 from callwarden.functions import sqlx as F
+from callwarden.functions.decode import bound, foldable
 from callwarden.functions.sqlx import E as Column
 
+#: What a shape needs in a text that folding leaves alone, where digits are ASCII and there is no degree sign.
+_NEEDS = {
+    "mobile": "[0-9]{11}", "idcard": "[0-9]{17}", "bankcard": "[0-9]{16}", "email": "@", "coord": r"[0-9]\.[0-9]{2}", "coord1": "°",
+}
+
 
 def first_rule(value: Column, rules) -> Column:
     """Name of the first matching (name, pattern) rule."""
@@ -18,8 +24,11 @@ def first_rule(value: Column, rules) -> Column:
     return name
 
 
+@bound
 def whole_shape(value: Column) -> Column:
-    return first_rule(value, P.WHOLE_SHAPES)
+    head = F.substr(value, F.lit(1), F.lit(32))
+    worth = head.rlike(r"(?U)^[-\d]|^[A-Za-z0-9+/=_-]{32}$") | F.contains(value, F.lit("@"))
+    return F.when(worth, first_rule(value, P.WHOLE_SHAPES))
 
 
 def digit_shape(digits: Column) -> Column:
@@ -33,13 +42,21 @@ def embedded_email(value: Column) -> Column:
     )
 
 
+@bound
 def embedded_shape(value: Column) -> Column:
-    """Shape found anywhere inside the text."""
-    name = F.when(F.lit(False), F.lit(""))
-    for label, pattern in P.EMBEDDED_SHAPES:
-        hit = embedded_email(value) if label == "email" else value.rlike("(?U)" + pattern)
-        name = name.when(hit, F.lit(label))
-    return name
+    """Shape found anywhere inside the text.
+
+    The patterns look round every character; texts that lack what one needs at least are spared it.
+    """
+
+    def among(spared: bool) -> Column:
+        name = F.when(F.lit(False), F.lit(""))
+        for label, pattern in P.EMBEDDED_SHAPES:
+            hit = embedded_email(value) if label == "email" else value.rlike("(?U)" + pattern)
+            name = name.when(value.rlike(_NEEDS[label]) & hit if spared else hit, F.lit(label))
+        return name
+
+    return F.when(foldable(value), among(False)).when(value.rlike("[0-9]{11}|@|[0-9]\\.[0-9]{2}"), among(True))
 
 
 def first_of(forms: Column, fn) -> Column:
@@ -50,13 +67,14 @@ def first_of(forms: Column, fn) -> Column:
 def digit_candidates(value: Column) -> Column:
     """Digit strings a value may stand for: expanded exponent, dropped ``.0``, bare digits."""
     plain = r"^\s*[+-]?\d+(?:\.\d+)?[eE]\s*[+-]?\d+\s*$"
+    number_like = F.substr(value, F.lit(1), F.lit(1)).rlike(r"[\s+\-0-9]")
     number = F.regexp_replace(value, r"\s+", "").try_cast("double")
     expanded = F.when(
-        value.rlike(plain) & (number == F.floor(number)) & (F.abs(number) < 1e18),
+        number_like & value.rlike(plain) & (number == F.floor(number)) & (F.abs(number) < 1e18),
         number.cast("bigint").cast("string"),
     )
-    tail = F.regexp_extract(value, r"^\s*([+-]?\d+)\.0+\s*$", 1)
-    digits = F.regexp_replace(value, r"(?U)\D+", "")
+    tail = F.when(number_like, F.regexp_extract(value, r"^\s*([+-]?\d+)\.0+\s*$", 1))
+    digits = F.when(value.rlike(r"^[0-9]+\z"), value).when(value.rlike("[0-9]") | foldable(value), F.regexp_replace(value, r"(?U)\D+", ""))
     return F.filter(
         F.array_distinct(F.array(expanded, tail, digits)), lambda d: d.isNotNull() & (d != "")
     )

@@ -178,11 +178,13 @@ def _joined_raw(values: E, limits: EvidenceLimits, triples: bool = True) -> E:
 
 
 def _products(value: E, rounds: int) -> E:
-    """Every text that up to ``rounds`` codecs make of a value: each round decodes what the last one found first."""
+    """Texts that up to ``rounds`` codecs make of a value, all that may have a shape: each round decodes what the last one found first."""
     state = lambda level, seen: F.struct(level.alias("level"), seen.alias("seen"))
 
     def one(s: E, _: E) -> E:
-        made = F.array_distinct(F.flatten(F.transform(s["level"], lambda t: D.product_texts(t))))
+        # up to three ASCII characters are no shape, and no codec makes more bytes of them
+        worth = F.filter(s["level"], lambda t: (F.octet_length(t) > 3) | D.non_ascii(t))
+        made = F.array_distinct(F.flatten(F.transform(worth, lambda t: D.product_texts(t))))
         return D.let(F.array_except(made, s["seen"]), lambda new: state(new, F.concat(s["seen"], new)))
 
     seen = F.aggregate(F.sequence(1, rounds), state(F.array(value), F.array(value)), one, lambda s: s["seen"])
@@ -195,7 +197,7 @@ def with_value_shapes(df: DataFrame, body: str, limits: EvidenceLimits) -> DataF
     A value is decoded only if it has no shape itself.
     """
     keep, present = df.columns, F.col(body).isNotNull()
-    trimmed = F.transform(F.col("leaves"), lambda v: F.regexp_replace(v, r"(?U)^\s+|\s+$", ""))
+    trimmed = F.transform(F.col("leaves"), D.trimmed)
     plain = F.transform(F.col("leaves"), lambda v: D.fold_digits(D.strip_invisible(D.unescape(v))))
     df = with_texts(
         df, present, _values=F.filter(trimmed, lambda v: v != ""), _parts=F.filter(plain, lambda v: v != ""),
@@ -207,17 +209,25 @@ def with_value_shapes(df: DataFrame, body: str, limits: EvidenceLimits) -> DataF
 
     numbers = automaton.joined_shape(F.transform(F.col("_parts"), lambda p: D.digit_readings(p)))
     df = with_texts(
-        df, present, _own=F.transform(F.col("_values"), own), _numbers=numbers, _raw=_joined_raw(F.col("_parts"), limits),
+        df, present, _own=F.transform(F.col("_values"), own), _numbers=numbers,
         _text=shapes.first_of(F.col("_texts"), shapes.embedded_shape),
     )
+    # no shape comes before a mobile number
+    raw = F.when(~F.coalesce(F.col("_numbers") == "mobile", F.lit(False)), _joined_raw(F.col("_parts"), limits))
+    df = with_texts(df, present, _raw=raw)
     hidden = F.zip_with(F.col("_values"), F.col("_own"), lambda v, o: F.when(o.isNull() & (F.length(v) <= limits.fold_chars), v))
     products = F.array_distinct(F.flatten(F.transform(F.array_compact(hidden), lambda v: _products(v, limits.rounds))))
-    strong = lambda p: F.nullif(D.let(D.spellings(p, limits.fold_chars), shapes.pii_shape), "opaque")
+    def strong(p: E) -> E:
+        # in plain letters a shape has a digit or a sign of addresses, and eleven characters, a point or an exponent
+        worth = D.foldable(p) | F.contains(p, F.lit("\\")) | (p.rlike("[0-9@]") & ((F.length(p) >= 11) | p.rlike("[@.eE]")))
+        return F.when(worth, F.nullif(D.let(D.spellings(p, limits.fold_chars), shapes.pii_shape), "opaque"))
+
     split = F.when(F.size(F.col("_parts")) >= 2, first_named(F.array(F.col("_numbers"), F.col("_raw"))))
     ends = F.array(F.concat(split, "(split)"), F.concat(F.col("_text"), "(text)"))
     encoded = F.transform(F.array_distinct(F.array_compact(F.transform(products, strong))), lambda n: F.concat(n, "(encoded)"))
     df = with_texts(df, present, _hits=F.concat(F.array_compact(F.col("_own")), encoded, F.array_compact(ends)))
-    bare = shapes.first_of(F.col("_texts"), lambda f: shapes.embedded_shape(F.regexp_replace(f, P.DIGIT_GAP, "")))
+    # without a gap it is the text itself, which has no shape here
+    bare = shapes.first_of(F.col("_texts"), lambda f: F.when(f.rlike(P.DIGIT_GAP), shapes.embedded_shape(F.regexp_replace(f, P.DIGIT_GAP, ""))))
     collapsed = F.array_compact(F.array(F.concat(bare, "(text)")))
     found = F.when(F.size(F.col("_hits")) > 0, F.array_sort(F.array_distinct(F.col("_hits")))).when(F.col("_hits").isNotNull(), collapsed)
     return with_texts(df, present, value_shapes=found).select(*keep, "value_shapes")
@@ -281,7 +291,7 @@ def _may_begin(v: E) -> E:
 
     What a longer text decodes to begins with these bytes, so texts that fail can't open a pair.
     """
-    t = F.regexp_replace(v, r"\s+", "")
+    t = D.without_blanks(v)
 
     def begins(raw: E) -> E:
         return F.hex(raw).rlike(_TEXT_BEGIN)
