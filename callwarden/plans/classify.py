@@ -200,8 +200,12 @@ def classify_calls(
     earlier in ``order`` sends all its later empty declarations to review. ``ready`` as for :func:`row_verdicts`.
     """
     cfg = cfg or AuditConfig()
+    return settle(row_verdicts(df, cfg, ready), cfg, order, revoked)
+
+
+def settle(out: DataFrame, cfg: AuditConfig, order: list[str] | None = None, revoked: DataFrame | None = None) -> DataFrame:
+    """Row verdicts with what other calls revoke, and ``combo``; with revocation they are read twice."""
     order = order or ["id"]
-    out = row_verdicts(df, cfg, ready)
     if cfg.audit_key or revoked is not None:
         out = out.withColumn("pos", F.struct(*order))
         detected = F.col("detected") if cfg.audit_key else F.lit(False)

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from callwarden.functions import policy, signals
 from callwarden.operators import derived
-from callwarden.operators.staging import seal
+from callwarden.operators.staging import seal, spread
 from callwarden.plans.classify import SEGMENTS, SIGNALS, classify_calls, with_segments
 
 
@@ -16,19 +16,6 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
-def spread(df: DataFrame, light: bool = False) -> DataFrame:
-    """Rows over all cores, dealt in turn.
-
-    Rows of calls take few bytes and much work, and a file can't be read by more tasks than it has row
-    groups: 600,000 calls in one group would be one task, whatever the cluster. ``light`` work is dealt
-    in one-machine sessions only; elsewhere the input's own splits serve.
-    """
-    context = df.sparkSession.sparkContext
-    if context.master.startswith("local["):
-        return df.repartition(context.defaultParallelism)
-    return df if light else df.repartition(context.defaultParallelism * 4)
-
-
 def calls(spark: SparkSession, sf: str) -> DataFrame:
     return derived.hook_calls(spread(table(spark, sf, "events")))
 
